@@ -266,3 +266,133 @@ FROM ranked{limit}"""
 
 def with_(ctes: str) -> str:
     return "WITH " + ctes.strip().lstrip(",")
+
+
+# ---------------------------------------------------------------------------
+# More derived inputs
+# ---------------------------------------------------------------------------
+CLIENTS = """
+clients AS (
+  SELECT c_custkey AS client_id,
+    CASE WHEN c_custkey % 53 = 0 THEN 89.95 WHEN c_custkey % 53 = 1 THEN -12.5
+         ELSE (2500 + (c_custkey * 41) % 2400) / CAST(100.0 AS DOUBLE) END AS client_lat,
+    CASE WHEN c_custkey % 53 = 0 THEN 10.0 WHEN c_custkey % 53 = 1 THEN 179.99
+         ELSE -((12400 - (c_custkey * 59) % 5700) / CAST(100.0 AS DOUBLE)) END AS client_lon
+  FROM customer)"""
+
+UNIT_RE = r"'(?i)\b(Suite|Ste|Apt|Apartment|#)\s*\w*\b'"
+
+CONTACTS = f"""
+c1 AS (
+  SELECT s_suppkey AS contact_key, 0 AS copy,
+    'Supplier#' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS full_name,
+    'P' || CAST(s_suppkey AS VARCHAR) AS person_id,
+    CASE WHEN s_suppkey % 13 = 0 THEN NULL ELSE CAST(s_suppkey*10+1 AS VARCHAR) || ' Main St, City' || CAST(s_suppkey % 50 AS VARCHAR)
+      || ', ' || CASE WHEN s_suppkey % 2 = 0 THEN 'MD' ELSE 'VA' END || ' ' || lpad(CAST((s_suppkey*31) % 100000 AS VARCHAR), 5, '0')
+      || CASE s_suppkey % 4 WHEN 0 THEN ' Ste ' || CAST(s_suppkey % 50 AS VARCHAR) WHEN 1 THEN ' #' || CAST(s_suppkey % 9 AS VARCHAR)
+              WHEN 2 THEN ' Apt ' || CAST(s_suppkey % 7 AS VARCHAR) ELSE '' END END AS address,
+    CASE WHEN s_suppkey % 3 = 0 OR s_suppkey % 41 = 0 THEN NULL ELSE (2500 + (s_suppkey*37) % 2400) / CAST(100.0 AS DOUBLE) END AS latitude,
+    CASE WHEN s_suppkey % 3 = 0 OR s_suppkey % 41 = 0 THEN NULL ELSE -((12400 - (s_suppkey*53) % 5700) / CAST(100.0 AS DOUBLE)) END AS longitude,
+    {_phone("'301' || lpad(CAST((s_suppkey*7919) % 10000000 AS VARCHAR), 7, '0')", 's_suppkey % 4')} AS phone,
+    CASE WHEN s_suppkey % 11 = 0 THEN '' ELSE CAST(s_suppkey*10+1 AS VARCHAR) || ' Main St' END AS street,
+    CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE 'City' || CAST(s_suppkey % 50 AS VARCHAR) END AS city,
+    CASE s_suppkey % 5 WHEN 0 THEN 'Maryland' WHEN 1 THEN 'ZZ' WHEN 2 THEN NULL ELSE 'VA' END AS state,
+    CASE WHEN s_suppkey % 6 = 1 THEN 'ABCDE' WHEN s_suppkey % 6 = 2 THEN '20746-1234'
+         ELSE lpad(CAST((s_suppkey*31) % 100000 AS VARCHAR), 5, '0') END AS zip
+  FROM supplier),
+contacts AS (
+  SELECT * FROM c1 UNION ALL
+  SELECT * REPLACE (1 AS copy, 'Contact#' || CAST(contact_key AS VARCHAR) AS full_name, 'Q' || CAST(contact_key AS VARCHAR) AS person_id)
+  FROM c1 WHERE contact_key % 6 = 0),
+ctiers AS (
+  SELECT contact_key, address, 0 AS tier, address AS candidate FROM contacts WHERE address IS NOT NULL
+  UNION ALL
+  SELECT contact_key, address, 1, replace(replace(replace(address, '#', ''), 'Ste', 'Suite'), 'Apt', 'Apartment') FROM contacts
+  WHERE address IS NOT NULL AND replace(replace(replace(address, '#', ''), 'Ste', 'Suite'), 'Apt', 'Apartment') <> address
+  UNION ALL
+  SELECT contact_key, address, 2, trim(regexp_replace(address, {UNIT_RE}, '', 'g')) FROM contacts
+  WHERE address IS NOT NULL AND trim(regexp_replace(address, {UNIT_RE}, '', 'g')) <> address
+    AND length(trim(regexp_replace(address, {UNIT_RE}, '', 'g'))) > 10),
+gcache AS (
+  SELECT md5(lower(trim(candidate))) AS addr_key,
+    CASE WHEN tier = CASE contact_key % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 END
+         THEN (2500 + (contact_key*37) % 2400) / CAST(100.0 AS DOUBLE) + 0.001 END AS latitude,
+    CASE WHEN tier = CASE contact_key % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 END
+         THEN -((12400 - (contact_key*53) % 5700) / CAST(100.0 AS DOUBLE)) - 0.001 END AS longitude,
+    candidate AS address,
+    coalesce(tier = CASE contact_key % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 END, false) AS found
+  FROM ctiers
+  WHERE copy_ok AND (tier = CASE contact_key % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 END
+         OR (tier = 0 AND contact_key % 5 IN (1, 2, 3))))"""
+
+# gcache is built only from the first copy of each contact
+CONTACTS = CONTACTS.replace("FROM ctiers\n  WHERE copy_ok AND", "FROM (SELECT DISTINCT contact_key, tier, candidate FROM ctiers) ctiers\n  WHERE")
+
+GEO_RESOLVED = CONTACTS + """,
+todo AS (SELECT DISTINCT * FROM contacts WHERE address IS NOT NULL AND (latitude IS NULL OR longitude IS NULL)),
+utiers AS (
+  SELECT DISTINCT t.address, t.tier, t.candidate FROM ctiers t JOIN (SELECT DISTINCT address FROM todo) u ON t.address = u.address),
+tj AS (SELECT u.*, g.latitude AS g_lat, g.longitude AS g_lon, g.found FROM utiers u LEFT JOIN gcache g ON md5(lower(trim(u.candidate))) = g.addr_key),
+resolved AS (
+  SELECT address,
+    arg_min(g_lat, tier) FILTER (WHERE found AND g_lat IS NOT NULL AND g_lon IS NOT NULL) AS latitude,
+    arg_min(g_lon, tier) FILTER (WHERE found AND g_lat IS NOT NULL AND g_lon IS NOT NULL) AS longitude,
+    min(tier) FILTER (WHERE found AND g_lat IS NOT NULL AND g_lon IS NOT NULL) AS tier,
+    CASE WHEN count(*) FILTER (WHERE found AND g_lat IS NOT NULL AND g_lon IS NOT NULL) > 0 THEN 'hit'
+         WHEN bool_or(found IS NULL) THEN 'unresolved' ELSE 'negative' END AS status
+  FROM tj GROUP BY address)"""
+
+
+def tagged_scored_sql(tag: str, lat, lon, radius, min_ref, wd, wr, wi, wp, k=None, source="enriched",
+                      label: str | None = None) -> str:
+    """``scored_sql`` with CTE names suffixed by ``tag`` and a final SELECT named ``final_<tag>``."""
+    body = scored_sql(lat, lon, radius, min_ref, wd, wr, wi, wp, source=source, k=k)
+    for name in ("cands2", "cands", "normed", "scored", "ranked", "best", "st"):
+        body = body.replace(f"{name} AS (", f"{name}_{tag} AS (")
+        for pre in ("FROM ", "JOIN ", ", "):
+            body = body.replace(f"{pre}{name})", f"{pre}{name}_{tag})").replace(f"{pre}{name} ", f"{pre}{name}_{tag} ") \
+                       .replace(f"{pre}{name}\n", f"{pre}{name}_{tag}\n").replace(f"{pre}{name},", f"{pre}{name}_{tag},")
+    body = body.replace("st.min_", f"st_{tag}.min_").replace("st.max_", f"st_{tag}.max_")
+    head, sel = body.rsplit("\nSELECT ", 1)
+    lab = (label or tag).replace("'", "''")
+    return head + f",\nfinal_{tag} AS (SELECT '{lab}' AS scenario, " + sel + ")"
+
+
+def batch_sql(radius, min_ref, wd, wr, wi, wp, k) -> str:
+    order = ["score DESC NULLS LAST"]
+    order += (["distance_miles DESC NULLS LAST", "referral_count DESC NULLS LAST"] if wd > wr
+              else ["referral_count DESC NULLS LAST", "distance_miles DESC NULLS LAST"])
+    order += ["inbound_referral_count DESC NULLS LAST", "full_name ASC NULLS LAST"]
+    ob = ", ".join(order)
+    base = f"({wd} * norm_dist + {wr} * norm_rank)"
+    score = base
+    if wp > 0:
+        score = f"({score} + {wp} * norm_pref)"
+    if wi > 0:
+        score = f"CASE WHEN inbound_referral_count IS NOT NULL THEN ({base} + {wi} * norm_inbound) ELSE {score} END"
+    ni = ("CASE WHEN st.max_i - st.min_i = 0 THEN 0.0 ELSE (inbound_referral_count - st.min_i) / CAST(st.max_i - st.min_i AS DOUBLE) END"
+          if wi > 0 else "CAST(NULL AS DOUBLE)")
+    return f""",
+{CLIENTS.strip()},
+pairs AS (
+  SELECT c.client_id, c.client_lat, c.client_lon, e.*, {haversine('c.client_lat', 'c.client_lon', 'e.latitude', 'e.longitude')} AS distance_miles
+  FROM clients c, enriched e
+  WHERE e.referral_count >= {min_ref} AND e.latitude IS NOT NULL AND e.longitude IS NOT NULL),
+bp AS (SELECT * FROM pairs WHERE distance_miles <= {float(radius)}),
+st AS (SELECT client_id, min(referral_count) min_c, max(referral_count) max_c, min(distance_miles) min_d, max(distance_miles) max_d,
+              min(CASE WHEN preferred THEN 1 ELSE 0 END) min_p, max(CASE WHEN preferred THEN 1 ELSE 0 END) max_p,
+              min(inbound_referral_count) min_i, max(inbound_referral_count) max_i FROM bp GROUP BY client_id),
+normed AS (
+  SELECT b.*,
+    CASE WHEN st.max_d - st.min_d = 0 THEN 0.0 ELSE (st.max_d - distance_miles) / (st.max_d - st.min_d) END AS norm_dist,
+    CASE WHEN st.max_c - st.min_c = 0 THEN 0.0 ELSE (referral_count - st.min_c) / CAST(st.max_c - st.min_c AS DOUBLE) END AS norm_rank,
+    CASE WHEN st.max_p - st.min_p = 0 THEN 0.0 ELSE ((CASE WHEN preferred THEN 1 ELSE 0 END) - st.min_p) / CAST(st.max_p - st.min_p AS DOUBLE) END AS norm_pref,
+    {ni} AS norm_inbound
+  FROM bp b JOIN st USING (client_id)),
+scored AS (SELECT *, {score} AS score FROM normed),
+best AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY client_id, full_name ORDER BY {ob}) AS rn FROM scored) WHERE rn = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY {ob}) AS rank FROM best)
+SELECT client_id, full_name, round(distance_miles, 6) AS distance_miles, referral_count, inbound_referral_count, preferred,
+  round(norm_dist, 6) AS norm_dist, round(norm_rank, 6) AS norm_rank, round(norm_inbound, 6) AS norm_inbound,
+  round(score, 6) AS score, CAST(rank AS INTEGER) AS rank
+FROM ranked WHERE rank <= {k}"""

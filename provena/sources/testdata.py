@@ -214,3 +214,74 @@ def call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(F.col("event_type").alias("function"), F.col("value").alias("duration_s"),
                     F.col("ts").alias("called_at"), (F.col("event_type") == "error").alias("failed"))
+
+
+def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contact list for geocoding and audits: one row per supplier, plus a
+    second contact sharing the address of every sixth supplier.
+
+    The work address carries a unit suffix (``Ste``/``#``/``Apt``) so the
+    fallback tiers matter; every third supplier lacks coordinates; address
+    parts include full state names and malformed ZIP codes.
+    """
+    s = table(spark, sf_dir, "supplier").select("s_suppkey")
+    k = F.col("s_suppkey")
+    base = F.when(F.pmod(k, F.lit(13)) == 0, F.lit(None).cast("string")).otherwise(
+        F.concat((k * 10 + 1).cast("string"), F.lit(" Main St, City"), F.pmod(k, F.lit(50)).cast("string"),
+                 F.lit(", "), F.when(F.pmod(k, F.lit(2)) == 0, F.lit("MD")).otherwise(F.lit("VA")), F.lit(" "),
+                 F.lpad(F.pmod(k * 31, F.lit(100000)).cast("string"), 5, "0")))
+    unit = F.pmod(k, F.lit(4))
+    suffix = (F.when(unit == 0, F.concat(F.lit(" Ste "), F.pmod(k, F.lit(50)).cast("string")))
+              .when(unit == 1, F.concat(F.lit(" #"), F.pmod(k, F.lit(9)).cast("string")))
+              .when(unit == 2, F.concat(F.lit(" Apt "), F.pmod(k, F.lit(7)).cast("string")))
+              .otherwise(F.lit("")))
+    missing = F.pmod(k, F.lit(3)) == 0
+    lat = key_lat_hundredths(k) / F.lit(100.0)
+    lon = -key_lon_hundredths(k) / F.lit(100.0)
+    st = F.pmod(k, F.lit(5))
+    one = s.select(
+        k.alias("contact_key"),
+        F.lit(0).alias("copy"),
+        _key_name(k).alias("full_name"),
+        F.concat(F.lit("P"), k.cast("string")).alias("person_id"),
+        F.concat(base, suffix).alias("address"),
+        F.when(missing | _no_geo(k), F.lit(None).cast("double")).otherwise(lat).alias("latitude"),
+        F.when(missing | _no_geo(k), F.lit(None).cast("double")).otherwise(lon).alias("longitude"),
+        key_phone(k, F.pmod(k, F.lit(4))).alias("phone"),
+        F.when(F.pmod(k, F.lit(11)) == 0, F.lit("")).otherwise(F.concat((k * 10 + 1).cast("string"), F.lit(" Main St"))).alias("street"),
+        F.when(F.pmod(k, F.lit(7)) == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("City"), F.pmod(k, F.lit(50)).cast("string"))).alias("city"),
+        F.when(st == 0, F.lit("Maryland")).when(st == 1, F.lit("ZZ")).when(st == 2, F.lit(None).cast("string"))
+         .otherwise(F.lit("VA")).alias("state"),
+        F.when(F.pmod(k, F.lit(6)) == 1, F.lit("ABCDE")).when(F.pmod(k, F.lit(6)) == 2, F.lit("20746-1234"))
+         .otherwise(F.lpad(F.pmod(k * 31, F.lit(100000)).cast("string"), 5, "0")).alias("zip"),
+    )
+    two = (one.filter(F.pmod(F.col("contact_key"), F.lit(6)) == 0)
+           .withColumn("copy", F.lit(1))
+           .withColumn("full_name", F.concat(F.lit("Contact#"), F.col("contact_key").cast("string")))
+           .withColumn("person_id", F.concat(F.lit("Q"), F.col("contact_key").cast("string"))))
+    return one.unionByName(two)
+
+
+def geocode_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyed cache for the contacts without coordinates: by key class, a hit on
+    the original address, on the cleaned address, on the unit-stripped
+    address, a negative entry only, or nothing at all."""
+    from provena.functions.text import address_key
+    from provena.operators.geocode import address_tiers
+    c = contacts(spark, sf_dir).filter((F.col("copy") == 0) & F.col("address").isNotNull())
+    k = F.col("contact_key")
+    cls = F.pmod(k, F.lit(5))
+    tiers = c.select("contact_key", F.inline(address_tiers(F.col("address"))))
+    lat = key_lat_hundredths(k) / F.lit(100.0) + F.lit(0.001)
+    lon = -key_lon_hundredths(k) / F.lit(100.0) - F.lit(0.001)
+    hit_tier = F.when(cls == 0, F.lit(0)).when(cls == 1, F.lit(1)).when(cls == 2, F.lit(2))
+    found = F.col("tier") == hit_tier
+    keep = found | ((F.col("tier") == 0) & cls.isin(1, 2, 3))
+    return tiers.filter(keep).select(
+        address_key(F.col("candidate")).alias("addr_key"),
+        F.when(found, lat).alias("latitude"),
+        F.when(found, lon).alias("longitude"),
+        F.col("candidate").alias("address"),
+        F.coalesce(found, F.lit(False)).alias("found"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("looked_up_at"),
+    )
