@@ -30,9 +30,9 @@ def _rec(k=None, w=P.WEIGHTS, specialties=None) -> str:
 
 def _null_profile() -> str:
     parts = " UNION ALL ".join(
-        f"SELECT '{c}' AS column, count(*) FILTER (WHERE {c} IS NULL) AS null_count, count(*) AS n FROM referrals"
+        f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {c} IS NULL) AS null_count, count(*) AS n FROM referrals"
         for c in _REFCOLS)
-    return (O.with_(O.REFERRALS) + "\nSELECT column, null_count, CASE WHEN n > 0 THEN round((n - null_count) / n * 100, 2) "
+    return (O.with_(O.REFERRALS) + "\nSELECT \"column\", null_count, CASE WHEN n > 0 THEN round((n - null_count) / n * 100, 2) "
             f"END AS non_null_pct FROM ({parts})")
 
 
