@@ -267,6 +267,12 @@ SELECT address, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude
         "geocode_enriched": O.with_(O.GEO_RESOLVED) + f"""
 SELECT t.person_id, t.full_name, t.address, round(coalesce(t.latitude, r.latitude), 6) AS latitude,
   round(coalesce(t.longitude, r.longitude), 6) AS longitude, r.tier, r.status {geo_join}""",
+        "stream_intake": O.with_(O.REFERRALS) + f"""
+SELECT {refsel} FROM (SELECT * FROM prim UNION ALL SELECT * FROM sec UNION ALL SELECT * FROM outb)""",
+        "stream_first_seen": O.with_(O.REFERRALS) + f"""
+SELECT person_id, project_id, full_name, work_phone, date_of_intake FROM (
+  SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY {O.SEQ}) AS rn FROM sec WHERE person_id IS NOT NULL)
+WHERE rn = 1""",
         "geocode_report": O.with_(O.GEO_RESOLVED + f""",
 e AS (SELECT coalesce(t.latitude, r.latitude) AS lat, coalesce(t.longitude, r.longitude) AS lon {geo_join})""") + """
 SELECT count(*) AS total, count(*) FILTER (WHERE lat IS NOT NULL AND lon IS NOT NULL) AS succeeded,

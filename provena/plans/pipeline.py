@@ -30,7 +30,7 @@ WINDOW = ("1997-01-01 00:00:00", "1998-12-31 00:00:00")
 class Context:
     """Per-query stage cache: each reused intermediate is materialised once.
 
-    ``raw`` is the derived export landed as a table; ``referrals`` (cleaned long table) feeds the roll-up, the inbound counts
+    ``raw`` is the derived export; ``referrals`` (cleaned long table) feeds the roll-up, the inbound counts
     and the windowed counts; ``enriched`` feeds both the candidate
     statistics and the scored rows.  Both are cut with a reliable
     checkpoint in ``spark.checkpoint.dir`` (survives executor loss); a new
@@ -45,15 +45,15 @@ class Context:
 
     @property
     def raw(self) -> DataFrame:
-        """The derived wide export, landed once as a table (exports arrive as files)."""
+        """The derived wide export (lazy; Spark derives it from the driver tables)."""
         if self._raw is None:
-            self._raw = cut_lineage(td.raw_referrals(self.spark, self.sf_dir))
+            self._raw = td.raw_referrals(self.spark, self.sf_dir)
         return self._raw
 
     @property
     def referrals(self) -> DataFrame:
         if self._referrals is None:
-            self._referrals = cut_lineage(referrals.process_referrals(self.raw, materialize=False))
+            self._referrals = cut_lineage(referrals.process_referrals(self.raw, materialize=True))
         return self._referrals
 
     @property

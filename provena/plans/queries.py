@@ -215,6 +215,36 @@ def geocode_report(spark, sf):
     return geocode.geocode_report(_geocoded(spark, sf), "latitude", "longitude")
 
 
+# --- streaming intake -----------------------------------------------------------
+def _stream_run(spark, sf, runner) -> DataFrame:
+    """Land the derived export as arriving files, drain them with ``runner``, read the target."""
+    import uuid
+    from provena.session import checkpoint_dir
+    from provena.streaming import intake as S
+    base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    raw = td.raw_referrals(spark, sf)
+    raw.withColumn("_batch", F.pmod(F.col("_seq.l_orderkey"), F.lit(4))).write.partitionBy("_batch").parquet(f"{base}/landing")
+    schema = spark.read.parquet(f"{base}/landing").drop("_batch").schema
+    runner(spark, f"{base}/landing", schema, f"{base}/target", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/target")
+
+
+def stream_intake(spark, sf):
+    from provena.streaming import intake as S
+    return _stream_run(spark, sf, S.run_intake).drop("_seq")
+
+
+def stream_first_seen(spark, sf):
+    from provena.streaming import intake as S
+    return _stream_run(spark, sf, S.run_first_seen).select(
+        "person_id", "project_id", "full_name", "work_phone", "date_of_intake")
+
+
+def stream_running_counts(spark, sf):
+    from provena.streaming import intake as S
+    return _stream_run(spark, sf, S.run_running_counts)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in [
         referrals_etl, preparation_summary, provider_rollup, enriched_providers, inbound_counts,
@@ -226,5 +256,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         referral_type_distribution, coverage_stats, null_profile, freshness_breakdown, call_log_rollup,
         bidirectional_providers, address_audit, address_advice, duplicate_addresses,
         needs_geocoding, geocode_resolved, geocode_enriched, geocode_report,
+        stream_intake, stream_first_seen, stream_running_counts,
     ]
 }
