@@ -68,7 +68,7 @@ def _tidy(x: str) -> str:
 def haversine(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     a = (f"pow(sin((radians({lat2}) - radians({lat1})) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * "
          f"pow(sin((radians({lon2}) - radians({lon1})) / 2), 2)")
-    return f"(7917.6 * asin(least(1.0, sqrt({a}))))"
+    return f"(7917.6 * asin(CASE WHEN sqrt({a}) > 1.0 THEN 1.0 ELSE sqrt({a}) END))"
 
 
 def _dir(prefix: str) -> str:

@@ -53,7 +53,10 @@ def haversine_miles(lat1, lon1, lat2, lon2) -> Column:
     dphi = p2 - p1
     dlmb = F.radians(_c(lon2)) - F.radians(_c(lon1))
     a = F.pow(F.sin(dphi / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(dlmb / 2), 2)
-    return F.lit(2 * EARTH_RADIUS_MILES) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    root = F.sqrt(a)
+    # Clamp rounding overshoot to 1 without ``least`` (which would turn a null into 1).
+    clamped = F.when(root > 1.0, F.lit(1.0)).otherwise(root)
+    return F.lit(2 * EARTH_RADIUS_MILES) * F.asin(clamped)
 
 
 class Grid:
