@@ -252,6 +252,16 @@ SELECT event_type AS function, count(*) AS calls, round(avg(value), 6) AS avg_s,
   round(count(*) FILTER (WHERE event_type = 'error') / count(*) * 100, 6) AS error_pct, max(ts) AS last_call,
   avg(value) > 10.0 AS slow
 FROM events GROUP BY event_type""",
+        "referral_statistics": O.with_(O.REFERRALS + """,
+per AS (SELECT referral_type, full_name, count(*) AS n FROM referrals WHERE full_name IS NOT NULL GROUP BY ALL)""") + """
+SELECT referral_type, sum(n) AS referrals, count(*) AS providers, max(n) AS max_per_provider,
+       quantile_cont(n, 0.5) AS median_per_provider FROM per GROUP BY referral_type""",
+        "output_schema_check": O.with_(O.REFERRALS) + "\n" + " UNION ALL ".join(
+            f"SELECT '{c}' AS \"column\", true AS present, count(*) FILTER (WHERE {c} IS NOT NULL AND "
+            f"TRY_CAST(CAST({c} AS VARCHAR) AS {t}) IS NULL) AS bad_values FROM referrals"
+            for c, t in [("full_name", "VARCHAR"), ("work_address", "VARCHAR"), ("work_phone", "VARCHAR"),
+                         ("latitude", "DOUBLE"), ("longitude", "DOUBLE"), ("project_id", "BIGINT")])
+        + " UNION ALL SELECT 'specialty', false, CAST(0 AS BIGINT)",
         "bidirectional_providers": O.with_(O.REFERRALS) + """
 SELECT full_name FROM referrals WHERE referral_type = 'inbound' AND full_name IS NOT NULL
 INTERSECT SELECT full_name FROM referrals WHERE referral_type = 'outbound'""",

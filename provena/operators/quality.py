@@ -273,3 +273,31 @@ def audit_summary(audited: DataFrame) -> DataFrame:
     """Per-check pass/fail counts of an audit."""
     return audited.groupBy("check").agg(F.count_if(F.col("ok")).alias("passed"),
                                         F.count_if(~F.col("ok")).alias("failed"))
+
+
+def output_schema_check(df: DataFrame, expected: dict[str, str]) -> DataFrame:
+    """For each expected column — present, and how many non-null values fail the expected type."""
+    checks = []
+    for col, typ in expected.items():
+        if col in df.columns:
+            bad = F.count_if(F.col(col).isNotNull() & try_cast(F.col(col).cast("string"), typ).isNull())
+            checks.append(F.struct(F.lit(col).alias("column"), F.lit(True).alias("present"), bad.alias("bad_values")))
+        else:
+            checks.append(F.struct(F.lit(col).alias("column"), F.lit(False).alias("present"),
+                                   F.lit(0).cast("bigint").alias("bad_values")))
+    return df.agg(F.array(*checks).alias("c")).select(F.inline("c"))
+
+
+def referral_statistics(referrals: DataFrame) -> DataFrame:
+    """Per referral type — referrals, providers, and referrals per provider (max, exact median)."""
+    per = (referrals.filter(F.col("full_name").isNotNull())
+           .groupBy("referral_type", "full_name").agg(F.count(F.lit(1)).alias("n")))
+    return per.groupBy("referral_type").agg(
+        F.sum("n").alias("referrals"), F.count(F.lit(1)).alias("providers"),
+        F.max("n").alias("max_per_provider"), F.percentile("n", 0.5).alias("median_per_provider"))
+
+
+def providers_missing_geo(providers: DataFrame) -> DataFrame:
+    """D24 (second report): providers without usable coordinates."""
+    return providers.filter(F.col("latitude").isNull() | F.col("longitude").isNull()
+                            | (F.col("latitude") == 0) | (F.col("longitude") == 0))

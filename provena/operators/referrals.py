@@ -209,3 +209,20 @@ def write_referrals(referrals: DataFrame, out_dir: str) -> None:
      .sortWithinPartitions(F.asc_nulls_last("date_of_intake"), F.asc_nulls_last("full_name"))
      .write.mode("overwrite").option("compression", "snappy")
      .partitionBy("referral_type").parquet(out_dir))
+
+
+# Columns whose presence marks an export as already cleaned.
+CLEANED_MARKERS = ["full_name", "work_address", "work_phone", "latitude", "longitude", "referral_type"]
+
+
+def is_cleaned(df: DataFrame) -> bool:
+    """Plan-time check — at least 4 of the 6 canonical columns present."""
+    return sum(c in df.columns for c in CLEANED_MARKERS) >= 4
+
+
+def date_column(df: DataFrame) -> str | None:
+    """The date column a window applies to (``date_of_intake`` first, then ``referral_date``)."""
+    for c in ("date_of_intake", "referral_date"):
+        if c in df.columns:
+            return c
+    return None

@@ -173,6 +173,17 @@ def call_log_rollup(spark, sf):
         "function", "calls", _r("avg_s"), _r("max_s"), _r("error_pct"), "last_call", "slow")
 
 
+def referral_statistics(spark, sf):
+    return quality.referral_statistics(P.cleaned_referrals(spark, sf))
+
+
+def output_schema_check(spark, sf):
+    refs = P.cleaned_referrals(spark, sf)
+    return quality.output_schema_check(refs, {"full_name": "string", "work_address": "string", "work_phone": "string",
+                                              "latitude": "double", "longitude": "double", "project_id": "bigint",
+                                              "specialty": "string"})
+
+
 def bidirectional_providers(spark, sf):
     return quality.bidirectional_providers(P.cleaned_referrals(spark, sf))
 
@@ -254,7 +265,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         batch_top5, radius_pairs, scenario_comparison,
         data_quality, integrity_report, provider_validation, us_bounds_audit, issue_records,
         referral_type_distribution, coverage_stats, null_profile, freshness_breakdown, call_log_rollup,
-        bidirectional_providers, address_audit, address_advice, duplicate_addresses,
+        referral_statistics, output_schema_check, bidirectional_providers, address_audit, address_advice, duplicate_addresses,
         needs_geocoding, geocode_resolved, geocode_enriched, geocode_report,
         stream_intake, stream_first_seen, stream_running_counts,
     ]
