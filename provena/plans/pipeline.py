@@ -53,7 +53,9 @@ class Context:
     @property
     def referrals(self) -> DataFrame:
         if self._referrals is None:
-            self._referrals = cut_lineage(referrals.process_referrals(self.raw, materialize=True))
+            # The exploded long rows are written once inside process_referrals;
+            # the Person-ID keep-first on top of them is cheap and stays lazy.
+            self._referrals = referrals.process_referrals(self.raw, materialize=True)
         return self._referrals
 
     @property
