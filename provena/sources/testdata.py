@@ -98,10 +98,14 @@ def supplier_count(spark: SparkSession, sf_dir: str) -> Column:
 def provider_directory(spark: SparkSession, sf_dir: str, prefix: str) -> DataFrame:
     """Per-supplier contact attributes, computed once per supplier (not per referral)."""
     k = F.col("s_suppkey")
+    d = key_phone_digits(k)
     return table(spark, sf_dir, "supplier").select(
         k.alias(f"{prefix}key"),
         _key_name(k).alias(f"{prefix}name"),
-        key_phone_digits(k).alias(f"{prefix}digits"),
+        d.alias(f"{prefix}digits"),
+        phone_variant(d, F.lit(0)).alias(f"{prefix}ph0"),
+        phone_variant(d, F.lit(1)).alias(f"{prefix}ph1"),
+        phone_variant(d, F.lit(2)).alias(f"{prefix}ph2"),
         key_address(k).alias(f"{prefix}address"),
         key_lat_text(k).alias(f"{prefix}lat"),
         key_lon_text(k, F.lit(False)).alias(f"{prefix}lon"),
@@ -129,7 +133,14 @@ def raw_referrals(spark: SparkSession, sf_dir: str) -> DataFrame:
     ln = F.col("l_linenumber")
     variant = F.pmod(F.col("l_partkey"), F.lit(4))
     doctor = F.lit(DOCTOR_OFFICE_SOURCE)
-    ship_text = F.date_format("l_shipdate", "yyyy-MM-dd")
+    # Plain casts render the same text as yyyy-MM-dd[ HH:mm:ss] and are much
+    # cheaper per row than a pattern formatter.
+    ship_text = F.col("l_shipdate").cast("date").cast("string")
+
+    def pick_phone(prefix: str, v: Column) -> Column:
+        """One of the three pre-rendered variants (3 → missing)."""
+        return (F.when(v == 0, F.col(f"{prefix}ph0")).when(v == 1, F.col(f"{prefix}ph1"))
+                .when(v == 2, F.col(f"{prefix}ph2")))
 
     def dirty_lon(c: str, dirty: Column) -> Column:
         return F.when(dirty & F.col(c).isNotNull(), F.concat(F.lit("-"), F.col(c))).otherwise(F.col(c))
@@ -138,26 +149,26 @@ def raw_referrals(spark: SparkSession, sf_dir: str) -> DataFrame:
         "Project ID": F.col("l_orderkey").cast("string"),
         "Date of Intake": (F.when(ln == 4, F.lit(None).cast("string"))
                            .when(ln == 3, F.datediff(F.col("o_orderdate").cast("date"), F.lit("1899-12-30").cast("date")).cast("string"))
-                           .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))),
+                           .otherwise(F.col("o_orderdate").cast("string"))),
         "Create Date": ship_text,
         "Referral Source": F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH", "3-MEDIUM"), doctor)
                             .otherwise(F.lit("Self Referral")),
         "Referred From Full Name": F.when(ln != 6, F.col("f_name")),
-        "Referred From's Work Phone": phone_variant(F.col("f_digits"), F.pmod(variant + 1, F.lit(4))),
+        "Referred From's Work Phone": pick_phone("f_", F.pmod(variant + 1, F.lit(4))),
         "Referred From's Work Address": F.col("f_address"),
         "Referred From's Details: Latitude": F.col("f_lat"),
         "Referred From's Details: Longitude": dirty_lon("f_lon", ln == 2),
         "Referred From's Details: Last Verified Date": ship_text,
         "Secondary Referral Source": F.when(F.col("s_key").isNotNull() & (F.col("o_orderpriority") != "5-LOW"), doctor),
         "Secondary Referred From Full Name": F.col("s_name"),
-        "Secondary Referred From's Work Phone": phone_variant(F.col("s_digits"), variant),
+        "Secondary Referred From's Work Phone": pick_phone("s_", variant),
         "Secondary Referred From's Work Address": F.col("s_address"),
         "Secondary Referred From's Details: Latitude": F.col("s_lat"),
         "Secondary Referred From's Details: Longitude": F.col("s_lon"),
         "Secondary Referred From's Details: Last Verified Date": F.when(F.col("s_key").isNotNull(), ship_text),
         "Secondary Referred From's Details: Person ID": F.concat(F.lit("P"), F.col("s_key").cast("string")),
         "Dr/Facility Referred To Full Name": F.col("t_name"),
-        "Dr/Facility Referred To's Work Phone": phone_variant(F.col("t_digits"), variant),
+        "Dr/Facility Referred To's Work Phone": pick_phone("t_", variant),
         "Dr/Facility Referred To's Work Address": F.col("t_address"),
         "Dr/Facility Referred To's Details: Latitude": F.col("t_lat"),
         "Dr/Facility Referred To's Details: Longitude": dirty_lon("t_lon", ln == 5),
