@@ -262,6 +262,25 @@ SELECT referral_type, sum(n) AS referrals, count(*) AS providers, max(n) AS max_
             for c, t in [("full_name", "VARCHAR"), ("work_address", "VARCHAR"), ("work_phone", "VARCHAR"),
                          ("latitude", "DOUBLE"), ("longitude", "DOUBLE"), ("project_id", "BIGINT")])
         + " UNION ALL SELECT 'specialty', false, CAST(0 AS BIGINT)",
+        "preferred_share": O.with_(O.ENRICHED) + """
+SELECT count(*) FILTER (WHERE preferred) AS preferred_count, count(*) AS total_count,
+  round(avg(CASE WHEN preferred THEN 1.0 ELSE 0.0 END) * 100, 1) AS preferred_pct,
+  avg(CASE WHEN preferred THEN 1.0 ELSE 0.0 END) * 100 > 80.0 AS alarm FROM enriched""",
+        "freshness_table": O.with_(O.ENRICHED + f""",
+aged AS (SELECT full_name, last_verified_date AS d,
+  CASE WHEN last_verified_date IS NULL THEN NULL
+       ELSE greatest(0, CAST(floor(date_diff('second', last_verified_date, TIMESTAMP '{Q.AS_OF}') / 86400) AS BIGINT))
+  END AS age_days FROM enriched),
+st AS (SELECT *, CASE WHEN age_days IS NULL THEN 'Unknown' WHEN age_days <= 90 THEN 'Fresh' WHEN age_days <= 180 THEN 'Stale'
+                      ELSE 'Very Stale' END AS status FROM aged)""") + """
+SELECT full_name, age_days, status,
+  CASE WHEN d IS NULL THEN 'Not Available'
+       ELSE (CASE status WHEN 'Fresh' THEN '✅' WHEN 'Stale' THEN '⚠️' WHEN 'Very Stale' THEN '❌' ELSE '❓' END)
+            || ' ' || strftime(d, '%Y-%m-%d') || ' (' || CAST(age_days AS VARCHAR) || ' days ago)' END AS display
+FROM st""",
+        "geocode_retry_join": O.with_(O.GEO_RESOLVED) + """
+SELECT t.full_name, t.person_id, round(r.latitude, 6) AS latitude, round(r.longitude, 6) AS longitude
+FROM todo t RIGHT JOIN (SELECT * FROM resolved WHERE status = 'hit' AND tier > 0) r ON t.address = r.address""",
         "bidirectional_providers": O.with_(O.REFERRALS) + """
 SELECT full_name FROM referrals WHERE referral_type = 'inbound' AND full_name IS NOT NULL
 INTERSECT SELECT full_name FROM referrals WHERE referral_type = 'outbound'""",

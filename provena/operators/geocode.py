@@ -116,3 +116,11 @@ def merge_cache(cache: DataFrame, new_entries: DataFrame) -> DataFrame:
     from provena.operators.dedup import keep_first
     allc = cache.unionByName(new_entries, allowMissingColumns=True)
     return keep_first(allc, ["addr_key"], [F.col("looked_up_at").desc_nulls_last()])
+
+
+def retry_join(contacts: DataFrame, retries: DataFrame, address: str, name: str, person_id: str) -> DataFrame:
+    """Contacts RIGHT JOIN retry results on the address; four columns kept."""
+    r = retries.select(F.col("address").alias("_r_addr"), F.col("latitude").alias("latitude"),
+                       F.col("longitude").alias("longitude"))
+    c = contacts.select(F.col(address).alias("_c_addr"), F.col(name).alias("full_name"), F.col(person_id).alias("person_id"))
+    return c.join(r, c["_c_addr"] == r["_r_addr"], "right").select("full_name", "person_id", "latitude", "longitude")

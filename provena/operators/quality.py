@@ -301,3 +301,20 @@ def providers_missing_geo(providers: DataFrame) -> DataFrame:
     """D24 (second report): providers without usable coordinates."""
     return providers.filter(F.col("latitude").isNull() | F.col("longitude").isNull()
                             | (F.col("latitude") == 0) | (F.col("longitude") == 0))
+
+
+def preferred_share(providers: DataFrame, alarm_pct: float = 80.0) -> DataFrame:
+    """Share of providers marked preferred (percent) and the too-many alarm."""
+    pct = F.avg(F.col("preferred").cast("double")) * 100
+    return providers.agg(F.count_if(F.col("preferred")).alias("preferred_count"),
+                         F.count(F.lit(1)).alias("total_count"),
+                         F.round(pct, 1).alias("preferred_pct"),
+                         (pct > alarm_pct).alias("alarm"))
+
+
+def freshness_table(providers: DataFrame, as_of: str, stale_days: int = 90, very_stale_days: int = 180) -> DataFrame:
+    """H14 + H15 per provider: age in days, status and the display string."""
+    d = F.col("last_verified_date")
+    return providers.select("full_name", tfn.age_days(d, as_of).alias("age_days"),
+                            tfn.freshness_status(d, as_of, stale_days, very_stale_days).alias("status"),
+                            tfn.freshness_display(d, as_of, stale_days, very_stale_days).alias("display"))

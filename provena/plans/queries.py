@@ -173,6 +173,25 @@ def call_log_rollup(spark, sf):
         "function", "calls", _r("avg_s"), _r("max_s"), _r("error_pct"), "last_call", "slow")
 
 
+def preferred_share(spark, sf):
+    return quality.preferred_share(P.enriched_providers(spark, sf))
+
+
+def freshness_table(spark, sf):
+    return quality.freshness_table(P.enriched_providers(spark, sf), AS_OF)
+
+
+def geocode_retry_join(spark, sf):
+    """Successes of the first pass, plus retry hits joined back to contacts."""
+    contacts = td.contacts(spark, sf)
+    cache = td.geocode_cache(spark, sf)
+    todo = geocode.needs_geocoding(contacts, "address", "latitude", "longitude")
+    resolved = geocode.resolve_addresses(todo, cache)
+    retries = resolved.filter((F.col("status") == "hit") & (F.col("tier") > 0))
+    joined = geocode.retry_join(todo, retries, "address", "full_name", "person_id")
+    return joined.select("full_name", "person_id", _r("latitude"), _r("longitude"))
+
+
 def referral_statistics(spark, sf):
     return quality.referral_statistics(P.cleaned_referrals(spark, sf))
 
@@ -265,7 +284,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         batch_top5, radius_pairs, scenario_comparison,
         data_quality, integrity_report, provider_validation, us_bounds_audit, issue_records,
         referral_type_distribution, coverage_stats, null_profile, freshness_breakdown, call_log_rollup,
-        referral_statistics, output_schema_check, bidirectional_providers, address_audit, address_advice, duplicate_addresses,
+        referral_statistics, output_schema_check, preferred_share, freshness_table, geocode_retry_join, bidirectional_providers, address_audit, address_advice, duplicate_addresses,
         needs_geocoding, geocode_resolved, geocode_enriched, geocode_report,
         stream_intake, stream_first_seen, stream_running_counts,
     ]
