@@ -16,7 +16,6 @@ import json
 import os
 import re
 import sys
-import tempfile
 import time
 from pathlib import Path
 
@@ -34,9 +33,10 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     m = re.search(r"sf([0-9.]+)", sf_dir)
     sf = float(m.group(1)) if m else None
-    scratch = tempfile.mkdtemp(prefix="provena-bench-")
+    # The shared checkpoint folder comes from the session's configuration;
+    # checkpoint_dir() only creates a scratch folder when none is named.
     spark = build_session(f"local[{cpus}]", int(cpus) * 2, app_name="provena-bench",
-                          extra={"spark.checkpoint.dir": scratch, "spark.driver.memory": "16g"})
+                          extra={"spark.driver.memory": "16g"})
     Q.call_log_rollup(spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
     times = {}
     for name in HEADLINE:

@@ -1,5 +1,4 @@
 import sys
-import tempfile
 from pathlib import Path
 
 import pytest
@@ -7,14 +6,14 @@ import pytest
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 
-from provena.session import build_session  # noqa: E402
+from provena.session import build_session, checkpoint_dir  # noqa: E402
 
 SF_SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
 def spark():
-    scratch = tempfile.mkdtemp(prefix="provena-tests-")
-    s = build_session("local[4]", 4, app_name="provena-tests", extra={"spark.checkpoint.dir": scratch})
+    s = build_session("local[4]", 4, app_name="provena-tests")
+    checkpoint_dir(s)  # keeps a configured shared folder; makes a scratch one only when unset
     yield s
     s.stop()
