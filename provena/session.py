@@ -80,6 +80,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     would compute the plan twice.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    # Namespaced per application so a finished application's tables can be
+    # removed as a whole by the folder's retention policy.
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{app}/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
