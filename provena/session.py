@@ -85,4 +85,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     # removed as a whole by the folder's retention policy.
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{app}/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    # Known schema: no footer-inference job on the way back.
+    return spark.read.schema(df.schema).parquet(path)
