@@ -7,7 +7,9 @@ many-client radius join and two reports on ``$BENCH_SF_DIR`` (default
 
 Each query is timed end to end (including its own materialised stages)
 with a full ``noop`` write so every row is computed; one untimed warm-up
-query runs first so JVM start-up is not charged to the first query.
+query runs first so JVM start-up is not charged to the first query.  The
+derived input exports are landed once (timed as ``land_inputs``, part of
+the total), then every query reads them.
 """
 
 from __future__ import annotations
@@ -39,6 +41,13 @@ def main() -> None:
                           extra={"spark.driver.memory": "16g"})
     Q.call_log_rollup(spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
     times = {}
+    # The derived exports (referral export, preferred list, contacts, geocode
+    # cache) are landed once, as files arrive in storage; this cost is timed
+    # and counted in the total.
+    from provena.sources import testdata as td
+    t0 = time.perf_counter()
+    td.land_inputs(spark, sf_dir)
+    times["land_inputs"] = round(time.perf_counter() - t0, 3)
     for name in HEADLINE:
         t0 = time.perf_counter()
         Q.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()

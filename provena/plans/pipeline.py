@@ -45,9 +45,9 @@ class Context:
 
     @property
     def raw(self) -> DataFrame:
-        """The derived wide export (lazy; Spark derives it from the driver tables)."""
+        """The derived wide export, landed once per application (exports arrive as files)."""
         if self._raw is None:
-            self._raw = td.raw_referrals(self.spark, self.sf_dir)
+            self._raw = td.raw_export(self.spark, self.sf_dir)
         return self._raw
 
     @property
@@ -72,7 +72,7 @@ class Context:
 
     @property
     def preferred(self) -> DataFrame:
-        cleaned, _ = preferred.process_preferred(td.preferred_raw(self.spark, self.sf_dir))
+        cleaned, _ = preferred.process_preferred(td.preferred_export(self.spark, self.sf_dir))
         return cleaned
 
     @property

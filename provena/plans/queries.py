@@ -74,17 +74,17 @@ def unique_specialties(spark, sf):
 
 # --- preferred list -----------------------------------------------------------
 def preferred_list(spark, sf):
-    cleaned, _ = preferred.process_preferred(td.preferred_raw(spark, sf))
+    cleaned, _ = preferred.process_preferred(td.preferred_export(spark, sf))
     return cleaned.drop("_seq")
 
 
 def preferred_missing_geo(spark, sf):
-    _, missing = preferred.process_preferred(td.preferred_raw(spark, sf))
+    _, missing = preferred.process_preferred(td.preferred_export(spark, sf))
     return missing.drop("_seq")
 
 
 def preferred_summary(spark, sf):
-    return preferred.preferred_summary(td.preferred_raw(spark, sf))
+    return preferred.preferred_summary(td.preferred_export(spark, sf))
 
 
 # --- recommendation -----------------------------------------------------------
@@ -183,8 +183,8 @@ def freshness_table(spark, sf):
 
 def geocode_retry_join(spark, sf):
     """Successes of the first pass, plus retry hits joined back to contacts."""
-    contacts = td.contacts(spark, sf)
-    cache = td.geocode_cache(spark, sf)
+    contacts = td.contact_table(spark, sf)
+    cache = td.cache_table(spark, sf)
     todo = geocode.needs_geocoding(contacts, "address", "latitude", "longitude")
     resolved = geocode.resolve_addresses(todo, cache)
     retries = resolved.filter((F.col("status") == "hit") & (F.col("tier") > 0))
@@ -208,33 +208,33 @@ def bidirectional_providers(spark, sf):
 
 
 def address_audit(spark, sf):
-    return quality.audit(td.contacts(spark, sf), "person_id", address="address", lat="latitude", lon="longitude",
+    return quality.audit(td.contact_table(spark, sf), "person_id", address="address", lat="latitude", lon="longitude",
                          phone="phone", parts=("street", "city", "state", "zip"))
 
 
 def address_advice(spark, sf):
     ok, errors, sugg = quality.address_parts_advice(F.col("street"), F.col("city"), F.col("state"), F.col("zip"))
-    return td.contacts(spark, sf).select("person_id", ok.alias("ok"), F.array_join(errors, "; ").alias("errors"),
+    return td.contact_table(spark, sf).select("person_id", ok.alias("ok"), F.array_join(errors, "; ").alias("errors"),
                                          F.array_join(sugg, "; ").alias("suggestions"))
 
 
 def duplicate_addresses(spark, sf):
-    return quality.duplicate_address_savings(td.contacts(spark, sf), "address")
+    return quality.duplicate_address_savings(td.contact_table(spark, sf), "address")
 
 
 # --- geocoding ----------------------------------------------------------------
 def needs_geocoding(spark, sf):
-    return geocode.needs_geocoding(td.contacts(spark, sf), "address", "latitude", "longitude")
+    return geocode.needs_geocoding(td.contact_table(spark, sf), "address", "latitude", "longitude")
 
 
 def geocode_resolved(spark, sf):
-    todo = geocode.needs_geocoding(td.contacts(spark, sf), "address", "latitude", "longitude")
-    r = geocode.resolve_addresses(todo, td.geocode_cache(spark, sf))
+    todo = geocode.needs_geocoding(td.contact_table(spark, sf), "address", "latitude", "longitude")
+    r = geocode.resolve_addresses(todo, td.cache_table(spark, sf))
     return r.select("address", _r("latitude"), _r("longitude"), "tier", "status")
 
 
 def _geocoded(spark, sf):
-    return geocode.enrich_contacts(td.contacts(spark, sf), td.geocode_cache(spark, sf), "address", "latitude", "longitude")
+    return geocode.enrich_contacts(td.contact_table(spark, sf), td.cache_table(spark, sf), "address", "latitude", "longitude")
 
 
 def geocode_enriched(spark, sf):
@@ -252,7 +252,7 @@ def _stream_run(spark, sf, runner) -> DataFrame:
     from provena.session import checkpoint_dir
     from provena.streaming import intake as S
     base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    raw = td.raw_referrals(spark, sf)
+    raw = td.raw_export(spark, sf)
     raw.withColumn("_batch", F.pmod(F.col("_seq.l_orderkey"), F.lit(4))).write.partitionBy("_batch").parquet(f"{base}/landing")
     schema = spark.read.parquet(f"{base}/landing").drop("_batch").schema
     runner(spark, f"{base}/landing", schema, f"{base}/target", f"{base}/checkpoint")
