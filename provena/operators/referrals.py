@@ -106,15 +106,23 @@ def _party_struct(raw: DataFrame, cfg: ReferralConfig) -> Column:
     return F.struct(*fields)
 
 
-def split_referrals(raw: DataFrame, configs: list[ReferralConfig] | None = None) -> DataFrame:
-    """One scan, explode surviving parties; cleaned long rows (H1/H4/H5)."""
+def split_referrals(raw: DataFrame, configs: list[ReferralConfig] | None = None,
+                    only: list[int] | None = None) -> DataFrame:
+    """One scan, explode surviving parties; cleaned long rows (H1/H4/H5).
+
+    ``only`` restricts the split to some parties (indices into ``configs``,
+    kept as ``_cfg``); the other parties' columns are then never read.
+    """
     configs = configs or default_configs()
+    only = list(range(len(configs))) if only is None else only
     norm = normalize_raw(raw)
     pid = (try_cast(F.col(f"`{S.RAW_PROJECT_ID}`").cast("string"), "bigint")
            if S.RAW_PROJECT_ID in raw.columns else F.lit(None).cast("bigint"))
     seq = F.col("_seq") if "_seq" in raw.columns else F.monotonically_increasing_id()
     parties = []
     for i, cfg in enumerate(configs):
+        if i not in only:
+            continue
         st = _party_struct(norm, cfg)
         keep = functools.reduce(lambda a, b: a & b, [p(st) for p in cfg.predicates], F.lit(True))
         tagged = st.withField("_cfg", F.lit(i)).withField("_keep", F.coalesce(keep, F.lit(False)))
@@ -176,22 +184,41 @@ def dedup_person_ids(long: DataFrame, configs: list[ReferralConfig] | None = Non
     return untouched.unionByName(firsts)
 
 
-def process_referrals(raw: DataFrame, configs: list[ReferralConfig] | None = None,
-                      dedup: str = "reference", materialize: bool = True) -> DataFrame:
-    """The cleaned long referral table (inbound + outbound), ``_seq`` kept for keep-first.
+def _id_parties(raw: DataFrame, configs: list[ReferralConfig]) -> list[int]:
+    """Parties whose Person-ID header is present in the export (plan-time)."""
+    out = []
+    for i, c in enumerate(configs):
+        src = next((h for h, t in c.columns.items() if t == "person_id"), None)
+        if src is not None and src in raw.columns:
+            out.append(i)
+    return out
 
-    The exploded long rows feed three readers (the Person-ID gate, the rows
-    that keep all IDs, the keep-first branch), so with ``materialize`` they
-    are written once to the shared checkpoint folder instead of re-deriving
-    the raw scan three times.
+
+def process_referrals(raw: DataFrame, configs: list[ReferralConfig] | None = None,
+                      dedup: str = "reference", referral_types: list[str] | None = None) -> DataFrame:
+    """The cleaned long referral table, ``_seq`` kept for keep-first.
+
+    ``referral_types`` limits the output to inbound and/or outbound rows; only
+    those parties are split, so the export's other columns are never read.
+    Parties without a Person-ID header pass straight through; the ID-bearing
+    parties go through the gated keep-first (a scalar-subquery gate plus a
+    ``row_number() = 1`` that prunes before its shuffle).
     """
-    from provena.session import cut_lineage
     configs = configs or default_configs()
-    long = split_referrals(raw, configs)
-    if materialize and dedup != "none":
-        long = cut_lineage(long)
-    long = dedup_person_ids(long, configs, dedup)
-    return long.select(*S.REFERRAL_COLUMNS, "_seq")
+    wanted = [i for i, c in enumerate(configs) if referral_types is None or c.referral_type in referral_types]
+    with_ids = [i for i in _id_parties(raw, configs) if i in wanted] if dedup != "none" else []
+    plain = [i for i in wanted if i not in with_ids]
+    parts = []
+    if plain:
+        parts.append(split_referrals(raw, configs, plain))
+    if with_ids:
+        parts.append(dedup_person_ids(split_referrals(raw, configs, with_ids), configs, dedup))
+    if not parts:
+        return raw.sparkSession.createDataFrame([], S.REFERRALS_SCHEMA).withColumn("_seq", F.lit(None).cast("long"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select(*S.REFERRAL_COLUMNS, "_seq")
 
 
 def preparation_summary(referrals: DataFrame) -> DataFrame:

@@ -52,19 +52,27 @@ class Context:
 
     @property
     def referrals(self) -> DataFrame:
+        """All cleaned referral rows (lazy)."""
         if self._referrals is None:
-            # The exploded long rows are written once inside process_referrals;
-            # the Person-ID keep-first on top of them is cheap and stays lazy.
-            self._referrals = referrals.process_referrals(self.raw, materialize=True)
+            self._referrals = referrals.process_referrals(self.raw)
         return self._referrals
 
+    @property
+    def referrals_table(self) -> DataFrame:
+        """All cleaned referrals written once — for queries that read them several times."""
+        if getattr(self, "_ref_table", None) is None:
+            self._ref_table = cut_lineage(self.referrals)
+        return self._ref_table
+
     @property
     def outbound(self) -> DataFrame:
-        return self.referrals.filter(F.col("referral_type") == "outbound")
+        """Outbound rows only: only the referred-to party is split."""
+        return referrals.process_referrals(self.raw, referral_types=["outbound"])
 
     @property
     def inbound(self) -> DataFrame:
-        return self.referrals.filter(F.col("referral_type") == "inbound")
+        """Inbound rows only: only the two referred-from parties are split."""
+        return referrals.process_referrals(self.raw, referral_types=["inbound"])
 
     @property
     def providers(self) -> DataFrame:

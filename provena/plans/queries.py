@@ -129,7 +129,7 @@ def data_quality(spark, sf):
 
 def integrity_report(spark, sf):
     ctx = P.Context(spark, sf)
-    refs = ctx.referrals.drop("_seq")
+    refs = ctx.referrals_table.drop("_seq")  # read three times below: written once
     return quality.validate_all({
         "inbound": (refs.filter(F.col("referral_type") == "inbound"), ["full_name", "project_id"]),
         "outbound": (refs.filter(F.col("referral_type") == "outbound"), ["full_name", "project_id"]),
