@@ -17,14 +17,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from provena.functions import geo, score
 from provena.functions.score import Weights
 
-NORM_COLS = ["norm_dist", "norm_rank", "norm_pref", "norm_inbound"]
-
-
 def filter_specialty(df: DataFrame, specialties: list[str] | None) -> DataFrame:
     """Keep a provider if ANY trimmed comma part of its specialty is selected."""
     if not specialties or "specialty" not in df.columns:

@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provena.functions.common import try_cast
-from pyspark.sql import types as T
 
 from provena import schema as S
 from provena.functions import geo, text, time
@@ -230,14 +229,6 @@ def preparation_summary(referrals: DataFrame) -> DataFrame:
     )
 
 
-def write_referrals(referrals: DataFrame, out_dir: str) -> None:
-    """One parquet set partitioned by ``referral_type``; sorted within files for skipping."""
-    (referrals.drop("_seq")
-     .sortWithinPartitions(F.asc_nulls_last("date_of_intake"), F.asc_nulls_last("full_name"))
-     .write.mode("overwrite").option("compression", "snappy")
-     .partitionBy("referral_type").parquet(out_dir))
-
-
 # Columns whose presence marks an export as already cleaned.
 CLEANED_MARKERS = ["full_name", "work_address", "work_phone", "latitude", "longitude", "referral_type"]
 

@@ -9,7 +9,6 @@ Catalyst plan per query.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from provena.functions.score import SCENARIOS, Weights
 from provena.operators import enrich, preferred, recommend, referrals, rollup, spatial
