@@ -26,32 +26,37 @@ def excel_serial_to_ts(days: Column) -> Column:
     return F.timestamp_add("MICROSECOND", micros, F.lit(EXCEL_EPOCH).cast("timestamp_ntz"))
 
 
-def normalize_date(c) -> Column:
-    """Mixed ISO text / Excel serial / other layouts → ``timestamp_ntz``.
+def normalize_date(name: str) -> Column:
+    """Mixed ISO text / Excel serial / other layouts → ``timestamp_ntz`` for column ``name``.
 
     Plain decimal text is an Excel serial and is tested *before* the
     timestamp cast, because Spark would read "45500" as the year 45500.
+    Built as one SQL expression: it runs on several columns of every
+    export, and one parsed expression is much cheaper to construct than a
+    tree of Column calls.
     """
-    c = _c(c)
-    s = F.trim(c.cast("string"))
-    text = F.coalesce(try_cast(s, "timestamp_ntz"),
-                      *[F.try_to_timestamp(s, F.lit(fmt)).cast("timestamp_ntz") for fmt in _LAYOUTS])
-    return (F.when(c.isNull() | (s == ""), F.lit(None).cast("timestamp_ntz"))
-            .when(s.rlike(_NUMERIC), excel_serial_to_ts(try_cast(s, "double")))
-            .otherwise(text))
-
-
-def normalize_date_typed(c, data_type) -> Column:
+    ref = name if name.startswith("`") else f"`{name}`"
+    s = f"trim(CAST({ref} AS STRING))"
+    layouts = ", ".join(f"CAST(try_to_timestamp({s}, '{fmt}') AS TIMESTAMP_NTZ)" for fmt in _LAYOUTS)
+    numeric = _NUMERIC.replace("\\", "\\\\")
+    return F.expr(
+        f"CASE WHEN {ref} IS NULL OR {s} = '' THEN CAST(NULL AS TIMESTAMP_NTZ) "
+        f"WHEN {s} RLIKE '{numeric}' THEN timestampadd(MICROSECOND, "
+        f"CAST(round(try_cast({s} AS DOUBLE) * 86400000000.0) AS BIGINT), TIMESTAMP_NTZ'{EXCEL_EPOCH}') "
+        f"ELSE coalesce(try_cast({s} AS TIMESTAMP_NTZ), {layouts}) END")
+
+
+def normalize_date_typed(name: str, data_type) -> Column:
     """``normalize_date`` that respects an already-typed column."""
     from pyspark.sql import types as T
-    c = _c(c)
+    c = F.col(name if name.startswith("`") else f"`{name}`")
     if isinstance(data_type, (T.TimestampNTZType,)):
         return c
     if isinstance(data_type, (T.TimestampType, T.DateType)):
         return c.cast("timestamp_ntz")
     if isinstance(data_type, T.NumericType):
         return excel_serial_to_ts(c.cast("double"))
-    return normalize_date(c)
+    return normalize_date(name)
 
 
 def plausible_date(c) -> Column:

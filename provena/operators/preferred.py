@@ -33,7 +33,7 @@ def canonical_preferred(df: DataFrame) -> DataFrame:
         if tgt in ("latitude", "longitude"):
             c = geo.nan_to_null(c.cast("string").try_cast("double"))
         elif tgt == "last_verified_date":
-            c = time.plausible_date(time.normalize_date_typed(c, types[src]))
+            c = time.plausible_date(time.normalize_date_typed(src, types[src]))
         cols.append(c.alias(tgt))
     if "_seq" in df.columns:
         cols.append(F.col("_seq"))

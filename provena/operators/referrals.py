@@ -80,14 +80,14 @@ def normalize_raw(raw: DataFrame) -> DataFrame:
     """Intake / create / verified dates → ``timestamp_ntz``; intake falls back to create."""
     types = {f.name: f.dataType for f in raw.schema.fields}
     out = {}
-    intake = (time.normalize_date_typed(F.col(f"`{S.RAW_INTAKE}`"), types[S.RAW_INTAKE])
+    intake = (time.normalize_date_typed(S.RAW_INTAKE, types[S.RAW_INTAKE])
               if S.RAW_INTAKE in types else F.lit(None).cast("timestamp_ntz"))
     if S.RAW_CREATE in types:
-        intake = F.coalesce(intake, time.normalize_date_typed(F.col(f"`{S.RAW_CREATE}`"), types[S.RAW_CREATE]))
+        intake = F.coalesce(intake, time.normalize_date_typed(S.RAW_CREATE, types[S.RAW_CREATE]))
     out[S.RAW_INTAKE] = intake
     for h in S.RAW_VERIFIED_HEADERS:
         if h in types:
-            out[h] = time.normalize_date_typed(F.col(f"`{h}`"), types[h])
+            out[h] = time.normalize_date_typed(h, types[h])
     return raw.withColumns(out)
 
 

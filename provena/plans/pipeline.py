@@ -41,6 +41,13 @@ class Context:
         self._raw = None
         self._referrals = None
         self._enriched = None
+        self._built: dict[str, DataFrame] = {}
+
+    def _once(self, key: str, build) -> DataFrame:
+        """Build a lazy DataFrame once per Context (no data is cached, only the plan)."""
+        if key not in self._built:
+            self._built[key] = build()
+        return self._built[key]
 
     @property
     def raw(self) -> DataFrame:
@@ -66,21 +73,20 @@ class Context:
     @property
     def outbound(self) -> DataFrame:
         """Outbound rows only: only the referred-to party is split."""
-        return referrals.process_referrals(self.raw, referral_types=["outbound"])
+        return self._once("outbound", lambda: referrals.process_referrals(self.raw, referral_types=["outbound"]))
 
     @property
     def inbound(self) -> DataFrame:
         """Inbound rows only: only the two referred-from parties are split."""
-        return referrals.process_referrals(self.raw, referral_types=["inbound"])
+        return self._once("inbound", lambda: referrals.process_referrals(self.raw, referral_types=["inbound"]))
 
     @property
     def providers(self) -> DataFrame:
-        return rollup.provider_rollup(self.outbound)
+        return self._once("providers", lambda: rollup.provider_rollup(self.outbound))
 
     @property
     def preferred(self) -> DataFrame:
-        cleaned, _ = preferred.process_preferred(td.preferred_export(self.spark, self.sf_dir))
-        return cleaned
+        return self._once("preferred", lambda: preferred.process_preferred(td.preferred_export(self.spark, self.sf_dir))[0])
 
     @property
     def enriched(self) -> DataFrame:
