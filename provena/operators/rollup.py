@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provena.functions import text
+from provena.functions import text, time
 
 
 def provider_rollup(referrals: DataFrame) -> DataFrame:
@@ -96,7 +96,11 @@ def raw_inbound_counts(raw: DataFrame, start=None, end=None, date_col: str = "Da
         "latitude": ("Referred From's Details: Latitude", "Secondary Referred From's Details: Latitude"),
         "longitude": ("Referred From's Details: Longitude", "Secondary Referred From's Details: Longitude"),
     }
-    df = _window(raw, start, end, date_col) if date_col in raw.columns else raw
+    df = raw
+    if date_col in raw.columns and start is not None and end is not None:
+        # Export dates are text (ISO or Excel serial): normalise before comparing.
+        df = raw.withColumn("_d", time.normalize_date(date_col))
+        df = _window(df, start, end, "_d")
     primary_keys = [k for k, (p, _) in parts.items() if p in df.columns]
 
     def side(i: int) -> Column:

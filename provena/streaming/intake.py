@@ -7,8 +7,10 @@
   ``foreachBatch`` each micro-batch is reduced to its first row per key
   and anti-joined against the keys already in the target before being
   appended.  State lives in the target table, not in executor memory.
-* J3 — running referral counts per provider and intake month with a
-  watermark (bounded state; late rows beyond the watermark are dropped).
+* J3 — running referral counts per provider in 30-day tumbling windows of
+  the intake date with a watermark (bounded state; late rows beyond the
+  watermark are dropped).  Structured Streaming windows are fixed
+  durations, so calendar months are approximated by 30-day windows.
 
 Every query uses ``trigger(availableNow=True)`` so it drains what is there
 and stops; run it again (e.g. on a schedule) to pick up new files.
@@ -44,11 +46,9 @@ def run_first_seen(spark: SparkSession, folder: str, schema: T.StructType, targe
     def upsert(batch: DataFrame, epoch: int) -> None:
         with_id = batch.filter(F.col("person_id").isNotNull())
         firsts = keep_first(with_id, ["_cfg", "person_id"], ["_seq"])
-        try:
+        if _path_exists(batch.sparkSession, target):
             seen = batch.sparkSession.read.parquet(target).select("_cfg", "person_id")
             firsts = firsts.join(seen, ["_cfg", "person_id"], "left_anti")
-        except Exception:  # first batch: target does not exist yet
-            pass
         firsts.write.mode("append").parquet(target)
 
     q = (referral_stream(spark, folder, schema).writeStream.foreachBatch(upsert)
@@ -56,8 +56,15 @@ def run_first_seen(spark: SparkSession, folder: str, schema: T.StructType, targe
     q.awaitTermination()
 
 
+def _path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists on its (possibly remote) file system."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def running_counts(stream: DataFrame, watermark: str = "30 days") -> DataFrame:
-    """Referrals per provider per calendar-month window of the intake date."""
+    """Referrals per provider per 30-day tumbling window of the intake date."""
     ts = F.col("date_of_intake").cast("timestamp")
     return (stream.filter(F.col("full_name").isNotNull())
             .withColumn("_ts", ts).withWatermark("_ts", watermark)

@@ -237,3 +237,12 @@ def test_freshness(spark):
     assert got == ["Fresh", "Stale", "Very Stale", "Unknown"]
     disp = df.select(T.freshness_display("d", as_of)).collect()
     assert disp[0][0] == "✅ 2024-01-01 (31 days ago)" and disp[3][0] == "Not Available"
+
+
+def test_raw_inbound_counts_window(spark):
+    raw = raw_f1(spark)
+    everything = {r["full_name"]: r["inbound_referral_count"] for r in rollup.raw_inbound_counts(raw).collect()}
+    assert everything == {"Dr. Primary": 1, "Dr. Secondary": 1, "Dr. Solo": 1}
+    # Excel serial 45500 is 2024-07-27; only Dr. Solo falls in July
+    july = {r["full_name"] for r in rollup.raw_inbound_counts(raw, "2024-07-01 00:00:00", "2024-07-31 00:00:00").collect()}
+    assert july == {"Dr. Solo"}
