@@ -88,10 +88,16 @@ class Context:
     def preferred(self) -> DataFrame:
         return self._once("preferred", lambda: preferred.process_preferred(td.preferred_export(self.spark, self.sf_dir))[0])
 
+    @property
+    def enriched_plan(self) -> DataFrame:
+        """The enriched providers as a lazy plan — for consumers that read them once."""
+        return self._once("enriched_plan", lambda: enrich.enrich_providers(self.providers, self.inbound, self.preferred))
+
     @property
     def enriched(self) -> DataFrame:
+        """The enriched providers written once — for consumers that read them several times."""
         if self._enriched is None:
-            self._enriched = cut_lineage(enrich.enrich_providers(self.providers, self.inbound, self.preferred))
+            self._enriched = cut_lineage(self.enriched_plan)
         return self._enriched
 
 
@@ -111,14 +117,14 @@ def preferred_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def enriched_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I4: roll-up + coordinates + addresses + phones + inbound counts + preferred list."""
-    return Context(spark, sf_dir).enriched
+    """I4: roll-up + coordinates + addresses + phones + inbound counts + preferred list (lazy)."""
+    return Context(spark, sf_dir).enriched_plan
 
 
 def time_filtered_providers(spark: SparkSession, sf_dir: str, start=WINDOW[0], end=WINDOW[1]) -> DataFrame:
     """I5 on the enriched providers."""
     ctx = Context(spark, sf_dir)
-    return enrich.apply_time_filtering(ctx.enriched, ctx.outbound, ctx.inbound, start, end)
+    return enrich.apply_time_filtering(ctx.enriched_plan, ctx.outbound, ctx.inbound, start, end)
 
 
 def recommendation(spark: SparkSession, sf_dir: str, k: int | None = None, weights: Weights = WEIGHTS,
