@@ -113,7 +113,9 @@ def batch_top5(spark, sf):
 
 
 def radius_pairs(spark, sf):
-    cand = P.Context(spark, sf).enriched_plan.filter(F.col("referral_count") >= P.MIN_REFERRALS)
+    # The radius join reads the providers in two branches (cell join + polar
+    # row join), so it uses the table written once.
+    cand = P.Context(spark, sf).enriched.filter(F.col("referral_count") >= P.MIN_REFERRALS)
     pairs = spatial.radius_pairs(td.clients(spark, sf), cand, PAIR_RADIUS)
     return pairs.select("client_id", "full_name", "inbound_referral_count", _r("distance_miles"))
 
