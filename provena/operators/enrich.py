@@ -51,12 +51,16 @@ def with_display_phone(df: DataFrame) -> DataFrame:
     return df
 
 
-def attach_inbound_counts(providers: DataFrame, inbound_counts: DataFrame) -> DataFrame:
+def attach_inbound_counts(providers: DataFrame, inbound_counts: DataFrame, collapse_counts: bool = False) -> DataFrame:
     """LEFT JOIN counts on name (null-safe), missing → 0.
 
     Count rows are per (name, address, phone, coordinates), so a provider
     with several such rows fans out — the application's behaviour (Q3).
+    ``collapse_counts=True`` sums them per name first (one row per provider).
     """
+    if collapse_counts:
+        inbound_counts = inbound_counts.groupBy("full_name").agg(
+            F.sum("inbound_referral_count").alias("inbound_referral_count"))
     counts = inbound_counts.select(F.col("full_name").alias("_in_name"), "inbound_referral_count")
     j = providers.join(counts, providers.full_name.eqNullSafe(counts._in_name), "left").drop("_in_name")
     return j.withColumn("inbound_referral_count",
@@ -87,7 +91,8 @@ def attach_preferred(providers: DataFrame, preferred: DataFrame | None) -> DataF
     return out.drop("_p_name", "_p_specialty", "_on_list", "_on_left")
 
 
-def enrich_providers(providers: DataFrame, inbound: DataFrame | None, preferred: DataFrame | None) -> DataFrame:
+def enrich_providers(providers: DataFrame, inbound: DataFrame | None, preferred: DataFrame | None,
+                     collapse_counts: bool = False) -> DataFrame:
     """I4: the application's provider table.
 
     providers → valid coordinates → address parts → full address → first row
@@ -103,7 +108,7 @@ def enrich_providers(providers: DataFrame, inbound: DataFrame | None, preferred:
         df = keep_first(df, ["full_name"], ["_seq"])
     df = with_display_phone(df)
     if inbound is not None:
-        df = attach_inbound_counts(df, rollup.inbound_counts(inbound))
+        df = attach_inbound_counts(df, rollup.inbound_counts(inbound), collapse_counts)
     df = attach_preferred(df, preferred)
     df = df.withColumn("referral_count",
                        F.coalesce(F.col("referral_count").try_cast("bigint"), F.lit(0)).cast("bigint"))

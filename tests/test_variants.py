@@ -49,3 +49,21 @@ def test_q8_distance_tie_break(spark):
     ref = [r["full_name"] for r in rec.rank_scored(df, w).orderBy("rank").collect()]
     near = [r["full_name"] for r in rec.rank_scored(df, w, tie_break="nearest").orderBy("rank").collect()]
     assert ref == ["Far", "Near"] and near == ["Near", "Far"]
+
+
+def test_q3_fan_out_or_collapsed(spark):
+    from provena.operators import enrich
+    prov = spark.createDataFrame([("A", 5)], "full_name string, referral_count long")
+    counts = spark.createDataFrame([("A", 2), ("A", 3)], "full_name string, inbound_referral_count long")
+    assert enrich.attach_inbound_counts(prov, counts).count() == 2          # reference fan-out
+    got = enrich.attach_inbound_counts(prov, counts, collapse_counts=True).collect()
+    assert len(got) == 1 and got[0]["inbound_referral_count"] == 5
+
+
+def test_b7_without_geo_predicates(spark):
+    cols = ["Project ID", "Date of Intake", "Referral Source", "Referred From Full Name", "Referred From's Work Address",
+            "Dr/Facility Referred To Full Name"]
+    raw = spark.createDataFrame([("1", "2024-01-01", DOC, "A", "1 St", "Clinic")], ", ".join(f"`{c}` string" for c in cols))
+    assert R.process_referrals(raw).count() == 0                              # coordinates required
+    loose = R.process_referrals(raw, R.default_configs(require_geo=False))
+    assert sorted(r["referral_type"] for r in loose.collect()) == ["inbound", "outbound"]
