@@ -188,26 +188,17 @@ def best_provider(scored: DataFrame, w: Weights, tie_break: str = "reference") -
 
 def compare_scenarios(providers: DataFrame, lat: float, lon: float, scenarios: dict[str, Weights],
                       *, min_referrals=0, max_radius_miles=None, k: int | None = 10) -> DataFrame:
-    """All weight scenarios in one pass.
+    """Top-k under every weight scenario, as one union.
 
-    The candidate set is computed once and tagged with each scenario (a
-    literal array exploded per row — a fixed, small fan-out), then scored
-    per scenario with the ``by=["scenario"]`` path.
+    Each branch is one scenario, so its candidate statistics are a one-row
+    scalar subquery (no join on a constant key) and its top-k is trimmed per
+    partition before the final exchange.
     """
     df = filter_min_referrals(providers, min_referrals)
     df = with_distance(df, lat, lon)
     df = filter_radius(df, max_radius_miles)
-    df = df.filter(F.col("distance_miles").isNotNull() & F.col("referral_count").isNotNull())
-    names = list(scenarios)
-    tags = F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(s.distance).alias("wd"), F.lit(s.referral).alias("wr"),
-                              F.lit(s.inbound).alias("wi"), F.lit(s.preferred).alias("wp")) for n, s in scenarios.items()])
-    tagged = df.withColumn("_sc", F.explode(tags)).select("*", "_sc.*").drop("_sc")
-    parts = []
-    for n in names:
-        w = scenarios[n]
-        one = tagged.filter(F.col("scenario") == n)
-        parts.append(rank_scored(score_candidates(one, w, ["scenario"], min_referrals), w, ["scenario"], k))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out.drop("wd", "wr", "wi", "wp")
+    out = None
+    for name, w in scenarios.items():
+        ranked = rank_scored(score_candidates(df, w, None, min_referrals), w, None, k).withColumn("scenario", F.lit(name))
+        out = ranked if out is None else out.unionByName(ranked, allowMissingColumns=True)
+    return out
