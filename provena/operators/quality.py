@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from provena import schema as S
 from provena.functions import time as tfn
 from provena.functions.common import try_cast
+from provena.schema import AUDIT_MESSAGES as M
 
 
 def _blankish(c: str) -> Column:
@@ -185,34 +186,34 @@ def _empty(c: Column) -> Column:
 def address_parts_check(street: Column, city: Column, state: Column, zip_: Column) -> tuple[Column, Column]:
     """H24 (strict): ``(ok, message)`` — all four parts required, ZIP ``12345[-6789]``."""
     msgs = F.array(
-        F.when(_empty(street), F.lit("Street address is required")),
-        F.when(_empty(city), F.lit("City is required")),
-        F.when(_empty(state), F.lit("State is required")),
-        F.when(_empty(zip_), F.lit("ZIP code is required")),
+        F.when(_empty(street), F.lit(M["street_required"])),
+        F.when(_empty(city), F.lit(M["city_required"])),
+        F.when(_empty(state), F.lit(M["state_required"])),
+        F.when(_empty(zip_), F.lit(M["zip_required"])),
         F.when(zip_.isNotNull() & (zip_ != "") & ~F.trim(zip_).rlike(_ZIP),
-               F.lit("ZIP code must be in format 12345 or 12345-6789")),
+               F.lit(M["zip_format"])),
     )
     issues = F.filter(msgs, lambda x: x.isNotNull())
     ok = F.size(issues) == 0
-    return ok, F.when(ok, F.lit("Valid address")).otherwise(F.array_join(issues, "; "))
+    return ok, F.when(ok, F.lit(M["address_valid"])).otherwise(F.array_join(issues, "; "))
 
 
 def address_parts_advice(street: Column, city: Column, state: Column, zip_: Column) -> tuple[Column, Column, Column]:
     """H25 (advisory): ``(ok, errors, suggestions)`` — only the street is required."""
     st = F.upper(F.trim(state))
     z = F.trim(zip_)
-    errors = F.filter(F.array(F.when(_empty(street), F.lit("Street address is required"))), lambda x: x.isNotNull())
+    errors = F.filter(F.array(F.when(_empty(street), F.lit(M["street_required"]))), lambda x: x.isNotNull())
     sugg = F.array(
-        F.when(_empty(city), F.lit("City is recommended for better geocoding accuracy")),
-        F.when(_empty(state), F.lit("State is recommended for better geocoding accuracy")),
+        F.when(_empty(city), F.lit(M["city_recommended"])),
+        F.when(_empty(state), F.lit(M["state_recommended"])),
         F.when(~_empty(state) & (F.length(st) == 2) & ~st.isin(*S.STATE_CODES.values()),
-               F.concat(F.lit("'"), state, F.lit("' may not be a valid US state abbreviation"))),
+               F.concat(F.lit("'"), state, F.lit(M["state_unknown_suffix"]))),
         F.when(~_empty(state) & (F.length(st) > 2),
-               F.lit("Consider using 2-letter state abbreviation (e.g., 'MD' instead of 'Maryland')")),
+               F.lit(M["state_two_letters"])),
         F.when(~_empty(zip_) & ~z.rlike(r"^[0-9]{5}$") & ~z.rlike(r"^[0-9]{5}-[0-9]{4}$"),
-               F.lit("ZIP code should be 5 digits (e.g., '20746') or ZIP+4 format (e.g., '20746-1234')")),
+               F.lit(M["zip_advice"])),
         F.when(~_empty(street) & F.lower(F.trim(street)).isin(*S.TEST_STREETS),
-               F.lit("Address appears to be a test value - please enter a real address")),
+               F.lit(M["test_street"])),
     )
     return F.size(errors) == 0, errors, F.filter(sugg, lambda x: x.isNotNull())
 
@@ -222,10 +223,10 @@ def free_address_check(addr: Column) -> tuple[Column, Column]:
     a = F.trim(addr)
     has_hint = a.rlike(r"\b[A-Z]{2}\b") | a.rlike(r"[0-9]{5}(-[0-9]{4})?\b")
     ok = ~_empty(addr) & (F.length(a) >= 10) & a.rlike("[0-9]")
-    msg = (F.when(_empty(addr), F.lit("Address cannot be empty"))
-           .when(F.length(a) < 10, F.lit("Address appears too short. Please provide a complete address."))
-           .when(~a.rlike("[0-9]"), F.lit("Address should include a street number"))
-           .when(~has_hint, F.lit("Consider adding state and ZIP code for better accuracy"))
+    msg = (F.when(_empty(addr), F.lit(M["address_empty"]))
+           .when(F.length(a) < 10, F.lit(M["address_short"]))
+           .when(~a.rlike("[0-9]"), F.lit(M["address_number"]))
+           .when(~has_hint, F.lit(M["address_hint"]))
            .otherwise(F.lit("")))
     return ok, msg
 
@@ -233,21 +234,21 @@ def free_address_check(addr: Column) -> tuple[Column, Column]:
 def coordinate_check(lat: Column, lon: Column) -> tuple[Column, Column]:
     """Numeric, |lat| ≤ 90, |lon| ≤ 180."""
     la, lo = try_cast(lat.cast("string"), "double"), try_cast(lon.cast("string"), "double")
-    msg = (F.when(la.isNull() | lo.isNull() | F.isnan(la) | F.isnan(lo), F.lit("Coordinates must be numeric"))
-           .when((la < -90) | (la > 90), F.lit("Latitude must be between -90 and 90"))
-           .when((lo < -180) | (lo > 180), F.lit("Longitude must be between -180 and 180"))
-           .otherwise(F.lit("Valid coordinates")))
-    return msg == "Valid coordinates", msg
+    msg = (F.when(la.isNull() | lo.isNull() | F.isnan(la) | F.isnan(lo), F.lit(M["coords_numeric"]))
+           .when((la < -90) | (la > 90), F.lit(M["lat_range"]))
+           .when((lo < -180) | (lo > 180), F.lit(M["lon_range"]))
+           .otherwise(F.lit(M["coords_valid"])))
+    return msg == M["coords_valid"], msg
 
 
 def phone_check(phone: Column) -> tuple[Column, Column]:
     """Blank is fine; 10 digits, or 11 starting with 1."""
     d = F.regexp_replace(phone, "[^0-9]", "")
-    msg = (F.when(_empty(phone), F.lit("Phone number is optional"))
-           .when(F.length(d) == 10, F.lit("Valid phone number"))
-           .when((F.length(d) == 11) & d.startswith("1"), F.lit("Valid phone number"))
-           .otherwise(F.lit("Phone number must be 10 digits or 11 digits starting with 1")))
-    return msg != "Phone number must be 10 digits or 11 digits starting with 1", msg
+    msg = (F.when(_empty(phone), F.lit(M["phone_optional"]))
+           .when(F.length(d) == 10, F.lit(M["phone_valid"]))
+           .when((F.length(d) == 11) & d.startswith("1"), F.lit(M["phone_valid"]))
+           .otherwise(F.lit(M["phone_invalid"])))
+    return msg != M["phone_invalid"], msg
 
 
 def audit(df: DataFrame, key: str, address: str | None = None, lat: str | None = None, lon: str | None = None,

@@ -127,3 +127,33 @@ REFERRALS_SCHEMA = T.StructType([
     T.StructField("referral_type", T.StringType()),
 ])
 REFERRAL_COLUMNS = [f.name for f in REFERRALS_SCHEMA.fields]
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: audit messages (address parts, advisory address check,
+# one-line address, coordinates, phone), in the order the checks run.
+# ---------------------------------------------------------------------------
+AUDIT_MESSAGES = {
+    "street_required": "Street address is required",
+    "city_required": "City is required",
+    "state_required": "State is required",
+    "zip_required": "ZIP code is required",
+    "zip_format": "ZIP code must be in format 12345 or 12345-6789",
+    "address_valid": "Valid address",
+    "city_recommended": "City is recommended for better geocoding accuracy",
+    "state_recommended": "State is recommended for better geocoding accuracy",
+    "state_unknown_suffix": "' may not be a valid US state abbreviation",
+    "state_two_letters": "Consider using 2-letter state abbreviation (e.g., 'MD' instead of 'Maryland')",
+    "zip_advice": "ZIP code should be 5 digits (e.g., '20746') or ZIP+4 format (e.g., '20746-1234')",
+    "test_street": "Address appears to be a test value - please enter a real address",
+    "address_empty": "Address cannot be empty",
+    "address_short": "Address appears too short. Please provide a complete address.",
+    "address_number": "Address should include a street number",
+    "address_hint": "Consider adding state and ZIP code for better accuracy",
+    "coords_numeric": "Coordinates must be numeric",
+    "lat_range": "Latitude must be between -90 and 90",
+    "lon_range": "Longitude must be between -180 and 180",
+    "coords_valid": "Valid coordinates",
+    "phone_optional": "Phone number is optional",
+    "phone_valid": "Valid phone number",
+    "phone_invalid": "Phone number must be 10 digits or 11 digits starting with 1",
+}
