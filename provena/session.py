@@ -64,10 +64,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = tempfile.mkdtemp(prefix="provena-ckpt-", dir=os.environ.get("PROVENA_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    try:  # classic sessions also register it for RDD checkpoints
+        spark.sparkContext.setCheckpointDir(d)
+    except Exception:  # e.g. a Spark Connect session has no SparkContext
+        pass
     return d
 
 
+def application_id(spark: SparkSession) -> str:
+    """The running application's id (works for classic and Connect sessions)."""
+    return spark.conf.get("spark.app.id", None) or spark.sparkContext.applicationId
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once as a parquet table in the shared checkpoint folder.
 
@@ -80,7 +88,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     would compute the plan twice.
     """
     spark = df.sparkSession
-    app = spark.sparkContext.applicationId
+    app = application_id(spark)
     # Namespaced per application so a finished application's tables can be
     # removed as a whole by the folder's retention policy.
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{app}/{uuid.uuid4().hex}"

@@ -41,8 +41,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     application, so repeated references do not each launch a schema
     inference job.
     """
+    from provena.session import application_id
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (spark.sparkContext.applicationId, path)
+    key = (application_id(spark), path)
     if key not in _SCANS:
         _SCANS[key] = spark.read.parquet(path)
     return _SCANS[key]
@@ -58,8 +59,8 @@ def landed(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     once (Spark derives them from the whole driver tables) lets every query
     read them as the real pipeline reads its exports.
     """
-    from provena.session import checkpoint_dir
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    from provena.session import application_id, checkpoint_dir
+    key = (application_id(spark), sf_dir.rstrip("/"), name)
     if key not in _LANDED:
         import hashlib
         tag = hashlib.md5(key[1].encode()).hexdigest()[:12]
