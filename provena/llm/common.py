@@ -38,3 +38,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
            .orderBy(F.xxhash64("id"), "id").limit(max_rows))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return texts.join(F.broadcast(ids), "id")
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``max_rows`` rows (counted; ``df`` should be a written
+    table of small rows), else as it is, for a shuffled join with skew handling."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def columns_of(df: DataFrame, struct: str | None = None) -> list[Column]:
+    """The frame's columns by exact name, or the fields ``struct`` has of them."""
+    return [F.col(f"{struct}.`{c}`" if struct else f"`{c}`").alias(c) for c in df.columns]
+
+
+def word_count(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
