@@ -14,6 +14,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def text_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Hand texts to Python in batches of at most ``rows`` (the default of 10,000 whole texts can outgrow a
+    worker).  A session setting, as plans read it when they run; a smaller one already set stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z and nothing else (``lower`` would also change other alphabets)."""
     return F.translate(c, ASCII_UPPER, ASCII_UPPER.lower())

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provena.llm import boosting
-from provena.llm.common import fold, labelled_sample
+from provena.llm.common import fold, labelled_sample, text_batches
 
 MAX_TRAIN_ROWS = 20_000
 THRESHOLD = 0.3
@@ -86,6 +86,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", id_col:
 
     Without labels the model is a constant half.  Inputs are statistics of the text alone.
     """
+    text_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, label, max_train_rows, id_col=id_col, text_col=text_col)
 
     @F.pandas_udf("array<double>")

@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from provena.llm.common import columns_of, text_batches
 from provena.llm.components import connected_components
 from provena.session import cut_lineage
 
@@ -138,6 +139,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, max_distance: int = 2,
     repeated ids each keep their row.  A null id is returned as null and names a group only if the group
     has no other id.  An empty table gives an empty result; other columns are not read.
     """
+    text_batches(docs.sparkSession)
     ids = cut_lineage(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col), shingle, seed).alias("fp")))
     named = groups(ids, max_distance, bucket_cap)
     return ids.join(named, "fp").select("doc_id", hex_column(F.col("fp")).alias("fingerprint"), "component_id")
@@ -149,11 +151,12 @@ def keep_one(docs: DataFrame, *, shingle: int = 3, max_distance: int = 2, seed:
 
     Of rows that repeat this id, the first by the other columns stays.  Null ids count last.
     """
-    cols = [F.col(f"`{c}`") for c in docs.columns]
+    text_batches(docs.sparkSession)
+    cols = columns_of(docs)
     row = cut_lineage(docs.select(F.struct(*cols).alias("row"), F.col(id_col).alias("doc_id"),
                                   fingerprint_column(F.col(text_col), shingle, seed).alias("fp")))
     named = groups(row.select("doc_id", "fp"), max_distance, bucket_cap)
     stays = named.filter(F.col("fp") == F.col("keep_fp")).select(F.col("keep_id"), F.col("fp").alias("keep_fp"))
     hit = row.join(stays, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("fp") == F.col("keep_fp")))
     repeats = Window.partitionBy("keep_id", "keep_fp").orderBy(*[F.col(f"row.`{c}`").cast("string") for c in docs.columns])
-    return hit.withColumn("nth", F.row_number().over(repeats)).filter("nth = 1").select("row.*")
+    return hit.withColumn("nth", F.row_number().over(repeats)).filter("nth = 1").select(*columns_of(docs, "row"))
