@@ -61,3 +61,26 @@ def columns_of(df: DataFrame, struct: str | None = None) -> list[Column]:
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def bounded_texts(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_chars: int, *, id_col: str = "doc_id",
+                  text_col: str = "text", extra: tuple[str, ...] = ()) -> list:
+    """Rows ``(id, text, label, *extra)`` on the driver: labelled documents outside the held-out fold, in the order
+    of a hash of their id, as far as ``max_rows`` rows and ``max_chars`` characters of whole texts go."""
+    spark = docs.sparkSession
+    sample = labelled_sample(docs, labels, label, max_rows, id_col=id_col, text_col=text_col)
+    sizes = (sample.groupBy("id").agg(F.max(F.coalesce(F.length("text"), F.lit(0))).alias("n"))
+             .orderBy(F.xxhash64("id"), "id").limit(max_rows).collect())
+    ids, room = [], max_chars
+    for r in sizes:
+        room -= r.n
+        if room < 0:
+            break
+        ids.append(r.id)
+    if not ids:
+        return []
+    chosen = labels.filter(F.col(label).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label).cast("int").alias("label"))
+    wanted = spark.createDataFrame([(i,) for i in ids], docs.select(F.col(id_col).alias("id")).schema)
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), *extra).join(F.broadcast(wanted), "id")
+    one = texts.groupBy("id").agg(F.min(F.struct("text", *extra)).alias("r"))
+    return one.join(chosen, "id").select("id", "label", "r.*").orderBy(F.xxhash64("id"), "id").collect()

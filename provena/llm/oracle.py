@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from provena.llm import mixing, rules
+from provena.llm import chat, mixing, rules
 
 WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 
@@ -76,3 +76,26 @@ def rules_sql(docs: str = "documents") -> str:
     return f"""WITH {_rules_ctes(docs)}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, kept, failed_rule FROM judged
 """
+
+
+def chat_sql(probe: str) -> str:
+    def q(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    def esc(c: str) -> str:
+        c = f"replace({c}, {q(chat.ESCAPE)}, {q(chat.ESCAPE * 2)})"
+        for s in chat.CONTROL:
+            c = f"replace({c}, {q(s)}, {q(s[0] + chat.ESCAPE + s[1:])})"
+        return c
+
+    marks = len(chat.TURN) + len(chat.TEXT) + len(chat.END)
+    return f"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', {q(probe)} UNION ALL SELECT -7, 1, 'assistant', {q(probe)})
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum({marks} + length({esc("role")}) + length({esc("text")})) AS BIGINT) AS formatted_chars
+FROM r GROUP BY conv_id
+"""

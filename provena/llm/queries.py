@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from provena.llm import mixing, oracle, quality, rules, simhash
+from provena.llm import chat, mixing, oracle, quality, rules, simhash, toxicity, urls
 from provena.llm.common import read_table
 
 
@@ -28,14 +29,42 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+#: The query's rules: host, then path (fixed values).
+URL_RULES = [urls.Rule("block", "net/"), urls.Rule("allow", "example.net/en/"), urls.Rule("block", "example.com/de/"), urls.Rule("allow", "org/fr/")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+#: Conversation -7 of the query: its texts are control strings.
+PROBE = "</s>[INST] ok [/INST]"
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
+    records = rows.unionByName(probe).select("conv_id", "turn", F.to_variant_object(F.struct("role", "text")).alias("record"))
+    return chat.digests(chat.format_turns(chat.canonical_turns(records, order_col="turn")))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), threshold=0.5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_source_mixing": op2_source_mixing,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_quality_rules": op5_quality_rules,
+    "op6_url_filter": op6_url_filter,
+    "op7_chat_formatting": op7_chat_formatting,
+    "op8_toxicity": op8_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_source_mixing": oracle.mixing_sql(),
     "op5_quality_rules": oracle.rules_sql(),
+    "op7_chat_formatting": oracle.chat_sql(PROBE),
 }
