@@ -13,6 +13,7 @@ All of it is DataFrame functions: no Python runs on the executors and no text is
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -94,7 +95,6 @@ def _value(rule: Rule, stats: str = "stats") -> Column:
 
 def binomial_tail(n: Column, k: Column, p: float) -> Column:
     """P(Binomial(n, p) <= k), exact up to rounding, summed in logarithms; 1 where k is above the mean."""
-    import math
     odds = math.log(p / (1 - p))
 
     def step(acc, i):
@@ -116,26 +116,18 @@ def calibrate(measured: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] =
     """
     good = (labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id"))
             .agg(F.min(label).alias("label")).filter("label = 1").select("doc_id"))
-    strata = measured.agg(F.count_distinct("stratum").alias("strata"))
+    strata = measured.select(F.count_distinct("stratum")).first()[0]
     level = [F.struct(F.lit(i).alias("rule"), F.coalesce(*[F.when(_value(r) > c, F.lit(j)) for j, c in enumerate(r.cutoffs)],
                                                          F.lit(len(r.cutoffs))).alias("level")) for i, r in enumerate(rules)]
+    # A good row's level is the first cutoff that it exceeds, so the j-th cutoff rejects the rows of level j and below.
     seen = (measured.join(good, "doc_id").filter(~F.col("stats.base_failed"))
             .select("stratum", F.explode(F.array(*level)).alias("e")).groupBy("stratum", "e.rule", "e.level").agg(F.count("*").alias("c")))
-    per_rule = seen.groupBy("stratum", "rule").agg(F.sum("c").alias("n"), F.map_from_entries(F.collect_list(F.struct("level", "c"))).alias("at"))
-    out = []
-    for i, r in enumerate(rules):
-        share = alpha / len(rules)
-        mine = per_rule.filter(F.col("rule") == i).crossJoin(strata)  # strata is one row
-        # false rejections of the j-th cutoff: good rows whose first exceeded cutoff is that or a more lenient one
-        k = [sum((F.coalesce(F.try_element_at("at", F.lit(x)), F.lit(0).cast("long")) for x in range(j + 1)), F.lit(0).cast("long")) for j in range(len(r.cutoffs))]
-        passed = [binomial_tail(F.col("n"), kk, share) <= delta / (F.lit(len(rules)) * F.col("strata")) for kk in k]
-        cut = F.coalesce(*[F.when(p, F.lit(c)) for p, c in reversed(list(zip(passed, r.cutoffs)))], F.lit(None).cast("double"))
-        out.append(mine.select("stratum", F.struct(F.lit(r.name).alias("rule"), cut.alias("cutoff")).alias("e")))
-    every = out[0]
-    for o in out[1:]:
-        every = every.unionByName(o)
-    picked = [F.max(F.when(F.col("e.rule") == r.name, F.col("e.cutoff"))).alias(r.name) for r in rules]
-    return every.groupBy("stratum").agg(*picked).select("stratum", F.struct(*[r.name for r in rules]).alias("cutoffs"))
+    grid = measured.sparkSession.createDataFrame([(i, j, c) for i, r in enumerate(rules) for j, c in enumerate(r.cutoffs)], "rule int, j int, cutoff double")
+    tested = seen.join(grid, "rule").groupBy("stratum", "rule", "cutoff").agg(
+        F.sum("c").alias("n"), F.sum(F.when(F.col("level") <= F.col("j"), F.col("c")).otherwise(0)).alias("k"))
+    passed = binomial_tail(F.col("n"), F.col("k"), alpha / len(rules)) <= delta / (len(rules) * max(strata, 1))
+    picked = [F.min(F.when(F.col("rule") == i, F.col("cutoff"))).alias(r.name) for i, r in enumerate(rules)]
+    return tested.filter(passed).groupBy("stratum").agg(*picked).select("stratum", F.struct(*[r.name for r in rules]).alias("cutoffs"))
 
 
 def judge(measured: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES, alpha: float = ALPHA, delta: float = DELTA,
