@@ -119,8 +119,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, threshold: float = THR
                        scorer(model)(F.col(text_col)).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text",
-              **options) -> DataFrame:
+def keep_good(docs: DataFrame, model: boosting.Trees, *, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The input's rows and columns without the documents that score below ``threshold``."""
-    model = train(docs, labels, id_col=id_col, text_col=text_col, **options)
+    text_batches(docs.sparkSession)
     return docs.filter(scorer(model)(F.col(text_col)) >= threshold)
