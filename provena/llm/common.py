@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from provena.session import cut_lineage
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -48,6 +50,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     return texts.join(F.broadcast(ids), "id")
 
 
+def tasks_for(rows: int, per_task: int = 250_000) -> int:
+    return max(1, -(-rows // per_task))
+
+
+def settled(df: DataFrame, rows: int, per_task: int = 250_000) -> DataFrame:
+    """``df`` written as a table by no more tasks (and files) than its number of small rows asks for; grows with ``rows``."""
+    return cut_lineage(df.coalesce(tasks_for(rows, per_task)))
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``max_rows`` rows (counted; ``df`` should be a written
     table of small rows), else as it is, for a shuffled join with skew handling."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from provena.llm.common import settled
 from provena.session import cut_lineage
 
 
@@ -21,25 +22,26 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return out.select("e.*").filter(F.col("a") != F.col("b")).distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, rows: int | None = None) -> DataFrame:
     """``(node, root)`` for every node that has an edge; ``root`` is the component's smallest node, itself included.
 
     ``edges`` has two columns of one orderable type; direction, repeats and self-loops don't matter,
     rows with a null end are ignored.  Each round writes its edges to the shared folder (short lineage,
     survives lost executors) and only a count and a checksum come to the driver.  A node with very many
     edges is pre-aggregated before its shuffle, and the join that follows can be split by skew handling.
+    ``rows``: a bound on the number of edges if one is known, for the number of files of the first table.
     """
     x, y = edges.columns[:2]
     e = (edges.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b"), F.col(x).isNull().alias("n"), F.col(y).isNull().alias("o"))
          .filter(~F.col("n") & ~F.col("o") & (F.col("a") != F.col("b"))).select("a", "b").distinct())
-    e = cut_lineage(e)
+    e = cut_lineage(e) if rows is None else settled(e, rows)
     seen = None
     for _ in range(max_rounds):
         mark = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen or mark[0] == 0:
             break
         seen = mark
-        e = cut_lineage(_small_star(_large_star(e)))
+        e = settled(_small_star(_large_star(e)), 2 * mark[0])
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.select("b").distinct()

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provena.llm.common import columns_of, text_batches
+from provena.llm.common import columns_of, settled, tasks_for, text_batches
 from provena.llm.components import connected_components
 from provena.session import cut_lineage
 
@@ -104,15 +104,18 @@ def _crowded_links(fps: DataFrame, max_distance: int) -> DataFrame:
         F.col("fp").alias("x"), F.col("hub").alias("y"))
 
 
-def links(fps: DataFrame, max_distance: int = 2, bucket_cap: int = 8) -> DataFrame:
-    """``(x, y)`` links over distinct fingerprints (column ``fp``) whose components are those of "within ``max_distance`` bits"."""
+def links(fps: DataFrame, rows: int, max_distance: int = 2, bucket_cap: int = 8) -> DataFrame:
+    """``(x, y)`` links over distinct fingerprints (column ``fp``, ``rows`` of them) whose components are those of
+    "within ``max_distance`` bits"."""
     if not 0 <= max_distance <= 4:
         raise ValueError("max_distance must be between 0 and 4")
     masks = signature_masks(max_distance)
-    keys = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("slot")).select(
+    # One fingerprint makes dozens of signatures: a few bytes of input are work for many tasks.
+    signatures = rows * len(masks)
+    keys = fps.repartition(tasks_for(signatures, 1_000_000)).select("fp", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("slot")).select(
         "fp", "slot", F.col("fp").bitwiseAND(F.element_at(_longs(masks), F.col("slot") + 1)).alias("sig"))
     sizes = keys.groupBy("slot", "sig").agg(F.count("*").alias("size")).filter(F.col("size") > 1)
-    shared = cut_lineage(keys.join(sizes, ["slot", "sig"]))
+    shared = settled(keys.join(sizes, ["slot", "sig"]), signatures, 2_000_000)
     a = shared.filter(F.col("size") <= bucket_cap)
     pairs = (a.select("slot", "sig", F.col("fp").alias("x")).join(a.select("slot", "sig", F.col("fp").alias("y")), ["slot", "sig"])
              .filter((F.col("x") < F.col("y")) & (_distance("x", "y") <= max_distance)).select("x", "y"))
@@ -123,12 +126,13 @@ def links(fps: DataFrame, max_distance: int = 2, bucket_cap: int = 8) -> DataFra
 def groups(ids: DataFrame, max_distance: int = 2, bucket_cap: int = 8) -> DataFrame:
     """For rows ``(doc_id, fp)``: one row per distinct ``fp`` with ``component_id`` (smallest doc_id of its
     group) and the group's representative ``(keep_id, keep_fp)``.  Null ids count after all others."""
-    one = cut_lineage(ids.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")))
-    comp = connected_components(links(one.select("fp"), max_distance, bucket_cap))
-    rooted = cut_lineage(one.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    one = settled(ids.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")), ids.count())
+    rows = one.count()
+    comp = connected_components(links(one.select("fp"), rows, max_distance, bucket_cap), rows=rows)
+    rooted = settled(one.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), rows)
     best = rooted.groupBy("root").agg(F.min(F.struct("first.none", "first.doc_id", "fp")).alias("best"))
-    return cut_lineage(rooted.join(best, "root").select(
-        "fp", F.col("best.doc_id").alias("component_id"), F.col("best.doc_id").alias("keep_id"), F.col("best.fp").alias("keep_fp")))
+    return settled(rooted.join(best, "root").select(
+        "fp", F.col("best.doc_id").alias("component_id"), F.col("best.doc_id").alias("keep_id"), F.col("best.fp").alias("keep_fp")), rows)
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 3, max_distance: int = 2, seed: int = 42, bucket_cap: int = 8,
