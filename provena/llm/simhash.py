@@ -115,7 +115,7 @@ def links(fps: DataFrame, rows: int, max_distance: int = 2, bucket_cap: int = 8)
     keys = fps.repartition(tasks_for(signatures, 1_000_000)).select("fp", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("slot")).select(
         "fp", "slot", F.col("fp").bitwiseAND(F.element_at(_longs(masks), F.col("slot") + 1)).alias("sig"))
     sizes = keys.groupBy("slot", "sig").agg(F.count("*").alias("size")).filter(F.col("size") > 1)
-    shared = settled(keys.join(sizes, ["slot", "sig"]), signatures, 2_000_000)
+    shared = settled(keys.join(sizes, ["slot", "sig"]), signatures, 500_000)
     a = shared.filter(F.col("size") <= bucket_cap)
     pairs = (a.select("slot", "sig", F.col("fp").alias("x")).join(a.select("slot", "sig", F.col("fp").alias("y")), ["slot", "sig"])
              .filter((F.col("x") < F.col("y")) & (_distance("x", "y") <= max_distance)).select("x", "y"))

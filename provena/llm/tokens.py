@@ -127,8 +127,12 @@ def attribute(widths: np.ndarray, sections: list[tuple[int, int]], starts: np.nd
         cross[span] += 1
         if rule == "share":
             per[span] += part / part.sum()
+        elif rule == "start":
+            per[span[0]] += 1
         else:
-            per[span[0] if rule == "start" else span[int(part.argmax())]] += 1
+            _, at, which = np.unique(own[span], return_index=True, return_inverse=True)
+            size = np.bincount(which, part)
+            per[span[min(at[size == size.max()])]] += 1
     np.add.at(counts, own[own >= 0], per[own >= 0])
     np.add.at(crossing, own[own >= 0], cross[own >= 0])
     return counts, float(per[own < 0].sum()), crossing

@@ -1,0 +1,80 @@
+import random
+
+from provena.llm import mixing, oracle
+from tests.llm import helpers as H
+
+
+def report(spark, df):
+    return mixing.mix_report(df, mixing.cyclic_weights(df)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def brute_targets(sizes, weights, total, epochs):
+    """Repeatedly clamp and share what is left."""
+    clamped = {}
+    while True:
+        free = {s for s in sizes if s not in clamped and weights[s] > 0}
+        left = total - sum(clamped.values())
+        w = sum(weights[s] for s in free)
+        target = {s: left * weights[s] / w for s in free}
+        over = {s for s in free if target[s] > epochs * sizes[s]}
+        if not over:
+            return {**{s: 0.0 for s in sizes}, **target, **clamped}
+        clamped.update({s: epochs * sizes[s] for s in over})
+
+
+def random_docs(spark, n=3000, seed=3):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        source = None if rng.random() < 0.02 else rng.choice(["hot"] * 6 + ["a", "b", "c", "é", "Z", "tiny"] + ["t2"] * 2)
+        if source == "tiny" and rng.random() < 0.9:
+            source = "a"
+        rows.append((i, " ".join("w%d" % rng.randrange(99) for _ in range(int(rng.expovariate(0.05)))) if rng.random() > 0.03 else None, "en", source))
+    return H.docs(spark, rows)
+
+
+def test_matches_sql_on_awkward_rows_and_random_ones(spark):
+    for df in (H.docs(spark), random_docs(spark)):
+        assert H.same(report(spark, df).toPandas(), H.sql(oracle.mixing_sql(), documents=df))
+
+
+def test_targets_and_taken_words(spark):
+    df = random_docs(spark)
+    got = mixing.mix_report(df, mixing.cyclic_weights(df)).toPandas()
+    sizes = got.groupby("source", dropna=False)["size"].sum()
+    names = sorted((s for s in sizes.index if isinstance(s, str)), key=lambda s: [ord(c) for c in s]) + [None]
+    size = {s: int(sizes[sizes.index.isna()].iloc[0] if s is None else sizes[s]) for s in names}
+    weights = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    want = brute_targets(size, weights, 1.5 * sum(size.values()), 2)
+    for s in names:
+        mine = got[got["source"].isna()] if s is None else got[got["source"] == s]
+        assert abs(mine["target"].iloc[0] - want[s]) < 1e-6
+        assert abs(mine["taken"].sum() - want[s]) <= mine["size"].max() / 2 + 1e-6
+        assert (mine["taken"] <= 2 * mine["size"]).all()
+    assert abs(got["taken"].sum() - 1.5 * got["size"].sum()) < 0.05 * got["size"].sum()
+
+
+def test_reruns_and_partitionings_agree(spark):
+    df = random_docs(spark)
+    assert H.same(report(spark, df).toPandas(), report(spark, df.repartition(7)).toPandas())
+
+
+def test_mix_repeats_rows(spark):
+    df = random_docs(spark, 300)
+    reps = {r.doc_id: r.reps for r in mixing.mix_report(df, mixing.cyclic_weights(df)).collect()}
+    rows = mixing.mix(df, mixing.cyclic_weights(df)).collect()
+    seen = {}
+    for r in rows:
+        seen.setdefault(r.doc_id, []).append(r.repetition)
+    assert {k: sorted(v) for k, v in seen.items()} == {k: list(range(1, n + 1)) for k, n in reps.items() if n}
+    d = H.docs(spark, extra=True)
+    assert mixing.mix(d, mixing.cyclic_weights(d)).columns == [*d.drop("repetition").columns, "repetition"]
+
+
+def test_weights_zero_missing_and_infeasible_totals(spark):
+    df = H.docs(spark, [(1, "a b c d", "en", "x"), (2, "a b", "en", "y"), (3, "a", "en", "z")])
+    weights = spark.createDataFrame([("x", 1.0), ("y", 0.0)], "source string, weight double")
+    got = {r.doc_id: (r.target, r.taken) for r in mixing.mix_report(df, weights, share=5.0).collect()}
+    assert got == {1: (8.0, 8), 2: (0.0, 0), 3: (0.0, 0)}
+    e = H.empty(spark)
+    assert mixing.mix_report(e, mixing.cyclic_weights(e)).collect() == []

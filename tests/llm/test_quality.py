@@ -1,0 +1,75 @@
+import zlib
+
+import numpy as np
+import pytest
+
+from provena.llm import boosting, quality
+from provena.llm.common import read_table
+from tests.llm import helpers as H
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_trees_learn_and_flat_traversal_equals_walking():
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 20, (3000, 5)).astype(float)
+    y = ((x[:, 0] > 9) ^ (x[:, 3] > 4)).astype(float)
+    model = boosting.fit(x[:2000], y[:2000], trees=30, depth=3)
+    assert ((model.probability(x[2000:]) > 0.5) == y[2000:]).mean() > 0.98
+
+    def walk(row):
+        total = model.base
+        for f, t, v in zip(model.feature, model.threshold, model.leaf):
+            node = 0
+            while node < len(f):
+                node = 2 * node + (2 if row[f[node]] > t[node] else 1)
+            total += v[node - len(f)]
+        return total
+    assert model.margin(x[:50]) == pytest.approx([walk(r) for r in x[:50]])
+
+
+def test_first_split_is_the_best_of_all():
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(0, 6, (200, 2)).astype(float), rng.integers(0, 2, 200).astype(float)
+    model = boosting.fit(x, y, trees=1, depth=1, min_hessian=0)
+    p = 1 / (1 + np.exp(-model.base))
+    g, h = p - y, np.full(200, p * (1 - p))
+
+    def gain(m):
+        return sum((g[s].sum() ** 2) / (h[s].sum() + 1) for s in (m, ~m))
+    best = max(gain(x[:, f] > c + 0.5) for f in range(2) for c in range(5))
+    assert gain(x[:, model.feature[0, 0]] > model.threshold[0, 0]) == pytest.approx(best)
+
+
+@pytest.mark.parametrize("y", [[], [1.0, 1.0], [0.0]])
+def test_constant_models(y):
+    m = boosting.fit(np.zeros((len(y), 3)), np.array(y))
+    assert 0 < m.probability(np.zeros((2, 3)))[0] < 1
+
+
+def test_held_out_accuracy(spark):
+    docs, labels = read_table(spark, SF, "documents"), read_table(spark, SF, "labels")
+    got = quality.quality_scores(docs, labels).join(labels, "doc_id").toPandas()
+    held = got[got["held_out"]]
+    assert (held["held_out"] == held["doc_id"].map(lambda i: zlib.crc32(str(i).encode()) % 5 == 0)).all()
+    assert ((held["predicted"] == 1) == (held["quality"] == 1)).mean() > 0.95
+    assert (got["predicted"] == (got["score"] >= 0.3)).all()
+
+
+def test_held_out_labels_are_not_learnt(spark):
+    docs, labels = read_table(spark, SF, "documents"), read_table(spark, SF, "labels")
+    from provena.llm.common import fold
+    from pyspark.sql import functions as F
+    flipped = labels.withColumn("quality", F.when(fold(F.col("doc_id")) == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    a, b = quality.train(docs, labels, trees=3), quality.train(docs.repartition(5), flipped, trees=3)
+    assert (a.leaf == b.leaf).all() and (a.feature == b.feature).all()
+
+
+def test_awkward_rows(spark):
+    marks = H.labels(spark, [(1, 1, 0), (1, 0, 0), (2, 0, 0), (6, None, 1), (None, 1, 1), (77, 1, 1)])
+    got = quality.quality_scores(H.docs(spark, extra=True), marks).collect()
+    assert len(got) == len(H.ROWS) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
+    assert all(r.held_out for r in got if r.doc_id is None)
+    assert quality.quality_scores(H.empty(spark), H.labels(spark, [])).collect() == []
+    df = H.docs(spark, extra=True)
+    assert quality.keep_good(df, quality.train(df, H.labels(spark, []))).columns == df.columns
