@@ -156,11 +156,11 @@ def keep_one(docs: DataFrame, *, shingle: int = 3, max_distance: int = 2, seed:
     Of rows that repeat this id, the first by the other columns stays.  Null ids count last.
     """
     text_batches(docs.sparkSession)
-    cols = columns_of(docs)
-    row = cut_lineage(docs.select(F.struct(*cols).alias("row"), F.col(id_col).alias("doc_id"),
-                                  fingerprint_column(F.col(text_col), shingle, seed).alias("fp")))
-    named = groups(row.select("doc_id", "fp"), max_distance, bucket_cap)
+    fp = fingerprint_column(F.col(text_col), shingle, seed).alias("fp")
+    named = groups(cut_lineage(docs.select(F.col(id_col).alias("doc_id"), fp)), max_distance, bucket_cap)
     stays = named.filter(F.col("fp") == F.col("keep_fp")).select(F.col("keep_id"), F.col("fp").alias("keep_fp"))
+    # Fingerprints are made again next to the rows: that costs less than a table of all texts with them.
+    row = docs.select(F.struct(*columns_of(docs)).alias("row"), F.col(id_col).alias("doc_id"), fp)
     hit = row.join(stays, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("fp") == F.col("keep_fp")))
     repeats = Window.partitionBy("keep_id", "keep_fp").orderBy(*[F.col(f"row.`{c}`").cast("string") for c in docs.columns])
     return hit.withColumn("nth", F.row_number().over(repeats)).filter("nth = 1").select(*columns_of(docs, "row"))
