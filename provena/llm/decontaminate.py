@@ -19,6 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from provena.llm.common import text_batches
 
@@ -167,8 +168,10 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, *, rate: float = ERROR_RAT
     """
     text_batches(docs.sparkSession)
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    doc_type, item_type = read.schema["doc_id"].dataType.simpleString(), items.select(item_col).schema[0].dataType.simpleString()
-    schema = f"doc_id {doc_type}, item_id {item_type}, item_chars int, edits int, from_char long, to_char long"
+    item_kind = items.select(item_col).schema[0].dataType
+    schema = (f"doc_id {read.schema['doc_id'].dataType.simpleString()}, item_id {item_kind.simpleString()}, item_chars int, edits int, "
+              "from_char long, to_char long")
+    item_type = to_arrow_type(item_kind)
     names = ["doc_id", "item_id", "item_chars", "edits", "from_char", "to_char"]
 
     def scan_for(block: list[tuple[object, str]]):
@@ -179,7 +182,7 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, *, rate: float = ERROR_RAT
                 if rows:
                     ids, things, *rest = map(list, zip(*rows))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids, b.column("doc_id").type), pa.array(things), *[pa.array(r, t) for r, t in zip(
+                        [pa.array(ids, b.column("doc_id").type), pa.array(things, item_type), *[pa.array(r, t) for r, t in zip(
                             rest, (pa.int32(), pa.int32(), pa.int64(), pa.int64()))]], names=names)
         return scan
 

@@ -86,6 +86,9 @@ def test_awkward_rows(spark):
     got = sorted((r.doc_id, r.item_id) for r in D.benchmark_hits(df, items).collect())
     assert got == [(1, 1), (1, 2), (2, 1), (2, 1), (2, 2), (2, 2)]
     assert D.without_benchmarks(df, items).count() == len(H.ROWS) - 3
+    for kind in ("int", "string"):
+        odd = items.selectExpr(f"CAST(if(item_id = 1, NULL, item_id) AS {kind}) AS item_id", "text")
+        assert {r.item_id for r in D.benchmark_hits(df.selectExpr("CAST(doc_id AS string) AS doc_id", "text"), odd).collect()} == {None, 2 if kind == "int" else "2"}
     none = items.filter("item_id < 0")
     assert D.benchmark_hits(df, none).collect() == [] and D.without_benchmarks(df, none).count() == len(H.ROWS)
     assert D.benchmark_hits(H.empty(spark), items).collect() == []
