@@ -153,13 +153,15 @@ def split_referrals(raw: DataFrame, configs: list[ReferralConfig] | None = None,
 
 
 def dedup_person_ids(long: DataFrame, configs: list[ReferralConfig] | None = None,
-                     mode: str = "reference") -> DataFrame:
+                     mode: str = "reference", only: list[int] | None = None) -> DataFrame:
     """Per party, keep the first row per Person ID when that party has any ID.
 
     ``reference``: null IDs form one group (so all null-ID rows collapse to
     one) — what the exports' consumers expect.  ``keep_null_ids``: rows
     without an ID are all kept.  ``none``: no de-duplication.
-    The "has any ID" gate is a scalar subquery, not a driver action.
+    The "has any ID" gate looks for one such row per party before planning (it
+    stops at the first, reading one column), so the plan scans the export
+    once; for a stream it is a scalar subquery in the plan.
     """
     configs = configs or default_configs()
     if mode == "none":
@@ -167,20 +169,26 @@ def dedup_person_ids(long: DataFrame, configs: list[ReferralConfig] | None = Non
     id_cfgs = [i for i, c in enumerate(configs) if "person_id" in c.columns.values()]
     if not id_cfgs:
         return long
-    gates = long.groupBy().agg(*[
-        F.max(F.when((F.col("_cfg") == i) & F.col("person_id").isNotNull(), F.lit(True)).otherwise(F.lit(False))).alias(f"g{i}")
-        for i in id_cfgs]).select(F.array(*[F.col(f"g{i}") for i in id_cfgs]).alias("g")).scalar()
-    gate = F.coalesce(F.element_at(gates, F.array_position(F.array(*[F.lit(i) for i in id_cfgs]), F.col("_cfg")).cast("int")),
-                      F.lit(False))
-    in_id_cfg = F.col("_cfg").isin(*id_cfgs)
-    untouched = long.filter(~in_id_cfg | ~gate)
-    candidates = long.filter(in_id_cfg & gate)
+    if long.isStreaming:
+        gates = long.groupBy().agg(*[
+            F.max(F.when((F.col("_cfg") == i) & F.col("person_id").isNotNull(), F.lit(True)).otherwise(F.lit(False))).alias(f"g{i}")
+            for i in id_cfgs]).select(F.array(*[F.col(f"g{i}") for i in id_cfgs]).alias("g")).scalar()
+        gate = F.coalesce(F.element_at(gates, F.array_position(F.array(*[F.lit(i) for i in id_cfgs]), F.col("_cfg")).cast("int")),
+                          F.lit(False))
+        deduped = F.col("_cfg").isin(*id_cfgs) & gate
+        parts = [long.filter(~deduped)]
+    else:
+        active = [i for i in id_cfgs if not long.filter((F.col("_cfg") == i) & F.col("person_id").isNotNull()).select("person_id").isEmpty()]
+        if not active:
+            return long
+        deduped = F.col("_cfg").isin(*active)
+        parts = [] if only is not None and set(only) <= set(active) else [long.filter(~deduped)]
+    candidates = long.filter(deduped)
     if mode == "keep_null_ids":
-        kept_nulls = candidates.filter(F.col("person_id").isNull())
-        firsts = keep_first(candidates.filter(F.col("person_id").isNotNull()), ["_cfg", "person_id"], ["_seq"])
-        return untouched.unionByName(kept_nulls).unionByName(firsts)
-    firsts = keep_first(candidates, ["_cfg", "person_id"], ["_seq"])
-    return untouched.unionByName(firsts)
+        parts.append(candidates.filter(F.col("person_id").isNull()))
+        candidates = candidates.filter(F.col("person_id").isNotNull())
+    parts.append(keep_first(candidates, ["_cfg", "person_id"], ["_seq"]))
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def _id_parties(raw: DataFrame, configs: list[ReferralConfig]) -> list[int]:
@@ -200,8 +208,8 @@ def process_referrals(raw: DataFrame, configs: list[ReferralConfig] | None = Non
     ``referral_types`` limits the output to inbound and/or outbound rows; only
     those parties are split, so the export's other columns are never read.
     Parties without a Person-ID header pass straight through; the ID-bearing
-    parties go through the gated keep-first (a scalar-subquery gate plus a
-    ``row_number() = 1`` that prunes before its shuffle).
+    parties go through the gated keep-first (a ``row_number() = 1`` that prunes
+    before its shuffle).
     """
     configs = configs or default_configs()
     wanted = [i for i, c in enumerate(configs) if referral_types is None or c.referral_type in referral_types]
@@ -211,7 +219,7 @@ def process_referrals(raw: DataFrame, configs: list[ReferralConfig] | None = Non
     if plain:
         parts.append(split_referrals(raw, configs, plain))
     if with_ids:
-        parts.append(dedup_person_ids(split_referrals(raw, configs, with_ids), configs, dedup))
+        parts.append(dedup_person_ids(split_referrals(raw, configs, with_ids), configs, dedup, with_ids))
     if not parts:
         return raw.sparkSession.createDataFrame([], S.REFERRALS_SCHEMA).withColumn("_seq", F.lit(None).cast("long"))
     out = parts[0]
