@@ -154,7 +154,7 @@ def split_referrals(raw: DataFrame, configs: list[ReferralConfig] | None = None,
 
 def dedup_person_ids(long: DataFrame, configs: list[ReferralConfig] | None = None,
                      mode: str = "reference", only: list[int] | None = None) -> DataFrame:
-    """Per party, keep the first row per Person ID when that party has any ID.
+    """Per party (``only``: those that ``long`` has), keep the first row per Person ID when that party has any ID.
 
     ``reference``: null IDs form one group (so all null-ID rows collapse to
     one) — what the exports' consumers expect.  ``keep_null_ids``: rows
@@ -166,7 +166,7 @@ def dedup_person_ids(long: DataFrame, configs: list[ReferralConfig] | None = Non
     configs = configs or default_configs()
     if mode == "none":
         return long
-    id_cfgs = [i for i, c in enumerate(configs) if "person_id" in c.columns.values()]
+    id_cfgs = [i for i, c in enumerate(configs) if "person_id" in c.columns.values() and (only is None or i in only)]
     if not id_cfgs:
         return long
     if long.isStreaming:
