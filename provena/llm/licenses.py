@@ -1,8 +1,8 @@
 """License scans with a generalised suffix automaton of licence tokens.
 
 The templates' words become one automaton that knows every run of words of every template.  A text is
-streamed through it word by word; the length of the longest run ending at each word (the matching
-statistics) is kept, maximal long runs are chained into spans per template, and the share of a
+streamed through it word by word, which gives the longest run of every template that ends at each word
+(the matching statistics); maximal long runs are chained into spans per template, and the share of a
 template's words that a chain covers decides its label.  Fixed phrases are counted besides.
 
 The automaton has at most two states per template word; it is built once per Python process from the
@@ -151,7 +151,7 @@ class Scanner:
     runs of a chain, in the text and in the template; ``cover``: least share of a template's words for its label."""
 
     def __init__(self, templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, *, min_run: int = 4, max_gap: int = 12,
-                 cover: float = 0.6) -> None:
+                 cover: float = 0.8) -> None:
         templates, phrases = TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases
         self.labels = [*templates]
         texts = [words(t) for t in templates.values()]
@@ -164,29 +164,42 @@ class Scanner:
         self.automaton = Automaton.of(runs)
         self.min_run, self.max_gap, self.cover = min_run, max_gap, cover
 
-    def _runs(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """Maximal matches ``(end, length, state)``: those that the next word doesn't make longer."""
+    def matches(self, ids: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """``(word after, length, template, template position after)``: at every word the longest run that ends
+        there and is in the template, where it is long enough to count.
+
+        The state of the longest known run has its own templates; its suffix links lead to the longest runs
+        that further templates have.
+        """
         known = np.flatnonzero(ids >= 0)
         if not len(known):
             return
+        least = min(self.min_run, min(self.sizes))
+        link, length, ends = self.automaton.link, self.automaton.length, self.automaton.ends
         for part in np.split(known, np.flatnonzero(np.diff(known) > 1) + 1):  # stretches of template words
-            if len(part) < min(self.min_run, min(self.sizes)):
+            if len(part) < least:
                 continue
             lengths, states = self.automaton.statistics(ids[part].tolist())
-            for i, n in enumerate(lengths):
-                if n and (i + 1 == len(lengths) or lengths[i + 1] != n + 1):
-                    yield int(part[i]) + 1, n, states[i]
+            for i, (n, state) in enumerate(zip(lengths, states)):
+                seen: set[int] = set()
+                while n >= least:
+                    new = [(t, e) for t, e in ends[state] if t not in seen and n >= min(self.min_run, self.sizes[t])]
+                    for t, e in new:
+                        yield int(part[i]) + 1, n, t, e
+                    seen.update(t for t, _ in new)
+                    state = link[state]
+                    n = length[state]
 
     def spans(self, ids: np.ndarray) -> list[tuple[int, int, int, float]]:
         """``(template, first word, word after, share of the template covered)``, the best chain of every template."""
-        found: dict[int, list[tuple[int, int, int, int]]] = {}
-        for end, n, state in self._runs(ids):
-            for t, e in self.automaton.ends[state]:
-                if n >= min(self.min_run, self.sizes[t]):
-                    found.setdefault(t, []).append((end - n, end, e - n, e))
+        found: dict[int, dict[tuple[int, int], tuple[int, int, int, int]]] = {}
+        for end, n, t, e in self.matches(ids):
+            runs = found.setdefault(t, {})
+            runs.pop((end - 1, e - 1), None)  # the run one word shorter is part of this one
+            runs[end, e] = (end - n, end, e - n, e)
         out = []
-        for t, runs in sorted(found.items()):
-            runs.sort()
+        for t, by_end in sorted(found.items()):
+            runs = sorted(by_end.values())
             best = (0, 0, 0)  # words covered, first, after
             chains: list[list[int]] = []  # covered, first word, text end, template end; open ones only
             for a, b, ta, tb in runs:

@@ -36,6 +36,26 @@ def test_matching_statistics_equal_brute_force(seed):
             assert a.ends[states[i]] == {(t, e) for t, words in enumerate(templates) for e in range(n, len(words) + 1) if words[e - n:e] == run}
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_matches_of_every_template_equal_brute_force(seed):
+    rng = random.Random(seed)
+    texts = {f"t{k}": " ".join(rng.choice("abcd") for _ in range(rng.randint(2, 12))) for k in range(5)}
+    s = L.Scanner(texts, {}, min_run=3)
+    seq = [rng.choice("abcdx") for _ in range(200)]
+    got = {}
+    for end, n, t, e in s.matches(L.np.array([s.number.get(w.encode(), -1) for w in seq])):
+        got.setdefault((end, t), set()).add((n, e))
+    want = {}
+    for t, words in enumerate(x.split() for x in texts.values()):
+        for end in range(1, len(seq) + 1):
+            for n in range(min(end, len(words)), min(3, len(words)) - 1, -1):
+                at = {(n, e) for e in range(n, len(words) + 1) if words[e - n:e] == seq[end - n:end]}
+                if at:
+                    want[end, t] = at
+                    break
+    assert got == want
+
+
 def test_whole_table_base_counts(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r.doc_id: r for r in L.license_scan(docs).collect()}
@@ -54,6 +74,8 @@ def test_templates_are_found_with_changes():
     got = s.scan("x " * 50 + changed)
     span = next(x for x in got[7] if x[0] == "mit")
     assert "mit" in got[5].split(",") and 50 <= span[1] <= 52 and span[2] <= 50 + len(brute_words(changed)) and 0.8 < span[3] < 1
+    assert s.scan("Licensed under CC BY-NC 4.0.")[5] == "cc-by,cc-by-nc"
+    assert {"gpl-notice", "gpl-short", "gpl"} <= set(s.scan(L.TEMPLATES["gpl-notice"])[5].split(","))
     assert s.scan("Permission is hereby granted to nobody, and the rest is prose")[5] == ""
 
 
