@@ -57,7 +57,8 @@ def fingerprint_column(text: Column, shingle: int = 3, seed: int = 42) -> Column
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, shingle, seed) for t in texts], dtype=np.uint64).view(np.int64))
 
-    return fp(text)
+    # Never null, and declared so: a join on it would otherwise filter nulls first, with a second run of the function.
+    return F.coalesce(fp(text), F.lit(0).cast("long"))
 
 
 def hex_column(fp: Column) -> Column:
@@ -153,14 +154,16 @@ def keep_one(docs: DataFrame, *, shingle: int = 3, max_distance: int = 2, seed:
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's rows and columns with one row of each near-duplicate group: that of the smallest id.
 
-    Of rows that repeat this id, the first by the other columns stays.  Null ids count last.
+    Of rows that repeat this id, the one whose columns have the smallest hash stays.  Null ids count last.
     """
     text_batches(docs.sparkSession)
     fp = fingerprint_column(F.col(text_col), shingle, seed).alias("fp")
     named = groups(cut_lineage(docs.select(F.col(id_col).alias("doc_id"), fp)), max_distance, bucket_cap)
-    stays = named.filter(F.col("fp") == F.col("keep_fp")).select(F.col("keep_id"), F.col("fp").alias("keep_fp"))
+    kind = docs.select(id_col).schema[0].dataType
+    # Null ids as a pair of plain columns, so that the join's partitioning also serves the window: texts move once.
+    key = lambda c: (F.coalesce(c, F.lit(0).cast(kind)).alias("key"), c.isNull().alias("none"))
+    stays = named.filter(F.col("fp") == F.col("keep_fp")).select(*key(F.col("keep_id")), "fp")
     # Fingerprints are made again next to the rows: that costs less than a table of all texts with them.
-    row = docs.select(F.struct(*columns_of(docs)).alias("row"), F.col(id_col).alias("doc_id"), fp)
-    hit = row.join(stays, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("fp") == F.col("keep_fp")))
-    repeats = Window.partitionBy("keep_id", "keep_fp").orderBy(*[F.col(f"row.`{c}`").cast("string") for c in docs.columns])
-    return hit.withColumn("nth", F.row_number().over(repeats)).filter("nth = 1").select(*columns_of(docs, "row"))
+    row = docs.select(F.struct(*columns_of(docs)).alias("row"), *key(F.col(id_col)), fp)
+    repeats = Window.partitionBy("key", "none", "fp").orderBy(F.xxhash64("row"))
+    return row.join(stays, ["key", "none", "fp"]).withColumn("nth", F.row_number().over(repeats)).filter("nth = 1").select(*columns_of(docs, "row"))
