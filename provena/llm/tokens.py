@@ -138,6 +138,21 @@ def attribute(widths: np.ndarray, sections: list[tuple[int, int]], starts: np.nd
     return counts, float(per[own < 0].sum()), crossing
 
 
+def field_sections(fields: list[str], separator: str = "\n") -> tuple[Column, Column]:
+    """One text of several string columns, and where each of them stands in it (a null one is empty).
+
+    For ``token_counts``: the columns are encoded as one document, as they are trained on, and its tokens
+    attributed to them in the order given; what the separators hold is outside.
+    """
+    parts = [F.coalesce(F.col(f"`{f}`"), F.lit("")) for f in fields]
+    spans, at = [], F.lit(0).cast("long")
+    for p in parts:
+        end = at + F.length(p)
+        spans.append(F.struct(at.alias("a"), end.alias("b")))
+        at = end + len(separator)
+    return F.concat(*[x for p in parts for x in (F.lit(separator), p)][1:]), F.array(*spans)
+
+
 def token_counts(docs: DataFrame, sections: Column | None = None, *, rule: str = "most", vocabulary: str | None = None, pattern: str | None = None,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, section, from_char, to_char, n_tokens, n_crossing, doc_tokens)``: a row per section of every document row.

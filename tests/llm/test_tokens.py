@@ -75,6 +75,20 @@ def test_whole_table(spark, other):
         assert "".join(d.text[r.from_char:r.to_char] for r in rows) == d.text and len(rows) == d.text.count("\n") + (not d.text.endswith("\n"))
 
 
+def test_fields_of_a_row(spark, other):
+    rows = [(1, "A title", "and a body\nof two lines", "é中"), (2, None, "", "x"), (3, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, title string, body string, tail string")
+    text, spans = tokens.field_sections(["title", "body", "tail"], separator=" | ")
+    got = {}
+    for r in tokens.token_counts(df.withColumn("text", text), spans, rule="share").collect():
+        got.setdefault(r.doc_id, {})[r.section] = r
+    for i, *fields in rows:
+        whole = " | ".join(f or "" for f in fields)
+        assert sum(r.n_tokens for r in got[i].values()) == pytest.approx(len(other.encode(whole, add_special_tokens=False).ids))
+        assert [whole[got[i][k].from_char:got[i][k].to_char] for k in range(3)] == [f or "" for f in fields]
+        assert got[i][-1].n_tokens > 0  # the separators
+
+
 def test_awkward_rows(spark):
     got = tokens.token_counts(H.docs(spark, extra=True)).collect()
     assert sum(1 for r in got if r.doc_id == 2) == 2
