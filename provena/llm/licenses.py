@@ -2,8 +2,9 @@
 
 The templates' words become one automaton that knows every run of words of every template.  A text is
 streamed through it word by word, which gives the longest run of every template that ends at each word
-(the matching statistics); maximal long runs are chained into spans per template, and the share of a
-template's words that a chain covers decides its label.  Fixed phrases are counted besides.
+(the matching statistics); maximal long runs at all places of a template are chained into spans, the later
+of two overlapping runs shortened by what they share, and the share of a template's words that a chain
+covers decides its label.  Fixed phrases are counted besides.
 
 The automaton has at most two states per template word; it is built once per Python process from the
 templates, which travel with the function (a proven bound: ``MAX_TEMPLATE_WORDS``).  One pass over the
@@ -12,6 +13,7 @@ texts, no shuffle; words that no template has cost one dictionary look-up.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -164,12 +166,13 @@ class Scanner:
         self.automaton = Automaton.of(runs)
         self.min_run, self.max_gap, self.cover = min_run, max_gap, cover
 
-    def matches(self, ids: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    def matches(self, ids: np.ndarray, *, every_place: bool = False) -> Iterator[tuple[int, int, int, int]]:
         """``(word after, length, template, template position after)``: at every word the longest run that ends
-        there and is in the template, where it is long enough to count.
+        there and is in the template, where it is long enough to count; with ``every_place`` the longest one
+        at each place of the template.
 
         The state of the longest known run has its own templates; its suffix links lead to the longest runs
-        that further templates have.
+        that further templates (or places) have.
         """
         known = np.flatnonzero(ids >= 0)
         if not len(known):
@@ -181,37 +184,39 @@ class Scanner:
                 continue
             lengths, states = self.automaton.statistics(ids[part].tolist())
             for i, (n, state) in enumerate(zip(lengths, states)):
-                seen: set[int] = set()
+                seen: set = set()
                 while n >= least:
-                    new = [(t, e) for t, e in ends[state] if t not in seen and n >= min(self.min_run, self.sizes[t])]
+                    new = [(t, e) for t, e in ends[state] if ((t, e) if every_place else t) not in seen and n >= min(self.min_run, self.sizes[t])]
                     for t, e in new:
                         yield int(part[i]) + 1, n, t, e
-                    seen.update(t for t, _ in new)
+                    seen.update(new if every_place else (t for t, _ in new))
                     state = link[state]
                     n = length[state]
 
     def spans(self, ids: np.ndarray) -> list[tuple[int, int, int, float]]:
-        """``(template, first word, word after, share of the template covered)``, the best chain of every template."""
+        """``(template, first word, word after, share of the template covered)``, the best chain of every template.
+
+        A run that begins before its chain's end, in the text or in the template, counts without the words
+        up to there; the gaps are those of what is left of it.  Of all chains that end with a run the one
+        that covers most is kept (the first of equals); whether a run fits depends on the chain's end only.
+        """
         found: dict[int, dict[tuple[int, int], tuple[int, int, int, int]]] = {}
-        for end, n, t, e in self.matches(ids):
+        for end, n, t, e in self.matches(ids, every_place=True):
             runs = found.setdefault(t, {})
             runs.pop((end - 1, e - 1), None)  # the run one word shorter is part of this one
-            runs[end, e] = (end - n, end, e - n, e)
+            runs[end, e] = (end, e, end - n, e - n)
         out = []
         for t, by_end in sorted(found.items()):
-            runs = sorted(by_end.values())
             best = (0, 0, 0)  # words covered, first, after
-            chains: list[list[int]] = []  # covered, first word, text end, template end; open ones only
-            for a, b, ta, tb in runs:
-                chains = [c for c in chains if a - c[2] <= self.max_gap]
-                fits = [c for c in chains if a >= c[2] and ta >= c[3] and ta - c[3] <= self.max_gap]
-                prior = max(fits, key=lambda c: (c[0], -c[1]), default=[0, a, a, ta])
-                chain = [prior[0] + b - a, prior[1], b, tb]
-                chains.append(chain)
-                best = max(best, (chain[0], -chain[1], -b))
-                if len(chains) > 64:  # equal text ends: what is behind by cover and place can't win
-                    chains.sort(key=lambda c: (-c[0], c[1]))
-                    chains = [c for i, c in enumerate(chains) if not any(d[2] <= c[2] and d[3] <= c[3] for d in chains[:i])]
+            chains: list[tuple[int, int, int, int]] = []  # text end, template end, covered, first word; by text end
+            for b, tb, a, ta in sorted(by_end.values()):
+                covered, first = b - a, -a
+                for end, t_end, c, f in chains[bisect_left(chains, a - self.max_gap, key=lambda c: c[0]):]:
+                    d = max(0, end - a, t_end - ta)  # words shared
+                    if d < b - a and a + d - end <= self.max_gap and ta + d - t_end <= self.max_gap:
+                        covered, first = max((covered, first), (c + b - a - d, -f))
+                chains.append((b, tb, covered, -first))
+                best = max(best, (covered, first, -b))
             out.append((t, -best[1], -best[2], min(1.0, best[0] / self.sizes[t])))
         return out
 

@@ -90,3 +90,59 @@ def test_awkward_rows(spark):
     assert L.license_scan(H.empty(spark)).collect() == []
     with pytest.raises(ValueError):
         L.Scanner({"big": "a " * (L.MAX_TEMPLATE_WORDS + 1)})
+
+
+def brute_cover(s, t, template, text):
+    """The best chain of maximal runs over all diagonals, by trying every order of ends; overlaps count once."""
+    runs = []
+    for shift in range(-len(template), len(text)):
+        n = 0
+        for e in range(len(template) + 1):
+            same = e < len(template) and 0 <= e + shift < len(text) and template[e] == text[e + shift]
+            if not same and n >= min(s.min_run, s.sizes[t]):
+                runs.append((e + shift, e, n))
+            n = n + 1 if same else 0
+    top = {}
+    for b, e, n in sorted(runs):
+        top[b, e] = n
+        for (pb, pe), c in list(top.items()):
+            shared = max(0, pb - (b - n), pe - (e - n))
+            if pb < b and pe < e and max(b - n + shared - pb, e - n + shared - pe) <= s.max_gap:
+                top[b, e] = max(top[b, e], c + n - shared)
+    return max(top.values(), default=0) / len(template)
+
+
+def covers(s, text):
+    return {x[0]: x[3] for x in s.scan(" ".join(text))[7]}
+
+
+def test_one_doubled_word_or_deleted_stretch_anywhere():
+    s = L.Scanner()
+    for t, (label, notice) in enumerate(L.TEMPLATES.items()):
+        w = brute_words(notice)
+        for i in range(len(w)):
+            for gone in (0, 1, 3, 5, 12):  # none: the word is doubled instead
+                text = w[:i] + w[i + gone:] if gone else w[:i + 1] + w[i:]
+                got = covers(s, text).get(label, 0.0)
+                assert got == pytest.approx(brute_cover(s, t, w, text)), (label, i, gone)
+                assert got >= (len(w) - gone - 2 * (s.min_run - 1)) / len(w), (label, i, gone)
+
+
+def test_a_run_inside_a_longer_one_at_another_place_is_chained():
+    s, w = L.Scanner(), brute_words(L.TEMPLATES["bsd"])
+    at = w.index("reproduce")
+    text = w[:at] + ["retain"] + w[at + 1:]  # as in the sentence before, which makes its run there the longer one
+    text[text.index("in", at)] = "x"
+    assert covers(s, text)["bsd"] == pytest.approx(brute_cover(s, [*L.TEMPLATES].index("bsd"), w, text))
+    assert covers(s, text)["bsd"] == pytest.approx(1 - 2 / len(w))
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_chains_equal_brute_force(seed):
+    rng = random.Random(seed)
+    template = [rng.choice("abc") for _ in range(rng.randint(3, 40))]
+    s = L.Scanner({"t": " ".join(template)}, {}, min_run=rng.choice([2, 3, 4]), max_gap=rng.choice([0, 2, 12]))
+    for _ in range(20):
+        text = [w for w in template for _ in range(rng.choice([0, 1, 1, 1, 1, 1, 2]))]
+        text += [rng.choice("abcx") for _ in range(rng.randint(0, 30))]
+        assert covers(s, text).get("t", 0.0) == pytest.approx(brute_cover(s, 0, template, text))
