@@ -77,17 +77,17 @@ def word_count(text: Column) -> Column:
 def bounded_texts(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, max_chars: int, *, id_col: str = "doc_id",
                   text_col: str = "text", extra: tuple[str, ...] = ()) -> list:
     """Rows ``(id, text, label, *extra)`` on the driver: labelled documents outside the held-out fold, in the order
-    of a hash of their id, as far as ``max_rows`` rows and ``max_chars`` characters of whole texts go."""
+    of a hash of their id, as far as ``max_rows`` rows and ``max_chars`` characters of whole texts go.  A text that
+    doesn't fit into the characters left is passed over; shorter ones after it are still taken."""
     spark = docs.sparkSession
     sample = labelled_sample(docs, labels, label, max_rows, id_col=id_col, text_col=text_col)
     sizes = (sample.groupBy("id").agg(F.max(F.coalesce(F.length("text"), F.lit(0))).alias("n"))
              .orderBy(F.xxhash64("id"), "id").limit(max_rows).collect())
     ids, room = [], max_chars
     for r in sizes:
-        room -= r.n
-        if room < 0:
-            break
-        ids.append(r.id)
+        if r.n <= room:
+            room -= r.n
+            ids.append(r.id)
     if not ids:
         return []
     chosen = labels.filter(F.col(label).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label).cast("int").alias("label"))
