@@ -23,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from provena.llm.common import text_batches
 
-ERROR_RATE = 0.08
+ERROR_RATE = 0.10
 MIN_CHARS = 20
 BLOCK_CHARS = 4_000_000
 

@@ -73,6 +73,19 @@ def test_all_occurrences_within_budget_and_no_others(spark):
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {i for i, *_ in rows} - {d for d, _ in want}
 
 
+def test_a_tenth_of_edits_is_found():
+    rng = random.Random(2)
+    for n in (8, 20, 60):
+        item = D.normalise(prose(rng, n))
+        for share in (0.09, 0.1):
+            k = int(share * len(item))
+            text = list(item)
+            for p in rng.sample(range(len(text)), k):
+                text[p] = "0"
+            found = D.Matcher([(1, item)]).find("before it " + "".join(text) + " after")
+            assert [h[:3] for h in found] == [(1, len(item), k)]
+
+
 @pytest.mark.parametrize("place", ["{}", "{} and more", "before {}", "{0}{0}"])
 def test_items_at_the_borders_of_a_text(place):
     item = prose(random.Random(3), 30)
