@@ -1,6 +1,7 @@
 """The registered queries on driver tables: names, columns, plans, oracles, and the pipeline against brute force."""
 
 import os
+import random
 import re
 
 import duckdb
@@ -57,6 +58,25 @@ def test_oracles(spark, name):
     assert H.same(queries.QUERIES[name](spark, SF).toPandas(), con.execute(queries.ORACLE_SQL[name]).df())
 
 
+def nearest(pattern, text):
+    """Sellers' table, a row at a time: least edits of the pattern to any stretch."""
+    x = np.array([*map(ord, text)], np.int64)
+    place = np.arange(len(x) + 1)
+    row = np.zeros(len(x) + 1, np.int64)
+    for c in pattern:
+        new = row + 1
+        new[1:] = np.minimum(new[1:], row[:-1] + (x != ord(c)))
+        row = np.minimum.accumulate(new - place) + place
+    return int(row.min())
+
+
+def test_nearest_equals_the_table():
+    rng = random.Random(0)
+    for _ in range(200):
+        p, t = ("".join(rng.choice("abc") for _ in range(rng.randint(a, 30))) for a in (1, 0))
+        assert nearest(p, t) == distance(p, t)
+
+
 def test_pipeline_equals_brute_force(spark):
     docs = [r.asDict() for r in read_table(spark, SF, "documents").collect()]
     labels = read_table(spark, SF, "labels")
@@ -75,10 +95,7 @@ def test_pipeline_equals_brute_force(spark):
     docs = [d for d in docs if d["doc_id"] in least.values()]
     # 9
     items = [decontaminate.normalise(r.text) for r in read_table(spark, SF, "benchmark").collect()]
-    near = [t for t in items if t]
-    docs = [d for d in docs if not any(
-        i in (text := decontaminate.normalise(d["text"])) or (set(i.split()) <= set(text.split()) | {i} and len(set(i.split()) & set(text.split())) > 0.6 * len(set(i.split()))
-                                                             and distance(i, text) <= int(decontaminate.ERROR_RATE * len(i))) for i in near)]
+    docs = [d for d in docs if not any(nearest(i, decontaminate.normalise(d["text"])) <= int(decontaminate.ERROR_RATE * len(i)) for i in items if i)]
     # 2
     frame = spark.createDataFrame([(d["doc_id"], d["text"], d["lang"], d["source"], d["n_chars"]) for d in docs], H.SCHEMA)
     mixed = H.sql(oracle.mixing_sql(), documents=frame).merge(frame.toPandas()[["doc_id"]], on="doc_id")
@@ -91,6 +108,63 @@ def test_pipeline_equals_brute_force(spark):
     assert got == want
 
 
+def test_pipeline_on_edited_items_near_copies_and_an_active_rule(spark, tmp_path):
+    rng = random.Random(8)
+    prose = lambda n: [rng.choice("abcdefghij") + "%d" % rng.randrange(4000) for _ in range(n)]
+    texts = [" ".join(prose(rng.randint(55, 65))) for _ in range(3200)]
+    marks = [1] * len(texts)
+    texts += [" ".join(x + "***" for x in prose(60)) for _ in range(100)]
+    marks += [0] * 100
+    items = [" ".join(prose(24)) for _ in range(3)]
+    edits = {}
+    for item in items:
+        budget = int(decontaminate.ERROR_RATE * len(item))
+        for k in (1, budget, budget + 4):
+            changed = [*item]
+            for at in range(k):
+                changed[at * len(item) // k + 1] = "~"
+            edits[len(texts)] = k <= budget
+            texts.append(" ".join([*prose(50), "".join(changed), *prose(5)]))
+    copies = {}
+    for bits in (1, 2, 3):
+        words = prose(200)
+        own = brute_fingerprint(" ".join(words))
+        while True:
+            other = [*words]
+            other[rng.randrange(len(other))] = prose(1)[0]
+            if (own ^ brute_fingerprint(" ".join(other))).bit_count() == bits:
+                break
+        copies[len(texts) + 1] = bits
+        texts += [" ".join(words), " ".join(other)]
+    docs = H.docs(spark, [(i, t, "en", "ab"[i % 2]) for i, t in enumerate(texts)])
+    labels = H.labels(spark, [(i, m, 0) for i, m in enumerate(marks)])
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    for name, table in (("documents", docs), ("labels", labels), ("benchmark", bench)):
+        table.write.parquet(os.fspath(tmp_path / f"{name}.parquet"))
+    docs, labels = (read_table(spark, os.fspath(tmp_path), t) for t in ("documents", "labels"))
+    judged = H.sql(oracle.rules_sql(), documents=docs, labels=labels)
+    assert (~judged["kept"] & ~judged["base_failed"]).sum() >= 100
+    kept = sorted(int(i) for i in judged[judged["kept"]]["doc_id"])
+    p = quality.train(docs, labels).probability(np.array([quality.statistics(texts[i]) for i in kept]))
+    kept = [i for i, x in zip(kept, p) if x >= 0.3]
+    assert {*edits, *copies} <= {*kept}
+    prints = {i: brute_fingerprint(texts[i]) for i in kept}
+    roots, least = brute_roots(sorted(set(prints.values())), 2), {}
+    for i in kept:
+        least.setdefault(roots[prints[i]], i)
+    kept = sorted(least.values())
+    assert {i: i not in kept for i in copies} == {i: bits <= 2 for i, bits in copies.items()}
+    held = {i for i in kept if any(nearest(t, texts[i]) <= int(decontaminate.ERROR_RATE * len(t)) for t in items)}
+    assert held == {i for i, found in edits.items() if found}
+    left = docs.filter(docs["doc_id"].isin([i for i in kept if i not in held]))
+    mixed = H.sql(oracle.mixing_sql(), documents=left)
+    want = {int(r.doc_id): int(r.taken) // int(r.size) for r in mixed.itertuples() if r.taken}
+    got = {}
+    for r in corpus_pipeline.run(spark, os.fspath(tmp_path)).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + 1
+    assert got == want
+
+
 def test_stages_on_awkward_rows(spark, tmp_path):
     for name, table in (("labels", H.labels(spark, [(1, 1, 0)])), ("benchmark", spark.createDataFrame([], "item_id long, text string")), ("documents", H.docs(spark))):
         table.write.parquet(os.fspath(tmp_path / f"{name}.parquet"))
