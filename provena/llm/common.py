@@ -24,6 +24,11 @@ def text_batches(spark: SparkSession, rows: int = 256) -> None:
         spark.conf.set(key, str(rows))
 
 
+def valid_text(c: Column) -> Column:
+    """The text with malformed UTF-8 as U+FFFD, which Python can decode; null as an empty text."""
+    return F.coalesce(F.make_valid_utf8(c), F.lit(""))
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z and nothing else (``lower`` would also change other alphabets)."""
     return F.translate(c, ASCII_UPPER, ASCII_UPPER.lower())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from provena.llm import chat, mixing, rules
+from provena.llm import chat, lexical, mixing, rules
 
 WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 
@@ -99,3 +99,24 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        CAST(sum({marks} + length({esc("role")}) + length({esc("text")})) AS BIGINT) AS formatted_chars
 FROM r GROUP BY conv_id
 """
+
+
+def lexical_sql(docs: str = "documents", items: str = "benchmark", k: int = 10) -> str:
+    """All scores of all documents, then the best: no lists, no bounds."""
+    terms = f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{lexical.TERM}')"
+    return rf"""
+WITH d AS (SELECT * FROM (SELECT row_number() OVER () AS rid, doc_id, {terms} AS w FROM {docs}) WHERE len(w) > 0),
+tot AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d),
+q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({terms}) AS term FROM {items})),
+tf AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY rid, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+gain AS (
+  SELECT rid, term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1))) AS BIGINT)
+                    * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(w) * docs) // terms))) AS gain
+  FROM tf JOIN df USING (term) JOIN d USING (rid), tot),
+scored AS (SELECT item_id, rid, CAST(sum(gain) AS BIGINT) AS score FROM q JOIN gain USING (term) GROUP BY item_id, rid HAVING sum(gain) > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank
+  FROM scored JOIN d USING (rid))
+WHERE rank <= {k}
+"""

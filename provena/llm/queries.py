@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm import chat, decontaminate, licenses, mixing, oracle, quality, rules, simhash, tokens, toxicity, urls
+from provena.llm import (chat, decontaminate, language_model, lexical, licenses, mixing, oracle, quality, rules, simhash, tokens, toxicity, urls,
+                         whitening)
 from provena.llm.common import read_table
 
 
@@ -66,6 +67,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(read_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"), components=32)
+
+
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.lm_scores(read_table(spark, sf_dir, "documents"), order=2, held_out_fold=2, folds=7)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_source_mixing": op2_source_mixing,
@@ -77,10 +90,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_license_scan": op10_license_scan,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_lm_scoring": op13_lm_scoring,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_source_mixing": oracle.mixing_sql(),
     "op5_quality_rules": oracle.rules_sql(),
     "op7_chat_formatting": oracle.chat_sql(PROBE),
+    "op11_lexical_search": oracle.lexical_sql(),
 }

@@ -23,6 +23,8 @@ COLUMNS = {
     4: {"doc_id", "held_out", "score", "predicted"}, 5: {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"},
     6: {"page_id", "host", "path", "rule", "verdict"}, 7: {"conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"},
     8: {"doc_id", "held_out", "score", "predicted"}, 9: {"doc_id", "item_id"}, 10: {"doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"},
+    11: {"item_id", "rank", "doc_id", "score"}, 12: {"vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"},
+    13: {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"},
 }
 
 
@@ -31,16 +33,16 @@ def by_number(n):
 
 
 def test_all_are_registered():
-    assert {int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES} == set(range(1, 14))
     assert set(queries.QUERIES) | {"pipeline"} <= set(E.queries()) and set(queries.ORACLE_SQL) <= set(E.oracle_sql())
 
 
-@pytest.mark.parametrize("n", range(1, 11))
+@pytest.mark.parametrize("n", range(1, 14))
 def test_columns_and_rows(spark, n):
     df = queries.QUERIES[by_number(n)](spark, SF)
     assert COLUMNS[n] <= set(df.columns)
     rows = df.count()
-    if n in (1, 2, 4, 5, 8, 10):
+    if n in (1, 2, 4, 5, 8, 10, 13):
         assert rows == read_table(spark, SF, "documents").count()
 
 
@@ -53,7 +55,7 @@ def test_native_operators_plan_no_python(spark, n):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_oracles(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "labels", "conversations"):
+    for t in ("documents", "labels", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     assert H.same(queries.QUERIES[name](spark, SF).toPandas(), con.execute(queries.ORACLE_SQL[name]).df())
 
