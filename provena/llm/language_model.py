@@ -6,7 +6,7 @@ learned by expectation-maximisation: a part of the training documents is deleted
 are the events.  Scores use the counts of all training documents.
 
 An n-gram count is a lookup in a table that grows with the corpus, so it is never broadcast, nor joined token by
-token.  Documents are packed into chunks of about a million tokens.  A chunk asks for each distinct n-gram once:
+token.  Documents are packed into chunks of about half a million tokens.  A chunk asks for each distinct n-gram once:
 its keys, sorted, go by key range to *buckets*, with its own counts of them.  A bucket adds up the counts of all
 chunks and answers each chunk with the totals, in the order asked.  The same exchange thus counts and looks up,
 an n-gram that half of all documents hold is one key per chunk, and a bucket's size is that of a key range.
@@ -27,7 +27,7 @@ from provena.llm.common import fold, text_batches, valid_text
 from provena.session import cut_lineage
 
 #: Tokens of a chunk and keys of a bucket, about: bounds of a task's memory.
-CHUNK_TOKENS, BUCKET_KEYS = 1 << 20, 1 << 20
+CHUNK_TOKENS, BUCKET_KEYS = 1 << 19, 1 << 20
 #: What a document's tokens do: count, tune the weights (deleted from the counts then), or only get a score.
 COUNTED, TUNING, HELD_OUT = 0, 1, 2
 #: Places of the two marks in a chunk's vocabulary, and their hashes.
