@@ -298,10 +298,44 @@ SELECT t.person_id, t.full_name, t.address, round(coalesce(t.latitude, r.latitud
   round(coalesce(t.longitude, r.longitude), 6) AS longitude, r.tier, r.status {geo_join}""",
         "stream_intake": O.with_(O.REFERRALS) + f"""
 SELECT {refsel} FROM (SELECT * FROM prim UNION ALL SELECT * FROM sec UNION ALL SELECT * FROM outb)""",
-        "stream_first_seen": O.with_(O.REFERRALS) + f"""
-SELECT person_id, project_id, full_name, work_phone, date_of_intake FROM (
-  SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY {O.SEQ}) AS rn FROM sec WHERE person_id IS NOT NULL)
-WHERE rn = 1""",
+        "stream_first_seen": O.with_(O.REFERRALS) + f"\nSELECT {refsel} FROM referrals",
+        "stream_first_seen_bounded": O.with_(O.REFERRALS) + """,
+passed AS (SELECT referral_type, person_id FROM (SELECT * FROM prim UNION ALL SELECT * FROM sec UNION ALL SELECT * FROM outb)
+           WHERE person_id IS NULL
+           UNION ALL SELECT DISTINCT referral_type, person_id FROM sec WHERE person_id IS NOT NULL)
+SELECT referral_type, person_id IS NOT NULL AS has_id, count(*) AS row_count, count(DISTINCT person_id) AS ids
+FROM passed GROUP BY ALL""",
+        "stream_running_counts": O.with_(O.REFERRALS) + f"""
+SELECT referral_type, {_OUT_KEYS}, coalesce(strftime(date_of_intake, '%Y-%m'), 'undated') AS month, count(*) AS referrals
+FROM (SELECT * FROM prim UNION ALL SELECT * FROM sec UNION ALL SELECT * FROM outb)
+WHERE full_name IS NOT NULL AND work_address IS NOT NULL AND work_phone IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL
+GROUP BY ALL""",
+        "geocode_merged": O.with_(O.GEO_RESOLVED) + """
+SELECT t.full_name, t.person_id, round(coalesce(t.latitude, r.latitude), 6) AS latitude, round(coalesce(t.longitude, r.longitude), 6) AS longitude
+FROM todo t JOIN resolved r ON t.address = r.address WHERE r.status = 'hit' AND r.tier = 0
+UNION
+SELECT t.full_name, t.person_id, round(r.latitude, 6), round(r.longitude, 6)
+FROM todo t RIGHT JOIN (SELECT * FROM resolved WHERE status = 'hit' AND tier > 0) r ON t.address = r.address""",
+        "geocode_failures": O.with_(O.GEO_RESOLVED) + """
+SELECT DISTINCT t.full_name, t.address FROM todo t JOIN resolved r ON t.address = r.address WHERE NOT coalesce(r.tier = 0, false)""",
+        "geocode_work_list": O.with_(O.GEO_RESOLVED) + "\nSELECT address FROM resolved WHERE status = 'unresolved'",
+        "geocode_cache_merged": O.with_(O.GEO_RESOLVED + """,
+answers AS (
+  SELECT md5(lower(trim(address))) AS addr_key, md5(lower(trim(address))) < '8' AS found, address,
+         CASE status WHEN 'unresolved' THEN TIMESTAMP '2024-02-01 00:00:00' ELSE TIMESTAMP '2023-12-01 00:00:00' END AS looked_up_at
+  FROM resolved WHERE status <> 'hit'),
+entries AS (
+  SELECT addr_key, latitude, longitude, address, found, TIMESTAMP '2024-01-01 00:00:00' AS looked_up_at FROM gcache
+  UNION ALL
+  SELECT addr_key, CASE WHEN found THEN 40.0 + length(address) / 100.0 END, CASE WHEN found THEN -80.0 - length(address) / 100.0 END,
+         address, found, looked_up_at FROM answers)""") + """
+SELECT addr_key, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, address, found, looked_up_at
+FROM (SELECT *, row_number() OVER (PARTITION BY addr_key ORDER BY looked_up_at DESC) AS rn FROM entries) WHERE rn = 1""",
+        "reload_changed_files": f"""
+SELECT CAST(l_orderkey % {Q.RELOAD_PARTS} AS INTEGER) AS part, CASE WHEN l_orderkey % {Q.RELOAD_PARTS} = {Q.RELOAD_PART} THEN 2 ELSE 1 END AS loaded_in,
+  count(*) AS row_count, count(DISTINCT l_orderkey) AS projects
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+WHERE NOT (l_orderkey % {Q.RELOAD_PARTS} = {Q.RELOAD_PART} AND l_linenumber = 1) GROUP BY ALL""",
         "geocode_report": O.with_(O.GEO_RESOLVED + f""",
 e AS (SELECT coalesce(t.latitude, r.latitude) AS lat, coalesce(t.longitude, r.longitude) AS lon {geo_join})""") + """
 SELECT count(*) AS total, count(*) FILTER (WHERE lat IS NOT NULL AND lon IS NOT NULL) AS succeeded,

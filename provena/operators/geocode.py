@@ -15,8 +15,9 @@ best hit per address is ``min_by(…, tier)`` — no driver-side loops.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from provena.functions.text import address_key
 
@@ -74,7 +75,11 @@ def resolve_addresses(addresses: DataFrame, cache: DataFrame, address: str = "ad
 def enrich_contacts(contacts: DataFrame, cache: DataFrame, address: str, lat: str, lon: str) -> DataFrame:
     """C6 + C7: fill missing coordinates on every row whose address the cache resolves."""
     todo = needs_geocoding(contacts, address, lat, lon)
-    resolved = resolve_addresses(todo, cache, address)
+    return fill_coordinates(todo, resolve_addresses(todo, cache, address), address, lat, lon)
+
+
+def fill_coordinates(todo: DataFrame, resolved: DataFrame, address: str, lat: str, lon: str) -> DataFrame:
+    """Every row of an address gets what the address was resolved to, once."""
     r = resolved.select(F.col("address").alias("_addr"), F.col("latitude").alias("_glat"),
                         F.col("longitude").alias("_glon"), "tier", "status")
     j = todo.join(r, todo[address] == r["_addr"], "left")
@@ -108,16 +113,72 @@ def merge_results(successes: DataFrame, retries: DataFrame) -> DataFrame:
 
 
 def merge_cache(cache: DataFrame, new_entries: DataFrame) -> DataFrame:
-    """Union old and new entries (hits and misses), newest per key wins.
-
-    Entries carry ``looked_up_at``; the result is meant to be written to a
-    *new* path and then swapped in (never overwrite the path being read).
-    """
+    """Union old and new entries (hits and misses), newest per key wins (as a table; ``update_cache`` stores it)."""
     from provena.operators.dedup import keep_first
     allc = cache.unionByName(new_entries, allowMissingColumns=True)
     return keep_first(allc, ["addr_key"], [F.col("looked_up_at").desc_nulls_last()])
 
 
+CACHE_SCHEMA = "addr_key string, latitude double, longitude double, address string, found boolean, looked_up_at timestamp_ntz, prefix string"
+#: Hex digits of the key that name a cache partition: 256 parts of equal size, as keys are digests.
+PREFIX_DIGITS = 2
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    from provena.sources.keyed import read_keyed
+    return read_keyed(spark, path, T.StructType.fromDDL(CACHE_SCHEMA)).drop("prefix")
+
+
+def update_cache(path: str, new_entries: DataFrame) -> None:
+    """Merge new entries (hits and misses) into the stored cache; the newest per key stays, the old one on a tie.
+
+    Only partitions that hold a new entry's key are read and rewritten, and only once the merged rows are complete.
+    """
+    from provena.sources.keyed import upsert
+    columns = [f.name for f in T.StructType.fromDDL(CACHE_SCHEMA)][:-1]
+    keyed = new_entries.filter(F.col("addr_key").isNotNull()).select(*columns)
+    upsert(path, keyed.withColumn("prefix", F.substring("addr_key", 1, PREFIX_DIGITS)), ["addr_key"], "prefix",
+           [F.col("looked_up_at").desc_nulls_last(), F.col("_old").desc()])
+
+
+def cache_entries(answers: DataFrame, address: str = "address") -> DataFrame:
+    """An external geocoder's answers ``(address, latitude, longitude, looked_up_at)`` as cache entries; no coordinates: a negative one."""
+    found = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    return answers.select(address_key(F.col(address)).alias("addr_key"), "latitude", "longitude", F.col(address).alias("address"),
+                          found.alias("found"), "looked_up_at")
+
+
+RESULT = ["full_name", "person_id", "latitude", "longitude"]
+
+
+class GeocodeRun:
+    """I8 from the contact list to its tables: a first pass on the addresses as they are, a retry on their fallback
+    tiers, and what is left for an external geocoder."""
+
+    def __init__(self, contacts: DataFrame, cache: DataFrame, address: str = "address", lat: str = "latitude", lon: str = "longitude",
+                 name: str = "full_name", person_id: str = "person_id"):
+        self.todo = needs_geocoding(contacts, address, lat, lon)
+        self.resolved = resolve_addresses(self.todo, cache, address)
+        first = fill_coordinates(self.todo, self.resolved.filter(F.col("tier") == 0), address, lat, lon)
+        succeeded, self.failures = split_results(first, lat, lon, name, address)
+        self.successes = succeeded.select(F.col(name).alias("full_name"), F.col(person_id).alias("person_id"),
+                                          F.col(lat).alias("latitude"), F.col(lon).alias("longitude"))
+        retried = self.resolved.filter((F.col("status") == "hit") & (F.col("tier") > 0))
+        self.retries = retry_join(self.todo, retried, address, name, person_id)
+        self.merged = merge_results(self.successes, self.retries)
+        self.results = fill_coordinates(self.todo, self.resolved, address, lat, lon)
+        self.work_list = work_list(self.resolved)
+
+    def write(self, out: str) -> dict[str, str]:
+        """The merged successes, all rows with their outcome, the failures of the first pass and the work list, each a table."""
+        from provena.sources.io import write_table
+        paths = {}
+        for table, df in (("geocoded", self.merged), ("all_results", self.results), ("failures", self.failures), ("work_list", self.work_list)):
+            paths[table] = f"{out.rstrip('/')}/{table}"
+            write_table(df, paths[table])
+        return paths
+
+
 def retry_join(contacts: DataFrame, retries: DataFrame, address: str, name: str, person_id: str) -> DataFrame:
     """Contacts RIGHT JOIN retry results on the address; four columns kept."""
     r = retries.select(F.col("address").alias("_r_addr"), F.col("latitude").alias("latitude"),

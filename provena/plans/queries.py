@@ -8,6 +8,7 @@ exactly.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 
 from provena.operators import geocode, preferred, quality, referrals as R, rollup, spatial
 from provena.plans import pipeline as P
-from provena.sources import testdata as td
+from provena.session import checkpoint_dir
+from provena.sources import snapshots, testdata as td
+from provena.streaming import intake
 
 AS_OF = "2002-06-30 00:00:00"
 W0, W1 = P.WINDOW
@@ -28,6 +31,11 @@ def _r(c: str, nd: int = 6):
     return F.round(F.col(c), nd).alias(c)
 
 
+def _new_folder(spark: SparkSession, kind: str) -> str:
+    """A folder of its own for what a query stores, in the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
 def _rec_out(df: DataFrame, *lead: str) -> DataFrame:
     return df.select(*lead, "full_name", _r("distance_miles"), "referral_count", "inbound_referral_count", "preferred",
                      _r("norm_dist"), _r("norm_rank"), _r("norm_inbound"), _r("score"),
@@ -247,34 +255,82 @@ def geocode_report(spark, sf):
     return geocode.geocode_report(_geocoded(spark, sf), "latitude", "longitude")
 
 
+def _geocode_run(spark, sf) -> geocode.GeocodeRun:
+    return geocode.GeocodeRun(td.contact_table(spark, sf), td.cache_table(spark, sf))
+
+
+def geocode_merged(spark, sf):
+    """I8's saved result: first-pass successes and retries, without repeats."""
+    saved = _geocode_run(spark, sf).write(_new_folder(spark, "geocode"))
+    return spark.read.parquet(saved["geocoded"]).select("full_name", "person_id", _r("latitude"), _r("longitude"))
+
+
+def geocode_failures(spark, sf):
+    return _geocode_run(spark, sf).failures
+
+
+def geocode_work_list(spark, sf):
+    return _geocode_run(spark, sf).work_list
+
+
+def geocode_cache_merged(spark, sf):
+    """The stored cache after the external geocoder's answers were merged into it."""
+    path = f"{_new_folder(spark, 'cache')}/cache"
+    geocode.update_cache(path, td.cache_table(spark, sf))
+    geocode.update_cache(path, geocode.cache_entries(td.geocode_answers(_geocode_run(spark, sf).resolved)))
+    return geocode.read_cache(spark, path).select("addr_key", _r("latitude"), _r("longitude"), "address", "found", "looked_up_at")
+
+
+# --- reload of changed files ------------------------------------------------------
+RELOAD_PARTS, RELOAD_PART = 8, 3
+
+
+def reload_changed_files(spark, sf):
+    """A3/A4: the export landed as several files, loaded, one of them replaced, loaded again: rows by part and by the
+    refresh that read them."""
+    base = _new_folder(spark, "reload")
+    raw = td.raw_export(spark, sf).withColumn("part", F.pmod(F.col("_seq.l_orderkey"), F.lit(RELOAD_PARTS)))
+    raw.repartition(RELOAD_PARTS, "part").write.partitionBy("part").parquet(f"{base}/landing")
+    snapshots.refresh(spark, f"{base}/landing", f"{base}/store")
+    replaced = raw.filter((F.col("part") == RELOAD_PART) & (F.col("_seq.l_linenumber") > 1)).drop("part")
+    replaced.write.mode("overwrite").parquet(f"{base}/landing/part={RELOAD_PART}")
+    snapshots.refresh(spark, f"{base}/landing", f"{base}/store")
+    rows = snapshots.current(spark, f"{base}/store")
+    part = F.pmod(F.col("_seq.l_orderkey"), F.lit(RELOAD_PARTS)).cast("int").alias("part")
+    return rows.groupBy(part, F.col("_version").alias("loaded_in")).agg(
+        F.count(F.lit(1)).alias("row_count"), F.count_distinct("`Project ID`").alias("projects"))
+
+
 # --- streaming intake -----------------------------------------------------------
-def _stream_run(spark, sf, runner) -> DataFrame:
-    """Land the derived export as arriving files, drain them with ``runner``, read the target."""
-    import uuid
-    from provena.session import checkpoint_dir
-    from provena.streaming import intake as S
-    base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+def _stream_run(spark, sf, runner, **parameters) -> str:
+    """Land the derived export as arriving files, drain them with ``runner``; the target folder."""
+    base = _new_folder(spark, "stream")
     raw = td.raw_export(spark, sf)
-    raw.withColumn("_batch", F.pmod(F.col("_seq.l_orderkey"), F.lit(4))).write.partitionBy("_batch").parquet(f"{base}/landing")
-    schema = spark.read.parquet(f"{base}/landing").drop("_batch").schema
-    runner(spark, f"{base}/landing", schema, f"{base}/target", f"{base}/checkpoint")
-    return spark.read.parquet(f"{base}/target")
+    # Two arrivals, drained one after the other, neither in input order.
+    late = F.pmod(F.xxhash64("_seq"), F.lit(3)) == 0
+    for rows in (raw.filter(late), raw.filter(~late)):
+        rows.write.mode("append").parquet(f"{base}/landing")
+        runner(spark, f"{base}/landing", raw.schema, f"{base}/target", f"{base}/checkpoint", **parameters)
+    return f"{base}/target"
 
 
 def stream_intake(spark, sf):
-    from provena.streaming import intake as S
-    return _stream_run(spark, sf, S.run_intake).drop("_seq")
+    return spark.read.parquet(_stream_run(spark, sf, intake.run_intake)).drop("_seq")
 
 
 def stream_first_seen(spark, sf):
-    from provena.streaming import intake as S
-    return _stream_run(spark, sf, S.run_first_seen).select(
-        "person_id", "project_id", "full_name", "work_phone", "date_of_intake")
+    return intake.read_first_seen(spark, _stream_run(spark, sf, intake.run_first_seen))
+
+
+def stream_first_seen_bounded(spark, sf):
+    """The bounded variant with a watermark longer than the data: every ID once; which of its rows depends on arrival."""
+    out = spark.read.parquet(_stream_run(spark, sf, intake.run_first_seen_bounded, watermark="20000 days"))
+    return out.groupBy("referral_type", F.col("person_id").isNotNull().alias("has_id")).agg(
+        F.count(F.lit(1)).alias("row_count"), F.count_distinct("person_id").alias("ids"))
 
 
 def stream_running_counts(spark, sf):
-    from provena.streaming import intake as S
-    return _stream_run(spark, sf, S.run_running_counts)
+    return intake.read_running_counts(spark, _stream_run(spark, sf, intake.run_running_counts))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -288,6 +344,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         referral_type_distribution, coverage_stats, null_profile, freshness_breakdown, call_log_rollup,
         referral_statistics, output_schema_check, preferred_share, freshness_table, geocode_retry_join, bidirectional_providers, address_audit, address_advice, duplicate_addresses,
         needs_geocoding, geocode_resolved, geocode_enriched, geocode_report,
-        stream_intake, stream_first_seen, stream_running_counts,
+        geocode_merged, geocode_failures, geocode_work_list, geocode_cache_merged, reload_changed_files,
+        stream_intake, stream_first_seen, stream_first_seen_bounded, stream_running_counts,
     ]
 }

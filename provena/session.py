@@ -57,11 +57,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the folder is configured by the deployment and must be on
-    shared storage.  Only when it is unset (local runs, tests) do we create
-    a private scratch folder.
+    shared storage; it is an error there if it is not.  Only a local master,
+    whose executors are this process, gets a private scratch folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="provena-ckpt-", dir=os.environ.get("PROVENA_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     try:  # classic sessions also register it for RDD checkpoints

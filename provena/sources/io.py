@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from provena.functions import text
 
@@ -21,24 +22,34 @@ def strip_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip() for c in df.columns])
 
 
-def load_table(spark: SparkSession, path: str, fmt: str | None = None, add_seq: bool = True) -> DataFrame:
-    """A1: CSV (all columns as strings, header row) or Parquet; headers trimmed.
+def load_table(spark: SparkSession, path: str | list[str], fmt: str | None = None, add_seq: bool = True,
+               file_col: str | None = None, corrupt_col: str | None = None) -> DataFrame:
+    """A1: CSV (all columns as strings, header row) or Parquet, one path or several; headers trimmed.
 
     ``_seq`` records the input order (file, then position) for keep-first
-    operators; it is taken directly on the scan.
+    operators; it is taken directly on the scan, like ``file_col``, the file a row came from.
+    ``corrupt_col`` keeps the text of CSV lines that don't fit the header
+    (too few or too many cells) in a column of that name, null for sound
+    lines; the cells such a line does have are kept.
     """
-    fmt = fmt or ("parquet" if path.rstrip("/").endswith(".parquet") else "csv")
+    paths = [path] if isinstance(path, str) else list(path)
+    fmt = fmt or ("parquet" if all(p.rstrip("/").endswith(".parquet") for p in paths) else "csv")
     if fmt == "csv":
-        df = spark.read.option("header", True).option("inferSchema", False).csv(path)
+        reader = spark.read.option("header", True).option("inferSchema", False)
+        df = reader.csv(paths)
+        if corrupt_col:
+            schema = T.StructType([*df.schema.fields, T.StructField(corrupt_col, T.StringType())])
+            df = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt_col).schema(schema).csv(paths)
     elif fmt == "parquet":
-        df = spark.read.parquet(path)
+        df = spark.read.parquet(*paths)
     else:
         raise ValueError(f"Unsupported file type: {fmt}")
-    df = strip_headers(df)
+    if file_col:
+        df = df.withColumn(file_col, F.col("_metadata.file_path"))
     if add_seq and "_seq" not in df.columns:
         df = df.withColumn("_seq", F.struct(F.col("_metadata.file_path").alias("file"),
                                             F.monotonically_increasing_id().alias("pos")))
-    return df
+    return strip_headers(df)
 
 
 def load_provider_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
@@ -56,11 +67,11 @@ def load_provider_table(spark: SparkSession, path: str, fmt: str | None = None)
     return df
 
 
-def list_files(spark: SparkSession, folder: str) -> DataFrame:
+def list_files(spark: SparkSession, folder: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """Data files under ``folder`` with their modification time (no contents read)."""
     pattern = "*.{" + ",".join(DATA_EXTENSIONS) + "}"
     return (spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
-            .load(folder).select("path", "modificationTime"))
+            .load(folder).select("path", "modificationTime", *extra))
 
 
 def latest_snapshot_path(spark: SparkSession, folder: str) -> DataFrame:
