@@ -80,6 +80,15 @@ class Grid:
     def lon_cell(self, lon) -> Column:
         return F.pmod(F.floor((_c(lon) + F.lit(180.0)) / F.lit(self.w)).cast("bigint"), F.lit(self.n))
 
+    def sub_cell(self, lat, lon, lat_cell: Column, lon_cell: Column, depth: Column) -> Column:
+        """Number of the leaf inside a cell that is divided ``2**depth`` times each way."""
+        side = F.call_function("shiftleft", F.lit(1).cast("bigint"), depth)
+        down = F.floor((_c(lat) / F.lit(self.g) - lat_cell) * side).cast("bigint")
+        along = (_c(lon) + F.lit(180.0)) / F.lit(self.w)
+        across = F.floor((along - F.floor(along)) * side).cast("bigint")
+        inner = lambda x: F.least(F.greatest(x, F.lit(0).cast("bigint")), side - 1)
+        return inner(down) * side + inner(across)
+
     def lat_cells(self, lat) -> Column:
         """Latitude rows a client must probe."""
         lat = _c(lat)

@@ -18,8 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provena.functions import geo, score
+from provena.functions import geo
 from provena.functions.score import Weights
+from provena.operators.factors import Factor, ScorePlan, reference_factors
+
+#: The weight that each of the application's factors takes.
+WEIGHT_OF = {"dist": "distance", "rank": "referral", "inbound": "inbound", "pref": "preferred"}
+
 
 def filter_specialty(df: DataFrame, specialties: list[str] | None) -> DataFrame:
     """Keep a provider if ANY trimmed comma part of its specialty is selected."""
@@ -64,66 +69,33 @@ def sort_keys(w: Weights, has_inbound: bool, tie_break: str = "reference") -> li
     return keys
 
 
-def _stats_exprs(use_pref: bool, use_inbound: bool) -> list[Column]:
-    ex = [F.min("referral_count").alias("_min_cnt"), F.max("referral_count").alias("_max_cnt"),
-          F.min("distance_miles").alias("_min_dist"), F.max("distance_miles").alias("_max_dist")]
-    if use_pref:
-        ex += [F.min("_pref_flag").alias("_min_pref"), F.max("_pref_flag").alias("_max_pref")]
-    if use_inbound:
-        ex += [F.min("inbound_referral_count").alias("_min_in"), F.max("inbound_referral_count").alias("_max_in")]
-    return ex
-
-
 def score_candidates(cands: DataFrame, w: Weights, by: list[str] | None = None,
-                     min_referrals=None, score_mode: str = "reference") -> DataFrame:
+                     min_referrals=None, score_mode: str = "reference", factors: list[Factor] | None = None) -> DataFrame:
     """D6 + H17 + H18 over the candidate set (per ``by`` group, or all rows).
 
     Candidates need non-null distance and count.  ``score_mode="reference"``
     reproduces the application: with an inbound weight the score of rows
     that have an inbound count is *recomputed* without the preferred term
-    (Q7); ``"additive"`` adds all four terms as documented.
+    (Q7); ``"additive"`` adds all four terms as documented.  ``factors``
+    replaces the application's factors by others.
     """
-    df = cands.filter(F.col("distance_miles").isNotNull() & F.col("referral_count").isNotNull())
-    df = filter_min_referrals(df, min_referrals)
-    use_pref = w.preferred > 0 and "preferred" in df.columns
-    use_inbound = w.inbound > 0 and "inbound_referral_count" in df.columns
-    if use_pref:
-        ptype = df.schema["preferred"].dataType
-        df = df.withColumn("_pref_flag", score.preferred_flag("preferred", ptype))
-    stats = df.groupBy(*(by or [])).agg(*_stats_exprs(use_pref, use_inbound))
-    if by:
-        df = df.join(stats, by, "inner")
-    else:
-        s = stats.select(F.struct(*stats.columns).alias("s")).scalar()
-        df = df.withColumns({c: s.getField(c) for c in stats.columns})
-    nd = score.minmax("distance_miles", "_min_dist", "_max_dist", higher_is_better=False)
-    nr = score.minmax("referral_count", "_min_cnt", "_max_cnt")
-    df = df.withColumns({"norm_dist": nd, "norm_rank": nr})
-    base = F.lit(w.distance) * F.col("norm_dist") + F.lit(w.referral) * F.col("norm_rank")
-    sc = base
-    if use_pref:
-        df = df.withColumn("norm_pref", score.minmax("_pref_flag", "_min_pref", "_max_pref"))
-        sc = sc + F.lit(w.preferred) * F.col("norm_pref")
-    if use_inbound:
-        has_in = F.col("inbound_referral_count").isNotNull()
-        ni = F.when(has_in, score.minmax("inbound_referral_count", "_min_in", "_max_in"))
-        df = df.withColumn("norm_inbound", ni)
-        if score_mode == "reference":
-            sc = F.when(has_in, base + F.lit(w.inbound) * F.col("norm_inbound")).otherwise(sc)
-        else:
-            sc = sc + F.lit(w.inbound) * F.coalesce(F.col("norm_inbound"), F.lit(0.0))
-    else:
-        df = df.withColumn("norm_inbound", F.lit(None).cast("double"))
-    df = df.withColumn("score", sc)
-    return df.drop(*[c for c in df.columns if c.startswith("_min_") or c.startswith("_max_")],
-                   "_pref_flag", "norm_pref")
+    plan = ScorePlan(factors or reference_factors(w, score_mode), cands)
+    df = plan.flagged(filter_min_referrals(cands, min_referrals))
+    scored = plan.scored(df, plan.statistics(df, by or []), by)
+    return shown(scored, plan)
+
+
+def shown(scored: DataFrame, plan: ScorePlan) -> DataFrame:
+    """The result's columns: converted values and the preferred norm are left out, the inbound norm is always there."""
+    if "norm_inbound" not in scored.columns:
+        scored = scored.withColumn("norm_inbound", F.lit(None).cast("double"))
+    return scored.drop(*plan.flags, "norm_pref")
 
 
 def rank_scored(scored: DataFrame, w: Weights, by: list[str] | None = None, k: int | None = None,
-                dedup_names: bool = True, tie_break: str = "reference") -> DataFrame:
+                dedup_names: bool = True, tie_break: str = "reference", keys: list[Column] | None = None) -> DataFrame:
     """E5 + E6 + F3: best row per name, then dense ranks 1..n per ``by`` group (≤ k)."""
-    has_in = "inbound_referral_count" in scored.columns
-    keys = sort_keys(w, has_in, tie_break)
+    keys = keys or sort_keys(w, "inbound_referral_count" in scored.columns, tie_break)
     by = by or []
     df = scored
     if dedup_names:
@@ -187,18 +159,30 @@ def best_provider(scored: DataFrame, w: Weights, tie_break: str = "reference") -
 
 
 def compare_scenarios(providers: DataFrame, lat: float, lon: float, scenarios: dict[str, Weights],
-                      *, min_referrals=0, max_radius_miles=None, k: int | None = 10) -> DataFrame:
-    """Top-k under every weight scenario, as one union.
+                      *, min_referrals=0, max_radius_miles=None, k: int | None = 10, score_mode: str = "reference") -> DataFrame:
+    """Top-k under every weight scenario, in one pass (H19: weights count by their share of the scenario's sum).
 
-    Each branch is one scenario, so its candidate statistics are a one-row
-    scalar subquery (no join on a constant key) and its top-k is trimmed per
-    partition before the final exchange.
+    Norms don't depend on weights, so they are computed once; every candidate then becomes a row per scenario, which the
+    top-k trims in each partition before the exchange.
     """
     df = filter_min_referrals(providers, min_referrals)
-    df = with_distance(df, lat, lon)
-    df = filter_radius(df, max_radius_miles)
-    out = None
-    for name, w in scenarios.items():
-        ranked = rank_scored(score_candidates(df, w, None, min_referrals), w, None, k).withColumn("scenario", F.lit(name))
-        out = ranked if out is None else out.unionByName(ranked, allowMissingColumns=True)
-    return out
+    df = filter_radius(with_distance(df, lat, lon), max_radius_miles)
+    shares = {name: w.normalized() for name, w in scenarios.items()}
+    # Every factor that some scenario weighs takes part; its own weight only says so.
+    most = Weights(*[max(getattr(w, c) for w in shares.values()) for c in WEIGHT_OF.values()])
+    plan = ScorePlan(reference_factors(most, score_mode), df)
+    flagged = plan.flagged(df)
+    normed = plan.scored(flagged, plan.statistics(flagged, [])).drop("score")
+    per = F.explode(F.array(*[F.struct(F.lit(name).alias("scenario"), *[F.lit(float(getattr(w, c))).alias(f"_w_{f}") for f, c in WEIGHT_OF.items()])
+                              for name, w in shares.items()]))
+    rows = normed.withColumn("_s", per).select("*", "_s.*").drop("_s")
+    rows = rows.withColumn("score", plan.weighted(lambda f: F.col(f"_w_{f.name}")))
+    if "norm_inbound" in rows.columns:
+        rows = rows.withColumn("norm_inbound", F.when(F.col("_w_inbound") > 0, F.col("norm_inbound")))
+    first = F.col("_w_dist") > F.col("_w_rank")
+    distance, count = F.col("distance_miles"), F.col("referral_count").cast("double")
+    keys = [F.col("score").desc_nulls_last(), F.when(first, distance).otherwise(count).desc_nulls_last(),
+            F.when(first, count).otherwise(distance).desc_nulls_last()]
+    keys += [F.col("inbound_referral_count").desc_nulls_last()] if "inbound_referral_count" in rows.columns else []
+    ranked = rank_scored(rows, Weights(), ["scenario"], k, keys=[*keys, F.col("full_name").asc_nulls_last()])
+    return shown(ranked.drop(*[f"_w_{f}" for f in WEIGHT_OF]), plan)
