@@ -156,6 +156,59 @@ def registry() -> dict[str, str]:
         "preparation_summary": O.with_(O.REFERRALS) + """
 SELECT count(*) FILTER (WHERE referral_type = 'inbound') AS inbound_rows,
        count(*) FILTER (WHERE referral_type = 'outbound') AS outbound_rows, count(*) AS all_rows FROM referrals""",
+        "preparation_run": O.with_(O.REFERRALS + """,
+kinds AS (SELECT 'inbound' AS kind UNION ALL SELECT 'outbound' UNION ALL SELECT 'all'),
+of_kind AS (SELECT kind, r.* FROM kinds LEFT JOIN referrals r ON kind = 'all' OR kind = referral_type)""") + """
+SELECT 'rows' AS section, kind AS name, count(referral_type) AS value FROM of_kind GROUP BY kind
+""" + "".join(f"""UNION ALL SELECT 'issue', kind || ': {reason}', count(*) FILTER (WHERE {c} IS NULL OR trim(CAST({c} AS VARCHAR)) {_BLANK})
+FROM of_kind WHERE referral_type IS NOT NULL GROUP BY kind HAVING count(*) FILTER (WHERE {c} IS NULL OR trim(CAST({c} AS VARCHAR)) {_BLANK}) > 0
+""" for c, reason in Q.ISSUE_CHECKS),
+        "sketch_report": O.with_(O.REFERRALS) + """
+SELECT referral_type, count(*) AS referrals, min(date_of_intake) AS first_intake, max(date_of_intake) AS last_intake,
+  count(DISTINCT coalesce(strftime(date_of_intake, '%Y-%m'), 'undated')) AS loads, true AS names_within_bound, true AS median_within_bound
+FROM referrals GROUP BY referral_type""",
+        "clustered_window": O.with_(O.REFERRALS) + f"""
+SELECT referral_type, full_name, count(*) AS referrals FROM referrals
+WHERE date_of_intake BETWEEN TIMESTAMP '{W0}' AND TIMESTAMP '{W1}'
+  AND {O.haversine(repr(P.CLIENT_LAT), repr(P.CLIENT_LON), 'latitude', 'longitude')} <= {Q.CLUSTER_RADIUS}
+GROUP BY ALL""",
+        "overlay_all_referrals": O.with_(O.RAW) + f"""
+SELECT pid_text AS project_id, 'outbound' AS referral_type, o_name AS full_name, o_phone AS work_phone, o_address AS work_address, o_lat AS latitude,
+  o_lon AS longitude, {O._norm_date('o_verified')} AS last_verified_date, {O._norm_date('create_text')} AS referral_date, p_source AS referral_source,
+  s_pid AS secondary_person_id, o_name AS referred_to FROM raw WHERE o_name IS NOT NULL
+UNION ALL
+SELECT pid_text, 'inbound', p_name, p_phone, p_address, p_lat, p_lon, {O._norm_date('p_verified')}, {O._norm_date('create_text')}, p_source, s_pid, o_name
+FROM raw WHERE p_name IS NOT NULL""",
+        "dataset_dispatch": O.with_(O.PROVIDERS + "," + O.PREFERRED + """,
+sets AS (
+  SELECT 'inbound_referrals' AS dataset, count(*) AS row_count, count(DISTINCT full_name) AS names FROM referrals WHERE referral_type = 'inbound'
+  UNION ALL SELECT 'outbound_referrals', count(*), count(DISTINCT full_name) FROM outbound
+  UNION ALL SELECT 'all_referrals', count(*), count(DISTINCT full_name) FROM referrals
+  UNION ALL SELECT 'preferred_providers', count(*), count(DISTINCT full_name) FROM preferred
+  UNION ALL SELECT 'provider_data', count(*), count(DISTINCT full_name) FROM providers)""") + """
+SELECT dataset, way, row_count, names FROM sets, (SELECT unnest(['export', 'clean', 'fallback']) AS way)""",
+        "source_validation": O.with_(O.CONTACTS + "," + O.PREFERRED + ",\npref_list AS (" + _pref_select("pref_dedup",
+                                     "latitude IS NOT NULL AND longitude IS NOT NULL") + ")") + """
+SELECT 'contacts' AS dataset, false AS valid, count(*) + 1 AS row_count, 12 AS column_count, '' AS missing_required_columns,
+  count(*) - count(DISTINCT full_name) AS duplicate_names, CAST(0 AS BIGINT) AS invalid_coordinates,
+  round((9 + """ + " + ".join(f"count(*) FILTER (WHERE {c} IS NULL OR CAST({c} AS VARCHAR) = '')" for c in (
+            "contact_key", "copy", "full_name", "person_id", "address", "latitude", "longitude", "phone", "street", "city", "state", "zip")) + """)
+        / ((count(*) + 1) * 12) * 100, 2) AS missing_values_pct, CAST(1 AS BIGINT) AS corrupt_rows, false AS error FROM contacts
+UNION ALL
+SELECT 'preferred_providers', false, count(*), 8, 'project_id', count(*) - count(DISTINCT full_name), CAST(0 AS BIGINT),
+  round((""" + " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in (
+            "full_name", "work_phone", "work_address", "latitude", "longitude", "specialty", "last_verified_date", "person_id")) + """)
+        / (count(*) * 8) * 100, 2), CAST(0 AS BIGINT), false FROM pref_list
+UNION ALL
+SELECT 'archive', false, CAST(0 AS BIGINT), 0, 'full_name', CAST(0 AS BIGINT), CAST(0 AS BIGINT), 0.0, CAST(0 AS BIGINT), true""",
+        "providers_missing_geo": O.with_(O.PROVIDERS) + """
+SELECT full_name, latitude, longitude, referral_count FROM providers
+WHERE latitude IS NULL OR longitude IS NULL OR latitude = 0 OR longitude = 0""",
+        "audit_summary": "SELECT \"check\", count(*) FILTER (WHERE ok) AS passed, count(*) FILTER (WHERE NOT ok) AS failed FROM ("
+                         + _audit() + ") GROUP BY 1",
+        "contact_phones": O.with_(O.CONTACTS + """,
+stripped AS (SELECT person_id, regexp_replace(phone, '[-() ]', '', 'g') AS p FROM contacts)""") + f"""
+SELECT person_id, CASE WHEN regexp_full_match(p, '[0-9]{{10}}') THEN {O._us('p')} ELSE p END AS phone FROM stripped""",
         "provider_rollup": O.with_(O.PROVIDERS) + """
 SELECT full_name, work_address, work_phone, latitude, longitude, referral_source, last_verified_date, referral_count
 FROM providers""",

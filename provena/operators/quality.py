@@ -35,19 +35,20 @@ def data_quality(df: DataFrame) -> DataFrame:
     )
 
 
-def integrity(df: DataFrame, dataset: str, required: list[str]) -> DataFrame:
+def integrity(df: DataFrame, dataset: str, required: list[str], columns: list[str] | None = None, extra: list[Column] = ()) -> DataFrame:
     """One row: valid flag, rows, columns, missing required, duplicate names, bad coords, % missing cells.
 
     ``duplicate_names`` = rows − distinct names, counting null as a value.
-    The missing-cell share is one pass of per-column null counters.
+    The missing-cell share is one pass of per-column null counters over
+    ``columns`` (all by default); ``extra`` aggregates ride along.
     """
-    missing = [c for c in required if c not in df.columns]
-    ncols = len(df.columns)
+    columns = df.columns if columns is None else columns
+    missing = [c for c in required if c not in columns]
+    ncols = len(columns)
     has_geo = "latitude" in df.columns and "longitude" in df.columns
-    bad = (F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
-           & ((F.col("latitude") < -90) | (F.col("latitude") > 90) | (F.col("longitude") < -180) | (F.col("longitude") > 180))
-           ) if has_geo else F.lit(False)
-    nulls = sum((F.count_if(F.col(f"`{c}`").isNull()) for c in df.columns), F.lit(0))
+    lat, lon = (try_cast(c, "double") for c in ("latitude", "longitude")) if has_geo else (None, None)  # text in a raw file
+    bad = lat.isNotNull() & lon.isNotNull() & ((F.abs(lat) > 90) | (F.abs(lon) > 180)) if has_geo else F.lit(False)
+    nulls = sum((F.count_if(F.col(f"`{c}`").isNull()) for c in columns), F.lit(0))
     dup = (F.count(F.lit(1)) - F.count_distinct(F.struct("full_name"))) if "full_name" in df.columns else F.lit(0)
     rows = F.count(F.lit(1))
     return df.agg(
@@ -59,6 +60,7 @@ def integrity(df: DataFrame, dataset: str, required: list[str]) -> DataFrame:
         dup.cast("bigint").alias("duplicate_names"),
         F.count_if(bad).alias("invalid_coordinates"),
         F.when(rows > 0, F.round(nulls / (rows * F.lit(ncols)) * 100, 2)).otherwise(F.lit(0.0)).alias("missing_values_pct"),
+        *extra,
     )
 
 
@@ -163,7 +165,7 @@ def call_log_rollup(calls: DataFrame, slow_threshold_s: float = 10.0) -> DataFra
         (F.count_if(F.col("failed")) / F.count(F.lit(1)) * 100).alias("error_pct"),
         F.max("called_at").alias("last_call"),
     )
-    return agg.withColumn("slow", F.col("avg_s") > F.lit(slow_threshold_s))
+    return agg.withColumn("slow", F.col("avg_s") > F.lit(slow_threshold_s)).orderBy(F.desc("avg_s"), "function")
 
 
 def bidirectional_providers(referrals: DataFrame) -> DataFrame:

@@ -237,18 +237,11 @@ def preparation_summary(referrals: DataFrame) -> DataFrame:
     )
 
 
-# Columns whose presence marks an export as already cleaned.
-CLEANED_MARKERS = ["full_name", "work_address", "work_phone", "latitude", "longitude", "referral_type"]
+# Columns whose presence marks an export as already cleaned (B10): ours and the export's own headers.
+CLEANED_MARKERS = [("full_name", "Full Name"), ("work_address", "Work Address"), ("work_phone", "Work Phone"),
+                   ("latitude", "Latitude"), ("longitude", "Longitude"), ("referral_type", "referral_type")]
 
 
 def is_cleaned(df: DataFrame) -> bool:
     """Plan-time check — at least 4 of the 6 canonical columns present."""
-    return sum(c in df.columns for c in CLEANED_MARKERS) >= 4
-
-
-def date_column(df: DataFrame) -> str | None:
-    """The date column a window applies to (``date_of_intake`` first, then ``referral_date``)."""
-    for c in ("date_of_intake", "referral_date"):
-        if c in df.columns:
-            return c
-    return None
+    return sum(any(c in df.columns for c in names) for names in CLEANED_MARKERS) >= 4

@@ -44,7 +44,20 @@ def provider_rollup(referrals: DataFrame) -> DataFrame:
     )
 
 
-def _window(df: DataFrame, start, end, date_col: str) -> DataFrame:
+def date_column(df: DataFrame, index: str | None = None) -> str | None:
+    """The date a window applies to: the table's index if that is the intake date, else the referral date, else the intake date."""
+    intake, referral = ("date_of_intake", "Date of Intake"), ("referral_date", "Referral Date")
+    if index in intake and index in df.columns:
+        return index
+    return next((c for c in (*referral, *intake) if c in df.columns), None)
+
+
+def largest_first(counts: DataFrame, count_name: str = "referral_count") -> DataFrame:
+    """output order, by falling count, then by the other columns."""
+    return counts.orderBy(F.col(count_name).desc(), *[F.col(f"`{c}`").asc_nulls_last() for c in counts.columns if c != count_name])
+
+
+def window(df: DataFrame, start, end, date_col: str) -> DataFrame:
     """Inclusive window, applied only when both ends are given."""
     if start is None or end is None:
         return df
@@ -55,13 +68,14 @@ def _window(df: DataFrame, start, end, date_col: str) -> DataFrame:
 
 def referral_counts(referrals: DataFrame, start=None, end=None,
                     keys=("full_name", "work_address", "work_phone", "latitude", "longitude"),
-                    date_col: str = "date_of_intake", count_name: str = "referral_count") -> DataFrame:
+                    date_col: str | None = None, count_name: str = "referral_count") -> DataFrame:
     """Referrals per provider key inside an optional date window.
 
     Rows with a null in any key are not counted (Q2) — a provider with two
-    phones yields two rows.
+    phones yields two rows.  Without ``date_col`` the window applies to ``date_column``.
     """
-    df = _window(referrals, start, end, date_col)
+    date_col = date_col or date_column(referrals)
+    df = window(referrals, start, end, date_col) if date_col else referrals
     keys = [k for k in keys if k in df.columns]
     cond = None
     for k in keys:
@@ -72,7 +86,7 @@ def referral_counts(referrals: DataFrame, start=None, end=None,
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count_name))
 
 
-def inbound_counts(inbound: DataFrame, start=None, end=None, date_col: str = "date_of_intake") -> DataFrame:
+def inbound_counts(inbound: DataFrame, start=None, end=None, date_col: str | None = None) -> DataFrame:
     """D3: inbound referrals per provider key; ``full_address`` = work address."""
     keys = ("full_name", "street", "city", "state", "zip", "latitude", "longitude", "work_address", "work_phone")
     counts = referral_counts(inbound, start, end, keys, date_col, "inbound_referral_count")
@@ -100,7 +114,7 @@ def raw_inbound_counts(raw: DataFrame, start=None, end=None, date_col: str = "Da
     if date_col in raw.columns and start is not None and end is not None:
         # Export dates are text (ISO or Excel serial): normalise before comparing.
         df = raw.withColumn("_d", time.normalize_date(date_col))
-        df = _window(df, start, end, "_d")
+        df = window(df, start, end, "_d")
     primary_keys = [k for k, (p, _) in parts.items() if p in df.columns]
 
     def side(i: int) -> Column:

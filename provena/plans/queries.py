@@ -14,10 +14,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.operators import geocode, preferred, quality, referrals as R, rollup, spatial
-from provena.plans import pipeline as P
+from provena.functions import text
+from provena.operators import geocode, overlay, preferred, preparation, quality, recommend, referrals as R, rollup, sketches, spatial
+from provena.plans import datasets, pipeline as P
 from provena.session import checkpoint_dir
-from provena.sources import snapshots, testdata as td
+from provena.sources import io, layout, snapshots, testdata as td
 from provena.streaming import intake
 
 AS_OF = "2002-06-30 00:00:00"
@@ -51,6 +52,65 @@ def preparation_summary(spark, sf):
     return R.preparation_summary(P.cleaned_referrals(spark, sf))
 
 
+def preparation_run(spark, sf):
+    """The summary observed while the cleaned referrals are written."""
+    return preparation.prepare(td.raw_export(spark, sf), f"{_new_folder(spark, 'prepared')}/referrals")
+
+
+def overlay_all_referrals(spark, sf):
+    """The export's rows, one per party, with all their other columns (its referred-to headers without their prefix)."""
+    raw = td.raw_export(spark, sf)
+    named = raw.withColumnsRenamed({c: c.removeprefix("Dr/Facility ") for c in raw.columns})
+    columns = {"project_id": "Project ID", "referral_type": "referral_type", "full_name": "Full Name", "work_phone": "Work Phone",
+               "work_address": "Work Address", "latitude": "Latitude", "longitude": "Longitude", "last_verified_date": "Last Verified Date",
+               "referral_date": "Referral Date", "referral_source": "Referral Source", "secondary_person_id": "Secondary Referred From's Details: Person ID",
+               "referred_to": "Referred To Full Name"}
+    return overlay.overlay_all(named).select(*[F.col(f"`{c}`").alias(n) for n, c in columns.items()])
+
+
+def dataset_dispatch(spark, sf):
+    """Every dataset loaded from the export, from an export that is clean already, and without one."""
+    base = _new_folder(spark, "datasets")
+    raw, preferred_raw = td.raw_export(spark, sf), td.preferred_export(spark, sf)
+    datasets.save_cleaned(R.process_referrals(raw), preferred.process_preferred(preferred_raw)[0], f"{base}/cleaned")
+    out = None
+    for name in datasets.DATASETS:
+        is_preferred = name == datasets.PREFERRED
+        ways = {"export": lambda: preferred_raw if is_preferred else raw,
+                "clean": lambda: spark.read.parquet(f"{base}/cleaned/{'preferred' if is_preferred else 'referrals'}"),
+                "fallback": lambda: spark.read.parquet(f"{base}/no-such-export")}
+        for way, export in ways.items():
+            rows = datasets.load_dataset(spark, name, export, f"{base}/cleaned")
+            one = rows.agg(F.lit(name).alias("dataset"), F.lit(way).alias("way"), F.count(F.lit(1)).alias("row_count"),
+                           F.count_distinct("full_name").alias("names"))
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def sketch_report(spark, sf):
+    """D17/D24 from sketches of monthly loads and approximate medians, held against the exact figures."""
+    refs = P.Context(spark, sf).referrals_table
+    approx = sketches.merged(sketches.load_sketches(refs, intake.month_of(F.col("date_of_intake"))))
+    medians = sketches.approximate_statistics(refs).select("referral_type", F.col("median_per_provider").alias("_median"))
+    exact = quality.referral_statistics(refs).select("referral_type", F.col("providers").alias("_exact"), "median_per_provider")
+    return approx.join(medians, "referral_type").join(exact, "referral_type").select(
+        "referral_type", "referrals", "first_intake", "last_intake", "loads",
+        (F.abs(F.col("providers") / F.col("_exact") - 1) <= sketches.ERROR_BOUND).alias("names_within_bound"),
+        (F.abs(F.col("_median") - F.col("median_per_provider")) <= 1).alias("median_within_bound"))
+
+
+CLUSTER_RADIUS = 300.0
+
+
+def clustered_window(spark, sf):
+    """referrals of a window near the default client, read from files clustered by place and date."""
+    path = f"{_new_folder(spark, 'clustered')}/referrals"
+    io.write_clustered(P.cleaned_referrals(spark, sf), path, files=32)
+    box = layout.in_box(P.CLIENT_LAT, P.CLIENT_LON, CLUSTER_RADIUS)
+    near = recommend.filter_radius(recommend.with_distance(spark.read.parquet(path).filter(box), P.CLIENT_LAT, P.CLIENT_LON), CLUSTER_RADIUS)
+    return rollup.window(near, W0, W1, "date_of_intake").groupBy("referral_type", "full_name").agg(F.count(F.lit(1)).alias("referrals"))
+
+
 def provider_rollup(spark, sf):
     return P.providers(spark, sf)
 
@@ -60,7 +120,7 @@ def enriched_providers(spark, sf):
 
 
 def inbound_counts(spark, sf):
-    return rollup.inbound_counts(P.Context(spark, sf).inbound)
+    return rollup.largest_first(rollup.inbound_counts(P.Context(spark, sf).inbound), "inbound_referral_count")
 
 
 def time_filtered_providers(spark, sf):
@@ -69,11 +129,11 @@ def time_filtered_providers(spark, sf):
 
 
 def time_based_counts(spark, sf):
-    return rollup.referral_counts(P.Context(spark, sf).outbound, W0, W1)
+    return rollup.largest_first(rollup.referral_counts(P.Context(spark, sf).outbound, W0, W1))
 
 
 def raw_inbound_counts(spark, sf):
-    return rollup.raw_inbound_counts(P.Context(spark, sf).raw)
+    return rollup.largest_first(rollup.raw_inbound_counts(P.Context(spark, sf).raw), "inbound_referral_count")
 
 
 def unique_specialties(spark, sf):
@@ -149,6 +209,33 @@ def integrity_report(spark, sf):
     })
 
 
+def source_validation(spark, sf):
+    """D9 over files that aren't all sound: a CSV folder with one broken line, a table, and a folder that isn't there."""
+    base = _new_folder(spark, "sources")
+    contacts = td.contact_table(spark, sf)
+    contacts.write.option("header", True).csv(f"{base}/contacts")
+    broken = spark.range(1).select(F.explode(F.array(F.lit(",".join(contacts.columns)), F.lit("only,three,cells"))).alias("line"))
+    broken.coalesce(1).write.mode("append").text(f"{base}/contacts")
+    return preparation.validate_sources(spark, {
+        "contacts": (lambda: io.load_table(spark, f"{base}/contacts", "csv", corrupt_col="_corrupt"), ["full_name", "address"]),
+        "preferred_providers": (lambda: P.Context(spark, sf).preferred, ["full_name", "project_id"]),
+        "archive": (lambda: io.load_table(spark, f"{base}/archive", "csv"), ["full_name"]),
+    }).withColumn("error", F.col("error").isNotNull())
+
+
+def providers_missing_geo(spark, sf):
+    return quality.providers_missing_geo(P.providers(spark, sf)).select("full_name", "latitude", "longitude", "referral_count")
+
+
+def audit_summary(spark, sf):
+    return quality.audit_summary(address_audit(spark, sf))
+
+
+def contact_phones(spark, sf):
+    """H3: the contact list's phones with separators stripped, formatted where they have ten digits."""
+    return td.contact_table(spark, sf).select("person_id", text.strip_phone("phone").alias("phone"))
+
+
 def provider_validation(spark, sf):
     return quality.provider_validation(P.providers(spark, sf))
 
@@ -335,12 +422,12 @@ def stream_running_counts(spark, sf):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in [
-        referrals_etl, preparation_summary, provider_rollup, enriched_providers, inbound_counts,
+        referrals_etl, preparation_summary, preparation_run, overlay_all_referrals, dataset_dispatch, sketch_report, clustered_window, provider_rollup, enriched_providers, inbound_counts,
         time_filtered_providers, time_based_counts, raw_inbound_counts, unique_specialties,
         preferred_list, preferred_missing_geo, preferred_summary,
         recommend_top10, recommend_ranked, recommend_preferred, recommend_specialty, best_provider,
         batch_top5, radius_pairs, scenario_comparison,
-        data_quality, integrity_report, provider_validation, us_bounds_audit, issue_records,
+        data_quality, integrity_report, source_validation, providers_missing_geo, audit_summary, contact_phones, provider_validation, us_bounds_audit, issue_records,
         referral_type_distribution, coverage_stats, null_profile, freshness_breakdown, call_log_rollup,
         referral_statistics, output_schema_check, preferred_share, freshness_table, geocode_retry_join, bidirectional_providers, address_audit, address_advice, duplicate_addresses,
         needs_geocoding, geocode_resolved, geocode_enriched, geocode_report,

@@ -31,6 +31,21 @@ RAW_PROJECT_ID = "Project ID"
 RAW_INTAKE = "Date of Intake"
 RAW_CREATE = "Create Date"
 
+RAW_SIGN_UP = "Sign Up Date"
+RAW_VERIFIED = "Last Verified Date"
+RAW_REFERRAL_DATE = "Referral Date"
+# Date headers, in the order in which one becomes the referral date.
+RAW_DATE_HEADERS = [RAW_CREATE, RAW_INTAKE, RAW_SIGN_UP]
+# Canonical headers and what follows a party's name in the export.
+OVERLAY_HEADERS = {
+    "Full Name": " Full Name",
+    "Work Phone": "'s Work Phone",
+    "Work Address": "'s Work Address",
+    "Latitude": "'s Details: Latitude",
+    "Longitude": "'s Details: Longitude",
+    "Last Verified Date": "'s Details: Last Verified Date",
+}
+
 PRIMARY_FROM = {
     "Referral Source": "referral_source",
     "Referred From Full Name": "full_name",

@@ -97,6 +97,12 @@ def write_referrals(referrals: DataFrame, out_dir: str) -> None:
      .write.mode("overwrite").option("compression", "snappy").partitionBy("referral_type").parquet(out_dir))
 
 
+def write_clustered(referrals: DataFrame, out_dir: str, files: int | None = None) -> None:
+    """A6 with F4's other layout: files cover boxes of latitude, longitude and date (``sources.layout``)."""
+    from provena.sources.layout import z_ordered
+    z_ordered(referrals.drop("_seq"), files=files).write.mode("overwrite").option("compression", "snappy").parquet(out_dir)
+
+
 def read_referrals(spark: SparkSession, out_dir: str, referral_type: str | None = None) -> DataFrame:
     df = spark.read.parquet(out_dir)
     return df if referral_type is None else df.filter(F.col("referral_type") == referral_type)
