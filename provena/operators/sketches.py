@@ -2,9 +2,8 @@
 
 Distinct names come from HyperLogLog sketches (``hll_sketch_agg``), whose relative standard error is about
 ``1.04 / sqrt(2 ** lg_k)`` (0.8% at the default of 14 bits, so ``ERROR_BOUND``, three of them, is rarely missed).
-The estimate of merged sketches doesn't depend on how the rows were cut into loads (that of a single sketch may
-differ from it a little, within the bound).  Reports cost some kilobytes per load and type, where an exact
-distinct count shuffles every name.  The exact reports stay the default.
+How the rows are cut into loads changes an estimate a little, within the bound.  Reports cost some kilobytes per
+load and type, where an exact distinct count shuffles every name.  The exact reports stay the default.
 """
 
 from __future__ import annotations

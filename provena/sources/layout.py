@@ -7,6 +7,7 @@ windows; rows of one city would lie in every file.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -19,26 +20,40 @@ BITS = 16
 
 
 def interleaved(steps: list[Column], bits: int = BITS) -> Column:
-    """One long from the bits of several (the columns' highest bits first)."""
-    out = F.lit(0).cast("bigint")
-    for b in range(bits):
-        for i, c in enumerate(steps):
-            bit = F.shiftright(c, b).bitwiseAND(F.lit(1).cast("bigint"))
-            out = out.bitwiseOR(F.shiftleft(bit, b * len(steps) + len(steps) - 1 - i))
-    return out
+    """One long from the bits of several (the first column's bit first).
+
+    Steps are put into an array and bits taken by an aggregate, so that each step is evaluated once, however long its
+    expression has become when projections were merged.
+    """
+    n = len(steps)
+
+    def bit(value: Column, b: Column, i: int) -> Column:
+        one = F.call_function("shiftright", value, b).bitwiseAND(F.lit(1).cast("bigint"))
+        return F.call_function("shiftleft", one, b * n + (n - 1 - i))
+
+    def whole(s: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(0), F.lit(bits - 1)), F.lit(0).cast("bigint"),
+                           lambda acc, b: functools.reduce(lambda x, i: x.bitwiseOR(bit(s[i], b, i)), range(n), acc))
+
+    return F.transform(F.array(F.array(*[c.cast("bigint") for c in steps])), whole)[0]
 
 
 def _step(value: Column, cuts: list[float], bits: int = BITS) -> Column:
     """A value's place among quantile cuts, inside its interval by distance, so that skewed values (a city) spread over
     all steps; null is 0."""
-    edges = sorted(set(cuts))
-    size, slots = 1 << bits, max(1, len(edges) - 1)
-    step = F.lit(0.0)
-    for i in range(len(edges) - 1):
-        inside = (value - F.lit(edges[i])) / F.lit(edges[i + 1] - edges[i])
-        step = F.when(value >= F.lit(edges[i]), (F.lit(float(i)) + inside) * F.lit(size / slots)).otherwise(step)
-    return F.coalesce(F.least(F.greatest(F.floor(step).cast("bigint"), F.lit(0).cast("bigint")), F.lit(size - 1).cast("bigint")),
-                      F.lit(0).cast("bigint"))
+    distinct = sorted(set(cuts))
+    edges, size, slots = F.array(*[F.lit(float(e)) for e in distinct]), 1 << bits, max(1, len(distinct) - 1)
+    if len(distinct) < 2:
+        return F.lit(0).cast("bigint")
+
+    def place(v: Column) -> Column:
+        def within(i: Column) -> Column:  # i edges lie at or below v
+            low, high = F.get(edges, i - 1), F.get(edges, i)
+            return F.when(i == 0, F.lit(0.0)).when(high.isNull(), F.lit(float(slots))).otherwise((i - 1) + (v - low) / (high - low))
+        return F.transform(F.array(F.size(F.filter(edges, lambda e: e <= v))), within)[0] * F.lit(size / slots)
+
+    step = F.floor(F.transform(F.array(value), place)[0]).cast("bigint")
+    return F.coalesce(F.least(step, F.lit(size - 1).cast("bigint")), F.lit(0).cast("bigint"))
 
 
 def z_ordered(df: DataFrame, lat: str = "latitude", lon: str = "longitude", date: str = "date_of_intake", files: int | None = None) -> DataFrame:
