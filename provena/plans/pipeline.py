@@ -95,9 +95,10 @@ class Context:
 
     @property
     def enriched(self) -> DataFrame:
-        """The enriched providers written once — for consumers that read them several times."""
+        """The stored provider table: the enriched providers, written once per application as the application stores its
+        prepared outputs.  Rankings read it, whatever their client, weights and filters."""
         if self._enriched is None:
-            self._enriched = cut_lineage(self.enriched_plan)
+            self._enriched = td.landed(self.spark, self.sf_dir, "providers", lambda: self.enriched_plan)
         return self._enriched
 
 
@@ -121,6 +122,11 @@ def enriched_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Context(spark, sf_dir).enriched_plan
 
 
+def store_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I4 stored: what every ranking starts from."""
+    return Context(spark, sf_dir).enriched
+
+
 def time_filtered_providers(spark: SparkSession, sf_dir: str, start=WINDOW[0], end=WINDOW[1]) -> DataFrame:
     """I5 on the enriched providers."""
     ctx = Context(spark, sf_dir)
