@@ -196,9 +196,9 @@ SELECT 'contacts' AS dataset, false AS valid, count(*) + 1 AS row_count, 12 AS c
         / ((count(*) + 1) * 12) * 100, 2) AS missing_values_pct, CAST(1 AS BIGINT) AS corrupt_rows, false AS error FROM contacts
 UNION ALL
 SELECT 'preferred_providers', false, count(*), 8, 'project_id', count(*) - count(DISTINCT full_name), CAST(0 AS BIGINT),
-  round((""" + " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in (
+  CASE WHEN count(*) = 0 THEN 0.0 ELSE round((""" + " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in (
             "full_name", "work_phone", "work_address", "latitude", "longitude", "specialty", "last_verified_date", "person_id")) + """)
-        / (count(*) * 8) * 100, 2), CAST(0 AS BIGINT), false FROM pref_list
+        / (count(*) * 8) * 100, 2) END, CAST(0 AS BIGINT), false FROM pref_list
 UNION ALL
 SELECT 'archive', false, CAST(0 AS BIGINT), 0, 'full_name', CAST(0 AS BIGINT), CAST(0 AS BIGINT), 0.0, CAST(0 AS BIGINT), true""",
         "providers_missing_geo": O.with_(O.PROVIDERS) + """
