@@ -1,8 +1,11 @@
 """URL filter: block and allow rules, and gradient-boosted trees on lexical features for what no rule decides.
 
-The trees learn from the URLs that the rules decide.  Features are binned by fixed cut points and rows
-with equal bins are added up first, so a boosting round is one small aggregation over (node, feature,
-bin); only these histograms, of a fixed size, come to the driver, and every labelled URL takes part.
+The trees learn from the URLs that the rules decide, and, at a smaller weight, from the other URLs of
+the same domains as not blocked: rules that decide part of a domain leave the rest of it alone on
+purpose.  Suffix statistics come from other folds than the row's own and are smoothed, so a row's label
+isn't among its features.  Features are binned by fixed cut points and rows with equal bins are added
+up first, so a boosting round is one small aggregation over (node, feature, bin); only these histograms,
+of a fixed size, come to the driver, and every labelled URL takes part.
 The fitted trees are one SQL expression.  All of it is DataFrame functions.
 """
 
@@ -42,9 +45,11 @@ def _steps(first: float, last: float, step: float) -> tuple[float, ...]:
 CUTS: dict[str, tuple[float, ...]] = {
     "url_length": _steps(16, 240, 8), "host_length": _steps(6, 60, 3), "path_length": _steps(2, 120, 4),
     "depth": _steps(1, 12, 1), "host_labels": _steps(1, 8, 1), "digit_ratio": _steps(0.02, 0.6, 0.02), "entropy": _steps(1.0, 4.6, 0.1),
-    "parameters": _steps(0, 10, 1), "hyphens": _steps(0, 8, 1), "suffix_blocked": _steps(0.05, 0.95, 0.05),
-    "suffix_allowed": _steps(0.05, 0.95, 0.05), "suffix_log_count": _steps(1, 20, 1),
+    "parameters": _steps(0, 10, 1), "hyphens": _steps(0, 8, 1),
+    "suffix1_blocked": _steps(0.05, 0.95, 0.05), "suffix1_allowed": _steps(0.05, 0.95, 0.05), "suffix1_log_count": _steps(1, 20, 1),
 }
+#: Folds of the suffix statistics, and how many rows of the overall share they are smoothed with.
+FOLDS, PRIOR_ROWS = 5, 5.0
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -157,10 +162,25 @@ def fit(binned: DataFrame, *, trees: int = 8, depth: int = 3, rate: float = 0.4,
     return margin
 
 
-def filter_urls(pages: DataFrame, rules: list[Rule], *, threshold: float = 0.5, id_col: str = "page_id", url_col: str = "url", **fit_options) -> DataFrame:
+def _suffix_statistics(rows: DataFrame, k: int, shares: tuple[float, float]) -> DataFrame:
+    """Per last ``k`` labels and fold: the shares of rule-blocked and rule-allowed rows among the rows of all other folds."""
+    cells = cut_lineage(rows.groupBy(f"suffix{k}", "fold").agg(
+        F.count("*").alias("n"), F.count_if(F.col("blocked")).alias("b"), F.count_if(~F.col("blocked")).alias("a")))
+    sums = cells.groupBy(f"suffix{k}").agg(*[F.sum(c).alias(f"all_{c}") for c in "nba"])
+    other = {c: F.col(f"all_{c}") - F.col(c) for c in "nba"}
+    smooth = lambda c, share: (other[c] + F.lit(PRIOR_ROWS * share)) / (other["n"] + F.lit(PRIOR_ROWS))
+    return cells.join(sums, f"suffix{k}").select(
+        f"suffix{k}", "fold", smooth("b", shares[0]).alias(f"suffix{k}_blocked"), smooth("a", shares[1]).alias(f"suffix{k}_allowed"),
+        *([F.log2(F.col("all_n").cast("double")).alias("suffix1_log_count")] if k == 1 else []))
+
+
+def filter_urls(pages: DataFrame, rules: list[Rule], *, threshold: float = 0.5, undecided_weight: float = 0.5,
+                id_col: str = "page_id", url_col: str = "url", **fit_options) -> DataFrame:
     """``(page_id, host, path, rule, verdict, score)``: a row per input row.
 
-    ``score`` is the trees' probability of "block"; it gives the verdict where no rule does.  Null,
+    ``score`` is the trees' probability of "block"; it gives the verdict where no rule does.  A row that no rule decides,
+    of a domain (last two labels of the host) of which a rule decides others, counts as ``undecided_weight`` of an
+    allowed one in the training.  Null,
     empty and malformed URLs have empty parts and zero features, repeated rows keep a row each, without
     rule-decided URLs everything else is allowed, an empty table gives an empty result; other columns are not read.
     """
@@ -170,14 +190,17 @@ def filter_urls(pages: DataFrame, rules: list[Rule], *, threshold: float = 0.5,
     a = read.select("page_id", "url", host.alias("host"), path.alias("path")).select("*", matching_rule(F.col("host"), F.col("path"), rules).alias("rule"))
     blocked = F.col("rule").isin([r.rule for r in rules if r.verdict == "block"])
     a = cut_lineage(a.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), blocked).alias("blocked"),
-                             F.element_at(F.split("host", r"\."), -1).alias("suffix"), *lexical(url, F.col("host"), F.col("path")).values()))
-    stats = cut_lineage(a.groupBy("suffix").agg(
-        (F.count_if(F.col("blocked")) / F.count("*")).alias("suffix_blocked"), (F.count_if(~F.col("blocked")) / F.count("*")).alias("suffix_allowed"),
-        F.log2(F.count("*").cast("double")).alias("suffix_log_count")))
-    full = a.join(bounded_broadcast(stats, 20_000), "suffix")
+                             *[F.substring_index("host", ".", -k).alias(f"suffix{k}") for k in (1, 2)],
+                             F.pmod(F.xxhash64(F.coalesce(url, F.lit(""))), F.lit(FOLDS)).alias("fold"),
+                             *lexical(url, F.col("host"), F.col("path")).values()))
+    rows, ones, zeros = a.agg(F.count("*"), F.count_if("blocked"), F.count_if(~F.col("blocked"))).first()
+    stats = cut_lineage(_suffix_statistics(a, 1, (ones / max(1, rows), zeros / max(1, rows))))
+    domains = cut_lineage(a.filter("blocked IS NOT NULL").select("suffix2").distinct().withColumn("ruled", F.lit(True)))
+    full = a.join(bounded_broadcast(stats, 20_000), ["suffix1", "fold"]).join(bounded_broadcast(domains, 20_000), "suffix2", "left")
     bins = [_bin(f).alias(f"b_{f}") for f in CUTS]
-    binned = cut_lineage(full.filter("blocked IS NOT NULL").select("blocked", *bins).groupBy(*[f"b_{f}" for f in CUTS]).agg(
-        F.count("*").alias("n"), F.count_if("blocked").alias("ones")))
+    weight = F.when(F.col("blocked").isNull(), F.lit(float(undecided_weight))).otherwise(1.0)
+    binned = cut_lineage(full.filter("ruled").select("blocked", weight.alias("w"), *bins).groupBy(*[f"b_{f}" for f in CUTS]).agg(
+        F.sum("w").alias("n"), F.count_if("blocked").alias("ones")))
     margin = fit(binned, **fit_options)
     scored = full.select("page_id", "host", "path", "rule", "blocked", *bins).withColumn("score", 1 / (1 + F.exp(-margin)))
     block = F.coalesce(F.col("blocked"), F.col("score") >= threshold)

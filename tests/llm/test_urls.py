@@ -71,6 +71,33 @@ def test_trees_separate_labelled_urls(spark):
     assert all(abs(again[r.page_id] - r.score) < 1e-9 for r in got)
 
 
+def test_rest_of_a_partly_blocked_domain_is_left_alone(spark):
+    """A rule on a path doesn't block the domain's other pages by their suffix; a rule on a whole domain still counts for its kin."""
+    rules = [urls.Rule("block", "shop.com/de/"), urls.Rule("block", "net/"), urls.Rule("allow", "org/")]
+    rng = random.Random(4)
+    values = [f"http://shop.com/{lang}/p{rng.randrange(100, 999)}" for lang in ("de", "en", "fr", "es") for _ in range(60)]
+    values += [f"http://h{rng.randrange(30)}.net/en/p{rng.randrange(100, 999)}" for _ in range(80)]
+    values += [f"http://h{rng.randrange(30)}.org/en/p{rng.randrange(100, 999)}" for _ in range(80)]
+    got = urls.filter_urls(frame(spark, values), rules).collect()
+    rest = [r for r in got if r.rule is None]
+    assert len(rest) == 180 and sum(r.verdict == "allow" for r in rest) >= 162
+    assert all(r.verdict == "block" for r in got if r.host.endswith(".net")) and all(r.score > 0.5 for r in got if r.host.endswith(".net"))
+
+
+def test_suffix_statistics_equal_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a.b.com", "b.com", "x.net", "", "com"]), rng.randrange(5), rng.choice([None, True, False])) for _ in range(200)]
+    df = spark.createDataFrame(rows, "host string, fold long, blocked boolean").select(
+        "*", *[F.substring_index("host", ".", -k).alias(f"suffix{k}") for k in (1, 2, 3)])
+    for k in (1, 2):
+        last = lambda h: ".".join(h.split(".")[-k:])  # noqa: E731, B023
+        for r in urls._suffix_statistics(df, k, (0.2, 0.3)).collect():
+            other = [b for h, f, b in rows if last(h) == r[f"suffix{k}"] and f != r.fold]
+            for value, share in ((True, 0.2), (False, 0.3)):
+                want = (sum(b is value for b in other) + 5 * share) / (len(other) + 5)
+                assert abs(r[f"suffix{k}_{'blocked' if value else 'allowed'}"] - want) < 1e-12
+
+
 def test_empty_and_unlabelled(spark):
     assert urls.filter_urls(frame(spark, []) if False else spark.createDataFrame([], SCHEMA), URL_RULES).collect() == []
     got = urls.filter_urls(frame(spark, ["http://example.com/fr/1", "http://example.com/fr/1"]), URL_RULES).collect()
