@@ -45,13 +45,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
 
     The ids are the first ``max_rows`` by a hash of the id, so reruns agree.  That list has a proven
     bound, so it is broadcast and the documents are filtered where they are read, without moving texts.
-    Null labels are ignored, repeated labels of an id count as their largest.
+    Null labels are ignored, repeated labels of an id count as their largest; null texts come as empty ones.
     """
     ids = (labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull())
            .filter(fold(F.col(id_col), folds) != held_out_fold)
            .groupBy(F.col(id_col).alias("id")).agg(F.max(label).cast("int").alias("label"))
            .orderBy(F.xxhash64("id"), "id").limit(max_rows))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), valid_text(F.col(text_col)).alias("text"))
     return texts.join(F.broadcast(ids), "id")
 
 
@@ -97,6 +97,6 @@ def bounded_texts(docs: DataFrame, labels: DataFrame, label: str, max_rows: int,
         return []
     chosen = labels.filter(F.col(label).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label).cast("int").alias("label"))
     wanted = spark.createDataFrame([(i,) for i in ids], docs.select(F.col(id_col).alias("id")).schema)
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), *extra).join(F.broadcast(wanted), "id")
+    texts = docs.select(F.col(id_col).alias("id"), valid_text(F.col(text_col)).alias("text"), *extra).join(F.broadcast(wanted), "id")
     one = texts.groupBy("id").agg(F.min(F.struct("text", *extra)).alias("r"))
     return one.join(chosen, "id").select("id", "label", "r.*").orderBy(F.xxhash64("id"), "id").collect()

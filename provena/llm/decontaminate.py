@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from provena.llm.common import text_batches
+from provena.llm.common import text_batches, valid_text
+from provena.session import cut_lineage
 
 ERROR_RATE = 0.10
 MIN_CHARS = 20
@@ -152,7 +153,7 @@ class Matcher:
 
 def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[object, str]]]:
     """The items in blocks of about ``block_chars`` characters, dealt by a hash; each is one small list on the driver."""
-    rows = items.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).distinct()
+    rows = items.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), valid_text(F.col(text_col)).alias("text")).distinct()
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-int(total) // block_chars))
     for k in range(blocks if total else 0):
@@ -167,7 +168,7 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, *, rate: float = ERROR_RAT
     rows repeat their hits, items of equal text are each found, an empty table on either side gives an empty result.
     """
     text_batches(docs.sparkSession)
-    read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    read = docs.select(F.col(id_col).alias("doc_id"), valid_text(F.col(text_col)).alias("text"))
     item_kind = items.select(item_col).schema[0].dataType
     schema = (f"doc_id {read.schema['doc_id'].dataType.simpleString()}, item_id {item_kind.simpleString()}, item_chars int, edits int, "
               "from_char long, to_char long")
@@ -206,7 +207,7 @@ def without_benchmarks(docs: DataFrame, items: DataFrame, *, rate: float = ERROR
                 kept.append(Matcher(block, rate, min_chars))
             return pd.Series([bool(kept[0].find(t)) for t in texts], dtype=bool)
 
-        return any_item(F.col(text_col))
+        return any_item(valid_text(F.col(text_col)))
 
     out = docs
     for block in item_blocks(items, item_col, block_chars=block_chars):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.common import text_batches
+from provena.llm.common import text_batches, valid_text
 
 MAX_TEMPLATE_WORDS = 100_000
 
@@ -256,10 +256,10 @@ def license_scan(docs: DataFrame, *, templates: dict[str, str] | None = None, ph
 
     A template's label is given where its best chain covers enough of it; the score is the largest share
     covered, 1 with a base phrase.  Null and empty texts have no words and no labels (empty strings),
-    repeated rows keep a row each, an empty table gives an empty result, other columns are not read.
+    malformed UTF-8 is read as U+FFFD, repeated rows keep a row each, an empty table gives an empty result, other columns are not read.
     """
     text_batches(docs.sparkSession)
-    read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    read = docs.select(F.col(id_col).alias("doc_id"), valid_text(F.col(text_col)).alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, phrases, **options)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provena.llm import boosting
-from provena.llm.common import fold, labelled_sample, text_batches
+from provena.llm.common import fold, labelled_sample, text_batches, valid_text
 
 MAX_TRAIN_ROWS = 20_000
 THRESHOLD = 0.3
@@ -111,15 +111,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, threshold: float = THR
                    **options) -> DataFrame:
     """``(doc_id, held_out, score, predicted)``: a row per input row.
 
-    Null and empty texts are scored like any text (by all-zero statistics), a null id counts as held out,
+    Null and empty texts are scored like any text (by all-zero statistics), malformed UTF-8 as U+FFFD, a null id counts as held out,
     repeated rows keep a row each, an empty table gives an empty result, further columns are not read.
     """
     model = train(docs, labels, id_col=id_col, text_col=text_col, **options)
     return docs.select(F.col(id_col).alias("doc_id"), (fold(F.col(id_col)) == 0).alias("held_out"),
-                       scorer(model)(F.col(text_col)).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+                       scorer(model)(valid_text(F.col(text_col))).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_good(docs: DataFrame, model: boosting.Trees, *, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The input's rows and columns without the documents that score below ``threshold``."""
     text_batches(docs.sparkSession)
-    return docs.filter(scorer(model)(F.col(text_col)) >= threshold)
+    return docs.filter(scorer(model)(valid_text(F.col(text_col))) >= threshold)

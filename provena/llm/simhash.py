@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provena.llm.common import columns_of, settled, tasks_for, text_batches
+from provena.llm.common import columns_of, settled, tasks_for, text_batches, valid_text
 from provena.llm.components import connected_components
 from provena.session import cut_lineage
 
@@ -51,14 +51,14 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprint_column(text: Column, shingle: int = 3, seed: int = 42) -> Column:
-    """The fingerprint as a signed long (the same 64 bits); null and word-less texts give 0."""
+    """The fingerprint as a signed long (the same 64 bits); null and word-less texts give 0, malformed UTF-8 counts as U+FFFD."""
 
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, shingle, seed) for t in texts], dtype=np.uint64).view(np.int64))
 
     # Never null, and declared so: a join on it would otherwise filter nulls first, with a second run of the function.
-    return F.coalesce(fp(text), F.lit(0).cast("long"))
+    return F.coalesce(fp(valid_text(text)), F.lit(0).cast("long"))
 
 
 def hex_column(fp: Column) -> Column:

@@ -24,7 +24,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.common import text_batches
+from provena.llm.common import text_batches, valid_text
 
 RULES = ("most", "start", "share")
 
@@ -144,7 +144,7 @@ def field_sections(fields: list[str], separator: str = "\n") -> tuple[Column, Co
     For ``token_counts``: the columns are encoded as one document, as they are trained on, and its tokens
     attributed to them in the order given; what the separators hold is outside.
     """
-    parts = [F.coalesce(F.col(f"`{f}`"), F.lit("")) for f in fields]
+    parts = [valid_text(F.col(f"`{f}`")) for f in fields]
     spans, at = [], F.lit(0).cast("long")
     for p in parts:
         end = at + F.length(p)
@@ -160,13 +160,13 @@ def token_counts(docs: DataFrame, sections: Column | None = None, *, rule: str =
     ``sections``: an array of structs (from, to) in characters, by default the lines.  Section -1 has the
     tokens outside all sections, if any.  ``n_tokens`` is fractional under the rule ``share`` only; a
     document's ``n_tokens`` add up to its ``doc_tokens``.  A null or empty text has no tokens (by default
-    one empty line; with null or empty sections one row of section -1), repeated rows repeat, an empty
-    table gives an empty result.
+    one empty line; with null or empty sections one row of section -1), malformed UTF-8 counts as U+FFFD,
+    repeated rows repeat, an empty table gives an empty result.
     """
     text_batches(docs.sparkSession)
     path, pat = vocabulary or default_vocabulary(), pattern or default_pattern()
     given = sections is not None
-    cols = [F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")]
+    cols = [F.col(id_col).alias("doc_id"), valid_text(F.col(text_col)).alias("text")]
     read = docs.select(*cols, sections.cast("array<struct<a: long, b: long>>").alias("sections")) if given else docs.select(*cols)
     kind = read.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "section", "from_char", "to_char", "n_tokens", "n_crossing", "doc_tokens"]

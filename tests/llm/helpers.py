@@ -4,6 +4,7 @@ import numbers
 
 import duckdb
 import pandas as pd
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "lorem ipsum dolor sit amet " * 8000
@@ -24,6 +25,12 @@ ROWS = [
 ]
 
 
+def malformed(df, text="text"):
+    """``df`` and its rows once more, their texts with bytes that are no UTF-8 before, in and after them."""
+    broken = "concat(cast(X'C3' AS string), {0}, cast(X'20ff4120' AS string), {0}, cast(X'20ED' AS string))".format(f"coalesce(`{text}`, '')")
+    return df.unionByName(df.withColumn(text, F.expr(broken)))
+
+
 def docs(spark, rows=ROWS, extra=False):
     df = spark.createDataFrame([(i, t, l, s, len(t or "")) for i, t, l, s in rows], SCHEMA)
     if extra:
