@@ -6,7 +6,11 @@ text (Aho-Corasick); around a hit a count of shared three-letter runs, which ``k
 by ``3 k``, discards most chance hits, and Myers' bit-parallel distance decides the rest exactly.
 
 Texts and items are compared in lower case with white space runs as one blank.  Items come to the tasks in
-blocks of bounded size, each of which passes over the texts once; nothing is shuffled.
+blocks of bounded size, each of which passes over the texts once; nothing is shuffled.  The driver holds one
+block at a time: with several, what a block found (or left) is written before the next is read.
+
+Items under ``MIN_CHARS`` characters have no error budget and count as whole words only: one edit in a few
+letters, or a few letters inside a word, are found in clean texts all over.
 """
 
 from __future__ import annotations
@@ -151,13 +155,15 @@ class Matcher:
         return out
 
 
-def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[object, str]]]:
-    """The items in blocks of about ``block_chars`` characters, dealt by a hash; each is one small list on the driver."""
+def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text",
+                block_chars: int = BLOCK_CHARS) -> Iterator[tuple[list[tuple[object, str]], bool]]:
+    """The items in blocks of about ``block_chars`` characters, dealt by a hash, and whether a block is the last.  Each is
+    one small list on the driver; a caller that keeps none (in plans neither) has one there at a time."""
     rows = items.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), valid_text(F.col(text_col)).alias("text")).distinct()
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-int(total) // block_chars))
     for k in range(blocks if total else 0):
-        yield [(r.id, r.text) for r in rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).collect()]
+        yield [(r.id, r.text) for r in rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).collect()], k == blocks - 1
 
 
 def benchmark_hits(docs: DataFrame, items: DataFrame, *, rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, id_col: str = "doc_id",
@@ -188,14 +194,18 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, *, rate: float = ERROR_RAT
         return scan
 
     out = docs.sparkSession.createDataFrame([], schema)
-    for block in item_blocks(items, item_col, block_chars=block_chars):
-        out = out.unionByName(read.mapInArrow(scan_for(block), schema))
+    for block, last in item_blocks(items, item_col, block_chars=block_chars):
+        found = read.mapInArrow(scan_for(block), schema)
+        out = out.unionByName(found if last else cut_lineage(found))
     return out
 
 
 def without_benchmarks(docs: DataFrame, items: DataFrame, *, rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, text_col: str = "text",
                        item_col: str = "item_id", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The input's rows and columns without the documents in which an item occurs."""
+    """The input's rows and columns without the documents in which an item occurs.
+
+    Items in several blocks write what is left of the input once for each block but the last.
+    """
     text_batches(docs.sparkSession)
 
     def holds(block: list[tuple[object, str]]) -> Column:
@@ -210,6 +220,8 @@ def without_benchmarks(docs: DataFrame, items: DataFrame, *, rate: float = ERROR
         return any_item(valid_text(F.col(text_col)))
 
     out = docs
-    for block in item_blocks(items, item_col, block_chars=block_chars):
+    for block, last in item_blocks(items, item_col, block_chars=block_chars):
         out = out.filter(~holds(block))
+        if not last:
+            out = cut_lineage(out)
     return out

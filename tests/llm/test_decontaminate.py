@@ -3,6 +3,7 @@ import random
 import pytest
 
 from provena.llm import decontaminate as D
+from provena.session import cut_lineage
 from tests.llm import helpers as H
 
 
@@ -86,6 +87,34 @@ def test_a_tenth_of_edits_is_found():
             assert [h[:3] for h in found] == [(1, len(item), k)]
 
 
+def test_short_items_on_both_sides_of_the_border():
+    """19 characters: no edits, whole words; 20 characters: two edits, also inside a word."""
+    short, long = "abcde fghij klm nop", "abcde fghij klm nopq"
+    assert (len(short), len(long)) == (D.MIN_CHARS - 1, D.MIN_CHARS)
+    found = lambda item, text: [h[2] for h in D.Matcher([(1, item)]).find(text)]
+    assert found(short, f"so {short} it") == found(short, short) == [0]
+    assert found(short, f"so {short}s it") == found(short, "so abcde fghij kl nop it") == []
+    assert found(long, f"so {long}s it") == [0] and found(long, "so abcde fghij kl nop it") == [2]
+    assert found(long, "so abcde fgij kl nop it") == []
+
+
+def test_blocks_are_on_the_driver_one_at_a_time(spark, monkeypatch):
+    items = spark.createDataFrame([(i, f"item number {i} " * 6) for i in range(60)], "item_id long, text string")
+    rows = [(i, f"so item number {i} " + f"item number {i} " * 5 if i % 3 else "clean text", "en", "s") for i in range(90)]
+    docs = H.docs(spark, rows, extra=True)
+    written = []
+    monkeypatch.setattr(D, "cut_lineage", lambda df: written.append(df) or cut_lineage(df))
+    blocks = [(len(b), last) for b, last in D.item_blocks(items, block_chars=1500)]
+    assert len(blocks) >= 4 and sum(n for n, _ in blocks) == 60 and [last for _, last in blocks] == [False] * (len(blocks) - 1) + [True]
+    got = {(r.doc_id, r.item_id) for r in D.benchmark_hits(docs, items, block_chars=1500).collect()}
+    assert got == {(r.doc_id, r.item_id) for r in D.benchmark_hits(docs, items).collect()} and {(i, i) for i in range(60) if i % 3} <= got
+    left = D.without_benchmarks(docs, items, block_chars=1500)
+    assert len(written) == 2 * (len(blocks) - 1)
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("any_item") == 1  # the blocks before are done with
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {i for i, *_ in rows} - {d for d, _ in got}
+
+
 @pytest.mark.parametrize("place", ["{}", "{} and more", "before {}", "{0}{0}"])
 def test_items_at_the_borders_of_a_text(place):
     item = prose(random.Random(3), 30)
