@@ -6,9 +6,10 @@ streamed through it word by word, which gives the longest run of every template
 of two overlapping runs shortened by what they share, and the share of a template's words that a chain
 covers decides its label.  Fixed phrases are counted besides.
 
-The automaton has at most two states per template word; it is built once per Python process from the
-templates, which travel with the function (a proven bound: ``MAX_TEMPLATE_WORDS``).  One pass over the
-texts, no shuffle; words that no template has cost one dictionary look-up.
+The automaton has at most two states per template word, and every end place of a template is stored once: in
+the order of a walk of the suffix links' tree, where a state's places are one stretch.  It is built once per
+task from the templates, which travel with the function (a proven bound: ``MAX_TEMPLATE_WORDS``).  One pass
+over the texts, no shuffle; words that no template has cost one dictionary look-up.
 """
 
 from __future__ import annotations
@@ -81,13 +82,13 @@ class Automaton:
     step: list[dict[int, int]] = field(default_factory=lambda: [{}])
     link: list[int] = field(default_factory=lambda: [-1])
     length: list[int] = field(default_factory=lambda: [0])
-    ends: list[set[tuple[int, int]]] = field(default_factory=lambda: [set()])  # (template, position after) of own ends
+    places: list[tuple[int, int]] = field(default_factory=list)  # (template, position after) of all ends, in the order of the walk
+    stretch: list[tuple[int, int]] = field(default_factory=list)  # where in ``places`` those of a state and of all it is a suffix of stand
 
     def _state(self, length: int, step: dict[int, int], link: int) -> int:
         self.step.append(step)
         self.link.append(link)
         self.length.append(length)
-        self.ends.append(set())
         return len(self.link) - 1
 
     def _split(self, p: int, word: int, q: int) -> int:
@@ -116,15 +117,36 @@ class Automaton:
     @classmethod
     def of(cls, templates: list[list[int]]) -> Automaton:
         a = cls()
+        own: dict[int, list[tuple[int, int]]] = {}
         for t, run in enumerate(templates):
             last = 0
             for i, w in enumerate(run):
                 last = a._extend(last, w)
-                a.ends[last].add((t, i + 1))
-        for s in sorted(range(1, len(a.link)), key=lambda s: -a.length[s]):  # longer runs first: ends are passed on to suffixes
-            a.ends[a.link[s]] |= a.ends[s] if a.link[s] else set()
+                own.setdefault(last, []).append((t, i + 1))
+        below: dict[int, list[int]] = {}
+        for s in range(1, len(a.link)):
+            below.setdefault(a.link[s], []).append(s)
+        a.stretch = [(0, 0)] * len(a.link)
+        walk = [(0, -1)]  # (state, where its stretch begins, or -1 on the way down)
+        while walk:
+            s, begin = walk.pop()
+            if begin >= 0:
+                a.stretch[s] = (begin, len(a.places))
+                continue
+            walk.append((s, len(a.places)))
+            a.places += own.get(s, [])
+            walk += [(c, -1) for c in below.get(s, [])]
         return a
 
+    def ends(self, state: int) -> list[tuple[int, int]]:
+        """All places where the state's runs end, as (template, position after)."""
+        return self.places[slice(*self.stretch[state])]
+
+    def further_ends(self, state: int) -> list[tuple[int, int]]:
+        """The places that the state's suffix link has besides the state's own."""
+        (a, b), (c, d) = self.stretch[self.link[state]], self.stretch[state]
+        return self.places[a:c] + self.places[d:b]
+
     def statistics(self, run: list[int]) -> tuple[list[int], list[int]]:
         """For every word the length of the longest known run that ends there, and its state (0: none)."""
         step, link, length = self.step, self.link, self.length
@@ -150,10 +172,11 @@ class Automaton:
 
 class Scanner:
     """``min_run``: shortest run that counts (or the whole template if that is shorter); ``max_gap``: most words between the
-    runs of a chain, in the text and in the template; ``cover``: least share of a template's words for its label."""
+    runs of a chain, in the text and in the template; ``cover``: least share of a template's words for its label, where a
+    template of under ``whole_words`` words needs all of them (four words of "released under the MIT License" are prose)."""
 
     def __init__(self, templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, *, min_run: int = 4, max_gap: int = 12,
-                 cover: float = 0.8) -> None:
+                 cover: float = 0.8, whole_words: int = 8) -> None:
         templates, phrases = TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases
         self.labels = [*templates]
         texts = [words(t) for t in templates.values()]
@@ -164,7 +187,8 @@ class Scanner:
         self.phrases = [([self.number.setdefault(w, len(self.number)) for w in words(p)], label) for p, label in phrases.items()]
         self.sizes = [len(r) for r in runs]
         self.automaton = Automaton.of(runs)
-        self.min_run, self.max_gap, self.cover = min_run, max_gap, cover
+        self.min_run, self.max_gap = min_run, max_gap
+        self.cover = [1.0 if n < whole_words else cover for n in self.sizes]
 
     def matches(self, ids: np.ndarray, *, every_place: bool = False) -> Iterator[tuple[int, int, int, int]]:
         """``(word after, length, template, template position after)``: at every word the longest run that ends
@@ -177,21 +201,24 @@ class Scanner:
         known = np.flatnonzero(ids >= 0)
         if not len(known):
             return
-        least = min(self.min_run, min(self.sizes))
-        link, length, ends = self.automaton.link, self.automaton.length, self.automaton.ends
+        least = max(1, min([self.min_run, *self.sizes]))
+        link, length, further = self.automaton.link, self.automaton.length, self.automaton.further_ends
         for part in np.split(known, np.flatnonzero(np.diff(known) > 1) + 1):  # stretches of template words
             if len(part) < least:
                 continue
             lengths, states = self.automaton.statistics(ids[part].tolist())
             for i, (n, state) in enumerate(zip(lengths, states)):
-                seen: set = set()
+                seen: set[int] = set()  # templates whose longest run is found
+                places = self.automaton.ends(state) if n >= least else []
                 while n >= least:
-                    new = [(t, e) for t, e in ends[state] if ((t, e) if every_place else t) not in seen and n >= min(self.min_run, self.sizes[t])]
+                    new = [(t, e) for t, e in places if t not in seen and n >= min(self.min_run, self.sizes[t])]
                     for t, e in new:
                         yield int(part[i]) + 1, n, t, e
-                    seen.update(new if every_place else (t for t, _ in new))
+                    if not every_place:
+                        seen.update(t for t, _ in new)
+                    n = length[link[state]]
+                    places = further(state) if n >= least else []
                     state = link[state]
-                    n = length[state]
 
     def spans(self, ids: np.ndarray) -> list[tuple[int, int, int, float]]:
         """``(template, first word, word after, share of the template covered)``, the best chain of every template.
@@ -239,7 +266,7 @@ class Scanner:
                 base.add(label)
         at = np.concatenate(places) if places else np.zeros(0, np.int64)
         spans = self.spans(ids)
-        labels = base | {self.labels[t] for t, _, _, share in spans if share >= self.cover}
+        labels = base | {self.labels[t] for t, _, _, share in spans if share >= self.cover[t]}
         score = max((share for _, _, _, share in spans), default=0.0)
         return (len(w), len(at), int(at.min()) if len(at) else None, int(at.max()) if len(at) else None, ",".join(sorted(base)),
                 ",".join(sorted(labels)), max(score, 1.0 if base else 0.0), [(self.labels[t], a, b, c) for t, a, b, c in spans])

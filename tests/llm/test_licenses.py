@@ -33,7 +33,8 @@ def test_matching_statistics_equal_brute_force(seed):
         assert n == max((k for k in range(1, i + 2) if tuple(seq[i + 1 - k:i + 1]) in runs), default=0)
         run = seq[i + 1 - n:i + 1]
         if n:
-            assert a.ends[states[i]] == {(t, e) for t, words in enumerate(templates) for e in range(n, len(words) + 1) if words[e - n:e] == run}
+            assert len(a.ends(states[i])) == len(set(a.ends(states[i])))
+            assert set(a.ends(states[i])) == {(t, e) for t, words in enumerate(templates) for e in range(n, len(words) + 1) if words[e - n:e] == run}
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -92,6 +93,25 @@ def test_awkward_rows(spark):
         L.Scanner({"big": "a " * (L.MAX_TEMPLATE_WORDS + 1)})
 
 
+def test_places_of_a_repetitive_template_are_stored_once():
+    a = L.Automaton.of([[0] * 4000, [0] * 10 + [1], [0] * 10 + [1]])
+    assert len(a.places) == 4000 + 2 * 11 == len(set(a.places))
+    state = a.statistics([0] * 10)[1][-1]
+    assert sorted(a.ends(state)) == [*((0, e) for e in range(10, 4001)), (1, 10), (2, 10)]
+    s = L.Scanner({"many": "very " * 4000, "none": "", "odd": "very odd"}, {})
+    got = covers(s, ["very"] * 30 + ["odd"])
+    assert got["many"] == 30 / 4000 and got["odd"] == 1 and "none" not in got
+    assert L.Scanner({}, {}).scan("any text")[:2] == (2, 0)
+
+
+def test_short_templates_need_all_their_words():
+    s = L.Scanner()
+    assert "mit-short" in s.scan("It is released under the MIT license today")[5].split(",")
+    for prose in ("not under the MIT License", "released under the MIT", "a work licensed under CC BY 4", "GNU general public"):
+        assert not {"mit-short", "cc-by-4.0", "gpl-short"} & set(s.scan(prose)[5].split(",")), prose
+    assert s.scan("not under the MIT License")[6] == pytest.approx(0.8)  # the score still tells how much is there
+
+
 def brute_cover(s, t, template, text):
     """The best chain of maximal runs over all diagonals, by trying every order of ends; overlaps count once."""
     runs = []
