@@ -52,7 +52,7 @@ def _count_of(text: Column, chars: str) -> Column:
 
 
 def _repeated_words(grams: str) -> Column:
-    """Words inside 3-word windows that occur twice or more: ``grams`` holds (hash, start) pairs in order."""
+    """Words inside 3-word windows that occur twice or more: ``grams`` holds (hash, start) pairs in order (null: no window does)."""
     g = F.col(grams)
     starts = F.sort_array(F.transform(
         F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda j: (F.get(g, j)["h"] == F.get(g, j - 1)["h"]) | (F.get(g, j)["h"] == F.get(g, j + 1)["h"])),
@@ -65,16 +65,20 @@ def _repeated_words(grams: str) -> Column:
 def measure(docs: DataFrame, keep: list[Column], text_col: str = "text", min_words: int = 50, max_repeat: int = 50) -> DataFrame:
     """``keep`` plus the struct ``stats`` of every row.
 
-    Windows of three words are compared by a 64-bit hash of the three words, within one text only.
+    Windows of three words are compared by a 64-bit hash of the three words, within one text only; they are
+    sorted with their places only where a hash occurs twice, which most texts have none of.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     a = docs.select(*keep, text.alias("__t"), F.regexp_extract_all(text, F.lit(f"({WORD})"), 1).alias("__w"))
     names = [c for c in a.columns if c not in ("__t", "__w")]
     w = F.col("__w")
-    grams = F.when(F.size(w) > 2, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(
-        F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i"))))
+    hashes = F.when(F.size(w) > 2, F.transform(F.sequence(F.lit(0), F.size(w) - 3),
+                                               lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))
     lines = F.filter(F.split("__t", "\n"), lambda x: x.rlike(WORD))
-    b = a.select(*names, "__t", F.size(w).cast("long").alias("n_words"), F.sort_array(grams).alias("__g"), lines.alias("__l"))
+    b = a.select(*names, "__t", F.size(w).cast("long").alias("n_words"), hashes.alias("__h"), lines.alias("__l"))
+    h = F.col("__h")
+    grams = F.when(F.size(F.array_distinct(h)) < F.size(h), F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))))
+    b = b.select(*names, "__t", "n_words", "__l", grams.alias("__g"))
     t = F.col("__t")
     c = b.select(
         *names, "n_words", F.length(F.translate(t, SPACES, "")).cast("long").alias("word_chars"),
