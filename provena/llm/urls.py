@@ -7,6 +7,10 @@ isn't among its features.  Features are binned by fixed cut points and rows with
 up first, so a boosting round is one small aggregation over (node, feature, bin); only these histograms,
 of a fixed size, come to the driver, and every labelled URL takes part.
 The fitted trees are one SQL expression.  All of it is DataFrame functions.
+
+A few rules are an expression too.  Longer lists are a table: a URL's host suffixes are joined with the hosts
+of rules by equality, then each suffix with the URL's path cut to the lengths that this host's rules have, by
+equality with the rules.  So a URL meets a rule only where it fits, however many rules a host has.
 """
 
 from __future__ import annotations
@@ -14,13 +18,14 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provena.llm.common import bounded_broadcast, lower_ascii
 from provena.session import cut_lineage
 
-MAX_RULES = 500
+#: Rules beyond this number are joined instead of being part of the plan; both ways give the same rule.
+MAX_PLANNED_RULES = 50
 
 
 @dataclass(frozen=True)
@@ -60,13 +65,35 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 def matching_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
     """The longest rule of the URL's host or a parent domain whose path the URL's path starts with (equal length: the first by text)."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules can be part of a plan")
-    out = F.lit(None).cast("string")
-    for r in sorted(rules, key=lambda r: (len(r.rule), [-ord(c) for c in r.rule])):
-        fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
-        out = F.when(fits, F.lit(r.rule)).otherwise(out)
-    return out
+    fits = [F.when(((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path), F.lit(r.rule))
+            for r in sorted(rules, key=lambda r: (-len(r.rule), r.rule))]
+    return F.coalesce(F.lit(None).cast("string"), *fits)
+
+
+def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
+    return spark.createDataFrame([(r.verdict, r.rule) for r in rules], "verdict string, rule string")
+
+
+def joined_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """``urls`` (a written table with ``host`` and ``path``) plus ``rule`` as ``matching_rule`` has it, and ``blocked``:
+    whether that rule (null: none) blocks; a rule given with both verdicts does.  ``rules`` has ``verdict`` and ``rule``."""
+    table = cut_lineage(rules.filter(F.col("rule").isNotNull()).groupBy("rule").agg(F.max(F.col("verdict") == "block").alias("blocked"))
+                        .select("rule", F.coalesce("blocked", F.lit(False)).alias("blocked"), F.substring_index("rule", "/", 1).alias("suffix")))
+    length = F.length("rule") - F.length("suffix")
+    # Per host the lengths of its rules' paths: at most as many as the longest path has characters.
+    hosts = cut_lineage(table.groupBy("suffix").agg(F.collect_set(length).alias("lengths")))
+    labels = hosts.agg(F.max(F.size(F.split("suffix", r"\."))).alias("n")).first().n or 0
+    if not labels:
+        return urls.select("*", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("boolean").alias("blocked"))
+    distinct = urls.select("host", "path").distinct()
+    own = F.split("host", r"\.")
+    suffixes = distinct.select("host", "path", own.alias("own"), F.explode(F.sequence(F.lit(1), F.least(F.size(own), F.lit(labels)))).alias("k")).select(
+        "host", "path", F.array_join(F.slice("own", -F.col("k"), F.col("k")), ".").alias("suffix"))
+    cuts = suffixes.join(bounded_broadcast(hosts), "suffix").select("host", "path", "suffix", F.explode("lengths").alias("l")).filter(
+        F.col("l") <= F.length("path")).select("host", "path", F.concat("suffix", F.substring("path", F.lit(1), F.col("l"))).alias("rule"))
+    found = cuts.join(bounded_broadcast(table.select("rule", "blocked")), "rule")
+    best = found.groupBy("host", "path").agg(F.min(F.struct((-F.length("rule")).alias("l"), "rule", "blocked")).alias("best"))
+    return urls.join(cut_lineage(best), ["host", "path"], "left").select(*[f"`{c}`" for c in urls.columns], "best.rule", "best.blocked")
 
 
 def _entropy(text: Column) -> Column:
@@ -174,10 +201,11 @@ def _suffix_statistics(rows: DataFrame, k: int, shares: tuple[float, float]) ->
         *([F.log2(F.col("all_n").cast("double")).alias("suffix1_log_count")] if k == 1 else []))
 
 
-def filter_urls(pages: DataFrame, rules: list[Rule], *, threshold: float = 0.5, undecided_weight: float = 0.5,
+def filter_urls(pages: DataFrame, rules: list[Rule] | DataFrame, *, threshold: float = 0.5, undecided_weight: float = 0.5,
                 id_col: str = "page_id", url_col: str = "url", **fit_options) -> DataFrame:
     """``(page_id, host, path, rule, verdict, score)``: a row per input row.
 
+    ``rules`` is a list, or a table with ``verdict`` and ``rule`` (as ``rule_table`` makes it) of any size.
     ``score`` is the trees' probability of "block"; it gives the verdict where no rule does.  A row that no rule decides,
     of a domain (last two labels of the host) of which a rule decides others, counts as ``undecided_weight`` of an
     allowed one in the training.  Null,
@@ -187,9 +215,14 @@ def filter_urls(pages: DataFrame, rules: list[Rule], *, threshold: float = 0.5,
     url = F.col("url")
     read = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     host, path = url_parts(url)
-    a = read.select("page_id", "url", host.alias("host"), path.alias("path")).select("*", matching_rule(F.col("host"), F.col("path"), rules).alias("rule"))
-    blocked = F.col("rule").isin([r.rule for r in rules if r.verdict == "block"])
-    a = cut_lineage(a.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), blocked).alias("blocked"),
+    a = read.select("page_id", "url", host.alias("host"), path.alias("path"))
+    if isinstance(rules, list) and len(rules) <= MAX_PLANNED_RULES:
+        a = a.select("*", matching_rule(F.col("host"), F.col("path"), rules).alias("rule"))
+        blocked = F.when(F.col("rule").isNotNull(), F.col("rule").isin([r.rule for r in rules if r.verdict == "block"]))
+    else:
+        a = joined_rules(cut_lineage(a), rule_table(pages.sparkSession, rules) if isinstance(rules, list) else rules)
+        blocked = F.col("blocked")
+    a = cut_lineage(a.select("page_id", "host", "path", "rule", blocked.alias("blocked"),
                              *[F.substring_index("host", ".", -k).alias(f"suffix{k}") for k in (1, 2)],
                              F.pmod(F.xxhash64(F.coalesce(url, F.lit(""))), F.lit(FOLDS)).alias("fold"),
                              *lexical(url, F.col("host"), F.col("path")).values()))

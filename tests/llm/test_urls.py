@@ -39,6 +39,35 @@ def test_parts_and_rules(spark):
         assert got[i].verdict == (verdicts[got[i].rule] if got[i].rule else "block" if got[i].score >= 0.5 else "allow")
 
 
+def test_many_rules_equal_the_planned_ones(spark, monkeypatch):
+    """Rules by join fit as brute force says, and as rules in the plan do: nested hosts and paths, equal lengths, both verdicts, odd hosts."""
+    rng = random.Random(11)
+    host = lambda: ".".join(rng.choice(["a", "b", "com", "net", "é"]) for _ in range(rng.randint(1, 4)))
+    path = lambda: "".join(rng.choice(["/a", "/b", "x", "é", "/"]) for _ in range(rng.randint(0, 5)))
+    rules = [urls.Rule(rng.choice(["allow", "block"]), f"{host()}/{path()}") for _ in range(300)]
+    rules += [urls.Rule("block", "/odd"), urls.Rule("allow", "noslash"), urls.Rule("block", "a.com/"), urls.Rule("allow", "a.com/"), urls.Rule("block", "com./")]
+    rules += [urls.Rule("allow", f"b.net/{'p' * i}") for i in range(60)]  # many rules of one host
+    values = [f"http://{host()}/{path()}" for _ in range(600)] + [f"http://b.net/{'p' * i}" for i in range(0, 90, 7)] * 3
+    values += [*URLS, "http:///odd", "http://x./odd", "http://noslash", "http://a.noslash/x", "http://com./x", "http://" + "a." * 3000 + "com/"]
+    df = frame(spark, values)
+    blocks = {r.rule for r in rules if r.verdict == "block"}
+    for given in (rules, urls.rule_table(spark, rules).repartition(3)):
+        got = urls.filter_urls(df, given, trees=1).collect()
+        assert len(got) == len(values)
+        for r in got:
+            h, p = parts(values[r.page_id])
+            fits = [x.rule for x in rules if (h == x.host or h.endswith("." + x.host)) and p.startswith(x.path)]
+            assert (r.host, r.path, r.rule) == (h, p, min(fits, key=lambda x: (-len(x), x), default=None)), values[r.page_id]
+            assert r.rule is None or r.verdict == ("block" if r.rule in blocks else "allow")
+    few = rules[:20] + rules[300:325]
+    key = lambda got: sorted((r.page_id, r.host, r.path, r.rule or "", r.verdict, round(r.score, 9)) for r in got.collect())
+    planned = key(urls.filter_urls(df, few, trees=1))
+    monkeypatch.setattr(urls, "MAX_PLANNED_RULES", 3)
+    assert planned == key(urls.filter_urls(df, few, trees=1))
+    none = urls.filter_urls(df, urls.rule_table(spark, rules).filter("rule IS NULL"), trees=1)
+    assert all(r.rule is None and r.verdict == "allow" for r in none.collect())
+
+
 def test_features_equal_brute_force(spark):
     u = [x or "" for x in URLS]
     cols = urls.lexical(F.col("url"), F.col("host"), F.col("path"))
