@@ -29,6 +29,8 @@ FEATURES = ("words", "word_length", "word_length_spread", "longest_word", "disti
 
 _SYMBOLS = b"#*$%&|<>{}[]\\^~=_@+"
 _CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Characters and words added to a line's size in its shares, so that a short line's few marks weigh little.
+LINE_CHARS, LINE_WORDS = 20, 4
 
 
 def _entropy(counts: np.ndarray) -> float:
@@ -57,13 +59,11 @@ def statistics(text: str | None) -> list[float]:
     worst_symbols = worst_capitals = worst_repeats = 0.0
     for ln in set(lines):
         parts = ln.split()
-        chars = len(ln) - len(parts) + 1
-        if len(parts) < 5:
-            continue
+        chars = len(ln) - len(parts) + 1 + LINE_CHARS
         worst_symbols = max(worst_symbols, (len(ln) - len(ln.translate(None, _SYMBOLS + b"!"))) / chars)
         worst_capitals = max(worst_capitals, (len(ln) - len(ln.translate(None, _CAPITALS))) / chars)
-        worst_repeats = max(worst_repeats, 1 - len(set(parts)) / len(parts) if len(parts) < 200 else
-                            1 - len(set(zip(parts, parts[1:], parts[2:]))) / (len(parts) - 2))
+        repeated = len(parts) - 2 - len(set(zip(parts, parts[1:], parts[2:])))
+        worst_repeats = max(worst_repeats, repeated / (len(parts) + LINE_WORDS))
     chars = int(lens.sum())
     count = lambda s: float(size[list(s)].sum())
     return [

@@ -1,3 +1,6 @@
+import math
+import random
+import re
 import zlib
 
 import numpy as np
@@ -47,6 +50,57 @@ def test_constant_models(y):
     assert 0 < m.probability(np.zeros((2, 3)))[0] < 1
 
 
+def brute_statistics(text):
+    """Every statistic by its definition, over lists of characters' bytes and words."""
+    data = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", data)
+    if not words:
+        return dict.fromkeys(quality.FEATURES, 0.0)
+    n, chars = len(words), sum(len(w) for w in words)
+    lines = [x for x in data.split(b"\n") if re.search(rb"[^\x20\x09-\x0D]", x)]
+    symbols, capitals = b"#*$%&|<>{}[]\\^~=_@+", bytes(range(65, 91))
+    share = lambda keep, of: sum(c in keep for c in data) / of
+
+    def entropy(items):
+        return -sum(items.count(x) / len(items) * math.log(items.count(x) / len(items)) for x in set(items))
+
+    def triples(ws):
+        return {tuple(ws[i:i + 3]) for i in range(len(ws) - 2)}
+
+    def worst(measure):
+        return max([0.0, *(measure(x, re.findall(rb"[^\x20\x09-\x0D]+", x)) for x in lines)])
+
+    def marks(keep):
+        # A line's characters are all its bytes but one blank between neighbours.
+        return worst(lambda x, ws: sum(c in keep for c in x) / (len(x) - (len(ws) - 1) + 20))
+
+    runs = [1]
+    for a, b in zip(words, words[1:]):
+        runs.append(runs[-1] + 1 if a == b else 1)
+    mean = chars / n
+    return {
+        "words": math.log(1 + n), "word_length": mean, "word_length_spread": math.sqrt(sum((len(w) - mean) ** 2 for w in words) / n),
+        "longest_word": max(len(w) for w in words), "distinct_words": len(set(words)) / n, "top_word": max(words.count(w) for w in set(words)) / n,
+        "next_equal": sum(words[i] == words[i + 1] for i in range(n - 1)) / n, "distinct_triples": len(triples(words)) / max(1, n - 2),
+        "word_entropy": entropy(words), "lines": math.log(1 + len(lines)), "distinct_lines": len(set(lines)) / len(lines), "line_words": n / len(lines),
+        "stopped_lines": sum(re.sub(rb"[\x20\x09-\x0D]+$", b"", x)[-1:] in (b".", b"!", b"?") for x in lines) / len(lines),
+        "capitals": share(capitals, chars), "digits": share(b"0123456789", chars), "symbols": share(symbols, chars), "exclamations": share(b"!", n),
+        "stops": share(b".", n), "commas": share(b",", n), "bars": share(b"|", n), "blanks": share(b" \t\r", len(data)),
+        "high_bytes": share(range(128, 256), chars), "byte_entropy": entropy(list(data)), "worst_line_symbols": marks(symbols + b"!"),
+        "worst_line_capitals": marks(capitals), "worst_line_repeats": worst(lambda x, ws: (len(ws) - 2 - len(triples(ws))) / (len(ws) + 4)), "run": max(runs),
+    }
+
+
+def test_statistics_equal_brute_force():
+    rng = random.Random(8)
+    texts = [r[1] if r[1] is not H.LONG else H.LONG[:3000] for r in H.ROWS] + ["a", "a a", "a a a a", "!\n!\n!", "A|B\r\n\x0b\x0c\t.", "x\n" * 5 + " \n y ."]
+    texts += ["".join(rng.choice(["the", "The", "a1", "é", "!", "|", ".", "\n", "\n", " ", " ", "  ", "\t", "#x", "\U0001f600"]) for _ in range(rng.randrange(400))) for _ in range(150)]
+    texts += [" ".join(rng.choice(["w", "v", "u"]) for _ in range(n)) for n in (3, 4, 5, 6, 199, 200, 201)]
+    for t in texts:
+        got, want = dict(zip(quality.FEATURES, quality.statistics(t), strict=True)), brute_statistics(t)
+        assert got == pytest.approx(want, abs=1e-9), t
+
+
 def test_held_out_accuracy(spark):
     docs, labels = read_table(spark, SF, "documents"), read_table(spark, SF, "labels")
     got = quality.quality_scores(docs, labels).join(labels, "doc_id").toPandas()
