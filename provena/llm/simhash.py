@@ -6,7 +6,8 @@ wildcarded; an equality join on those signatures gives candidates and the bit di
 (For an even ``d`` the last segment needs no wildcard: if no other segment is within one bit, it is equal.)
 
 Scale: exact copies collapse to one fingerprint before anything is indexed.  A signature shared by
-more than ``bucket_cap`` different fingerprints is not paired up.  Its members go an exact linear way
+more than ``bucket_cap`` different fingerprints (four times the members that chance puts under a signature,
+if that is more) is not paired up.  Its members go an exact linear way
 instead: within ``d`` bits there is a midpoint, at most ``ceil(d / 2)`` bits from one and ``d // 2``
 from the other, so members are keyed by the points around them and linked, per point, to one member.
 """
@@ -83,6 +84,13 @@ def signature_masks(max_distance: int) -> list[int]:
     return [_signed(x) for x in out]
 
 
+def crowd_size(rows: int, masks: list[int], bucket_cap: int) -> int:
+    """The most members a signature may have to be paired up: chance alone fills one of ``k`` kept bits with
+    ``rows / 2**k``, and four times that is still no crowd."""
+    kept = min((m & (1 << BITS) - 1).bit_count() for m in masks)
+    return max(bucket_cap, 4 * rows >> kept)
+
+
 def _longs(values: list[int]) -> Column:
     return F.array(*[F.lit(v).cast("long") for v in values])
 
@@ -113,14 +121,15 @@ def links(fps: DataFrame, rows: int, max_distance: int = 2, bucket_cap: int = 8)
     masks = signature_masks(max_distance)
     # One fingerprint makes dozens of signatures: a few bytes of input are work for many tasks.
     signatures = rows * len(masks)
+    cap = crowd_size(rows, masks, bucket_cap)
     keys = fps.repartition(tasks_for(signatures, 1_000_000)).select("fp", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("slot")).select(
         "fp", "slot", F.col("fp").bitwiseAND(F.element_at(_longs(masks), F.col("slot") + 1)).alias("sig"))
     sizes = keys.groupBy("slot", "sig").agg(F.count("*").alias("size")).filter(F.col("size") > 1)
     shared = settled(keys.join(sizes, ["slot", "sig"]), signatures, 500_000)
-    a = shared.filter(F.col("size") <= bucket_cap)
+    a = shared.filter(F.col("size") <= cap)
     pairs = (a.select("slot", "sig", F.col("fp").alias("x")).join(a.select("slot", "sig", F.col("fp").alias("y")), ["slot", "sig"])
              .filter((F.col("x") < F.col("y")) & (_distance("x", "y") <= max_distance)).select("x", "y"))
-    crowded = shared.filter(F.col("size") > bucket_cap).select("fp").distinct()
+    crowded = shared.filter(F.col("size") > cap).select("fp").distinct()
     return pairs.unionByName(_crowded_links(crowded, max_distance)).distinct()
 
 

@@ -103,3 +103,9 @@ def test_no_pair_explosion_in_a_crowd(spark):
     ids = spark.range(1500).select(F.col("id").alias("fp"))  # many points share signatures
     n = simhash.links(ids, 1500, 2).count()
     assert n < 40 * 1500
+
+
+def test_crowds_grow_with_chance_only():
+    masks = simhash.signature_masks(2)
+    assert [simhash.crowd_size(n, masks, 8) for n in (0, 1500, 2**31, 10 * 2**31)] == [8, 8, 8, 40]
+    assert simhash.crowd_size(2**30, simhash.signature_masks(4), 8) == 4 * 2**10
