@@ -26,9 +26,17 @@ SEED = "mix-1"
 
 def cyclic_weights(docs: DataFrame, cycle: tuple[float, ...] = (5.0, 2.0, 1.0), source_col: str = "source") -> DataFrame:
     """``(source, weight)``: the sources in code point order, null last, weigh ``cycle`` over and over.
-    The window holds one row per source."""
-    nth = F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1
-    return docs.select(F.col(source_col).alias("source")).distinct().select(
+
+    The sources are sorted over many tasks; one's place is that within its sorted part plus the sizes of the
+    parts before, so there may be any number of sources.  The one window holds a row per part."""
+    names = docs.select(F.col(source_col).alias("source")).distinct().orderBy(F.asc_nulls_last("source"))
+    placed = cut_lineage(names.withColumn("mid", F.monotonically_increasing_id()))
+    part, within = F.shiftright("mid", 33), F.col("mid").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    nth = F.col("before") + within
+    return placed.withColumn("part", part).join(F.broadcast(before), "part").select(
         "source", F.element_at(F.array(*[F.lit(float(w)) for w in cycle]), (nth % len(cycle) + 1).cast("int")).alias("weight"))
 
 

@@ -78,3 +78,19 @@ def test_weights_zero_missing_and_infeasible_totals(spark):
     assert got == {1: (8.0, 8), 2: (0.0, 0), 3: (0.0, 0)}
     e = H.empty(spark)
     assert mixing.mix_report(e, mixing.cyclic_weights(e)).collect() == []
+
+
+def test_cyclic_weights_of_many_sources_in_many_parts(spark):
+    rng = random.Random(5)
+    names = sorted({"".join(rng.choice("abZé\U0001f600") for _ in range(rng.randint(0, 6))) for _ in range(400)}, key=lambda s: [ord(c) for c in s])
+    shuffled = [*names, None] * 2
+    rng.shuffle(shuffled)
+    df = spark.createDataFrame([(s,) for s in shuffled], "source string")
+    for coalesce in ("true", "false"):
+        before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+        try:
+            got = {r.source: r.weight for r in mixing.cyclic_weights(df).collect()}
+        finally:
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+        assert got == {s: (5.0, 2.0, 1.0)[i % 3] for i, s in enumerate([*names, None])}
