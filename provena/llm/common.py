@@ -9,6 +9,8 @@ from provena.session import cut_lineage
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of one batch of texts.
+TEXT_BATCH_BYTES = 64 << 20
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -18,10 +20,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_batches(spark: SparkSession, rows: int = 256) -> None:
     """Hand texts to Python in batches of at most ``rows`` (the default of 10,000 whole texts can outgrow a
-    worker).  A session setting, as plans read it when they run; a smaller one already set stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+    worker), and of about ``TEXT_BATCH_BYTES`` however long the texts are; one longer text is a batch of its own.
+    Session settings, as plans read them when they run; smaller ones already set stay."""
+    for name, bound in (("Records", rows), ("Bytes", TEXT_BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.max{name}PerBatch"
+        if not 0 < int(spark.conf.get(key).rstrip("bB")) <= bound:
+            spark.conf.set(key, str(bound))
 
 
 def valid_text(c: Column) -> Column:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from provena.llm import decontaminate, language_model, lexical, licenses, mixing, quality, rules, simhash, tokens, toxicity
-from provena.llm.common import valid_text
+from provena.llm.common import text_batches, valid_text
 from tests.llm import helpers as H
 
 ITEM = "The quick brown fox jumps over the lazy dog again and again"
@@ -49,3 +49,16 @@ def test_native_operators_go_on(tables):
     broken, _ = tables
     assert rules.quality_rules(broken, _labels(broken.sparkSession)).count() == broken.count()
     assert mixing.mix_report(broken, mixing.cyclic_weights(broken), share=1.5, max_epochs=2.0).count() == broken.count()
+
+
+def test_batches_of_long_texts_are_bounded_in_bytes(spark):
+    text_batches(spark)
+
+    def rows(batches):
+        import pyarrow as pa
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+    long = spark.range(0, 100, 1, 1).select(F.repeat(F.lit("a"), 3_000_000).alias("text"))
+    short = spark.range(0, 1000, 1, 1).select(F.lit("a").alias("text"))
+    assert max(r.n for r in long.mapInArrow(rows, "n long").collect()) <= 23
+    assert max(r.n for r in short.mapInArrow(rows, "n long").collect()) <= 256
