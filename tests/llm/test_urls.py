@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from provena.llm import urls
@@ -100,6 +101,46 @@ def test_trees_separate_labelled_urls(spark):
     assert all(abs(again[r.page_id] - r.score) < 1e-9 for r in got)
 
 
+def brute_trees(x, weight, ones, trees, depth, rate=0.4, l2=1.0, min_hessian=1.0):
+    """Margins of boosted trees by numpy: every cut of every feature at every node, row by row."""
+    margin = np.full(len(x), math.log((ones.sum() + 0.5) / (weight.sum() - ones.sum() + 0.5)))
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = weight * p - ones, weight * p * (1 - p)
+        leaves = [np.ones(len(x), bool)]
+        for _ in range(depth):
+            split = []
+            for at in leaves:
+                best = (1e-6, None, None)
+                for f in range(x.shape[1]):
+                    for cut in range(x[:, f].max() + 1):
+                        left, right = at & (x[:, f] <= cut), at & (x[:, f] > cut)
+                        if not left.any() or not right.any() or min(h[left].sum(), h[right].sum()) < min_hessian:
+                            continue
+                        gain = sum(g[s].sum() ** 2 / (h[s].sum() + l2) for s in (left, right)) - g[at].sum() ** 2 / (h[at].sum() + l2)
+                        if gain > best[0] * (1 + 1e-8):
+                            best = (gain, left, right)
+                split += [at, at & False] if best[1] is None else best[1:]
+            leaves = split
+        for at in leaves:
+            margin[at] -= rate * g[at].sum() / (h[at].sum() + l2)
+    return margin
+
+
+def test_trees_equal_numpy(spark):
+    rng = np.random.default_rng(3)
+    names = [f"b_{f}" for f in list(urls.CUTS)[:4]]
+    x = rng.integers(0, [9, 4, 12, 3], (600, 4))
+    label = (x[:, 0] + 2 * x[:, 1] - x[:, 2] / 2 + rng.normal(0, 2, 600) > 4).astype(float)
+    weight = np.where(label == 0, rng.choice([0.5, 1.0], 600), 1.0)
+    rows = spark.createDataFrame([(*map(int, r), float(w), int(y)) for r, w, y in zip(x, weight, label)], ", ".join(f"{n} int" for n in names) + ", w double, y int")
+    binned = rows.groupBy(*names).agg(F.sum("w").alias("n"), F.sum("y").alias("ones"))
+    for trees, depth in ((1, 1), (3, 2), (5, 3)):
+        got = {r[:4]: r.m for r in binned.select(*names, urls.fit(binned, trees=trees, depth=depth).alias("m")).collect()}
+        want = brute_trees(x, weight, label, trees, depth)
+        assert all(abs(got[tuple(map(int, r))] - m) < 1e-9 for r, m in zip(x, want))
+
+
 def test_rest_of_a_partly_blocked_domain_is_left_alone(spark):
     """A rule on a path doesn't block the domain's other pages by their suffix alone; a rule on a whole domain still shows in its scores."""
     rules = [urls.Rule("block", "shop.com/de/"), urls.Rule("block", "net/"), urls.Rule("allow", "org/")]
