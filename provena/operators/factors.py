@@ -80,10 +80,17 @@ class ScorePlan:
         """Extremes of every factor, per ``by`` group or over all rows."""
         return flagged.groupBy(*by).agg(*[g(self.value(f)).alias(f"_{n}_{f.name}") for f in self.factors for n, g in (("min", F.min), ("max", F.max))])
 
-    def scored(self, flagged: DataFrame, stats: DataFrame, by: list[str] | None = None) -> DataFrame:
-        """With a norm per factor (``norm_<name>``) and ``score``.  Without ``by`` the statistics are one row (a scalar subquery)."""
-        extremes = [f"_{n}_{f.name}" for f in self.factors for n in ("min", "max")]
-        if by:
+    @property
+    def statistic_columns(self) -> list[str]:
+        return [f"_{n}_{f.name}" for f in self.factors for n in ("min", "max")]
+
+    def scored(self, flagged: DataFrame, stats: DataFrame | None, by: list[str] | None = None) -> DataFrame:
+        """With a norm per factor (``norm_<name>``) and ``score``.  Without ``by`` the statistics are one row (a scalar subquery);
+        without ``stats`` every row has them already."""
+        extremes = self.statistic_columns
+        if stats is None:
+            df = flagged
+        elif by:
             df = flagged.join(stats, by, "inner")
         else:
             one = stats.select(F.struct(*stats.columns).alias("s")).scalar()
