@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import math
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,37 +23,30 @@ BITS = 16
 def interleaved(steps: list[Column], bits: int = BITS) -> Column:
     """One long from the bits of several (the first column's bit first).
 
-    Steps are put into an array and bits taken by an aggregate, so that each step is evaluated once, however long its
-    expression has become when projections were merged.
+    A byte's bits are put in their places by a table of 256 longs: nothing is interpreted per bit.
     """
     n = len(steps)
+    spread = F.expr("array(" + ", ".join(f"{sum((x >> b & 1) << b * n for b in range(8))}L" for x in range(256)) + ")")
 
-    def bit(value: Column, b: Column, i: int) -> Column:
-        one = F.call_function("shiftright", value, b).bitwiseAND(F.lit(1).cast("bigint"))
-        return F.call_function("shiftleft", one, b * n + (n - 1 - i))
+    def placed(step: Column, i: int) -> Column:
+        step = step.cast("bigint")
+        parts = [F.shiftleft(F.get(spread, F.shiftright(step, low).bitwiseAND(F.lit(255)).cast("int")), low * n + n - 1 - i) for low in range(0, bits, 8)]
+        return functools.reduce(Column.bitwiseOR, parts)
 
-    def whole(s: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(0), F.lit(bits - 1)), F.lit(0).cast("bigint"),
-                           lambda acc, b: functools.reduce(lambda x, i: x.bitwiseOR(bit(s[i], b, i)), range(n), acc))
+    return functools.reduce(Column.bitwiseOR, [placed(s, i) for i, s in enumerate(steps)])
 
-    return F.transform(F.array(F.array(*[c.cast("bigint") for c in steps])), whole)[0]
 
-
-def _step(value: Column, cuts: list[float], bits: int = BITS) -> Column:
+def _step(value: Column, cuts: list[float], below: Column, bits: int = BITS) -> Column:
     """A value's place among quantile cuts, inside its interval by distance, so that skewed values (a city) spread over
-    all steps; null is 0."""
+    all steps; null is 0.  ``below``: how many distinct cuts lie at or below the value."""
     distinct = sorted(set(cuts))
     edges, size, slots = F.array(*[F.lit(float(e)) for e in distinct]), 1 << bits, max(1, len(distinct) - 1)
     if len(distinct) < 2:
         return F.lit(0).cast("bigint")
-
-    def place(v: Column) -> Column:
-        def within(i: Column) -> Column:  # i edges lie at or below v
-            low, high = F.get(edges, i - 1), F.get(edges, i)
-            return F.when(i == 0, F.lit(0.0)).when(high.isNull(), F.lit(float(slots))).otherwise((i - 1) + (v - low) / (high - low))
-        return F.transform(F.array(F.size(F.filter(edges, lambda e: e <= v))), within)[0] * F.lit(size / slots)
-
-    step = F.floor(F.transform(F.array(value), place)[0]).cast("bigint")
+    i = F.least(below.cast("int"), F.lit(len(distinct)))
+    low, high = F.get(edges, i - 1), F.get(edges, i)
+    place = F.when(value.isNull() | (i == 0), F.lit(0.0)).when(i == len(distinct), F.lit(float(slots))).otherwise((i - 1) + (value - low) / (high - low))
+    step = F.floor(place * F.lit(size / slots)).cast("bigint")
     return F.coalesce(F.least(step, F.lit(size - 1).cast("bigint")), F.lit(0).cast("bigint"))
 
 
@@ -64,7 +58,15 @@ def z_ordered(df: DataFrame, lat: str = "latitude", lon: str = "longitude", date
     axes = [F.col(lat).cast("double"), F.col(lon).cast("double"), F.unix_date(F.col(date).cast("date")).cast("double")]
     plain = df.select(*[a.alias(f"a{i}") for i, a in enumerate(axes)])
     cuts = plain.approxQuantile([f"a{i}" for i in range(3)], [i / 64 for i in range(65)], 1 / 256)
-    keyed = df.withColumn("_z", interleaved([_step(a, c) for a, c in zip(axes, cuts)]))
+    splits = [[-math.inf, *sorted(set(c)), math.inf] for c in cuts]
+    names = [f"_{kind}{i}" for kind in ("axis", "below") for i in range(3)]
+    ranged = df.withColumns(dict(zip(names[:3], axes)))
+    usable = [i for i in range(3) if len(splits[i]) > 3]
+    if usable:
+        ranged = Bucketizer(splitsArray=[splits[i] for i in usable], inputCols=[names[i] for i in usable],
+                            outputCols=[names[3 + i] for i in usable], handleInvalid="keep").transform(ranged)
+    keyed = ranged.withColumn("_z", interleaved([_step(F.col(names[i]), cuts[i], F.col(names[3 + i]) if i in usable else F.lit(0))
+                                                 for i in range(3)])).drop(*names)
     dealt = keyed.repartitionByRange(files, "_z") if files else keyed.repartitionByRange("_z")
     return dealt.sortWithinPartitions("_z").drop("_z")
 

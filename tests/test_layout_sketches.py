@@ -91,3 +91,26 @@ def test_merged_sketches_are_within_the_bound(spark):
         e = exact[r.referral_type]
         assert (r.referrals, r.providers, r.max_per_provider) == (e.referrals, e.providers, e.max_per_provider)
         assert abs(r.median_per_provider - e.median_per_provider) <= 1
+
+
+def test_keys_are_plain_expressions(spark):
+    """The interleaved key has the bits of its steps in turn, and nothing in it is interpreted row by row."""
+    rnd = random.Random(3)
+    rows = [tuple(rnd.randrange(1 << 16) for _ in range(3)) for _ in range(200)] + [(0, 0, 0), (65535, 65535, 65535)]
+    df = spark.createDataFrame(rows, "a long, b long, c long")
+    got = df.select("a", "b", "c", layout.interleaved([F.col(x) for x in "abc"]).alias("z")).collect()
+    for r in got:
+        assert r.z == sum((r[i] >> b & 1) << (b * 3 + 2 - i) for b in range(16) for i in range(3))
+    dealt = layout.z_ordered(_referrals(spark, 500), files=4)
+    assert "lambda" not in dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert dealt.count() == 500 and layout.z_ordered(_referrals(spark, 60).withColumn("latitude", F.lit(None).cast("double")), files=4).count() == 60
+
+
+def test_clustered_files_come_from_a_stored_table(spark, monkeypatch):
+    """Cuts, ranges and rows read the cleaned referrals, not the export, of which they'd be three cleanings."""
+    from provena.plans import queries as Q
+    seen = []
+    write = io.write_clustered
+    monkeypatch.setattr(io, "write_clustered", lambda df, *a, **k: seen.append(df.inputFiles()) or write(df, *a, **k))
+    Q.clustered_window(spark, "/root/testdata/sf0.001")
+    assert seen[0] and all("/tables/" in f for f in seen[0])
