@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from provena import schema as S
 from provena.operators import preferred, referrals as R, rollup
+from provena.session import cut_lineage
 from provena.sources import io
 from provena.sources.keyed import path_exists
 
@@ -63,3 +64,11 @@ def load_dataset(spark: SparkSession, name: str, export: Callable[[], DataFrame]
     if name != PROVIDERS:
         return rows
     return rollup.provider_rollup(rows if "_seq" in rows.columns else rows.withColumn("_seq", F.lit(0).cast("long")))
+
+
+def load_datasets(spark: SparkSession, names: list[str], export: Callable[[], DataFrame] | None, cleaned: str) -> dict[str, DataFrame]:
+    """Several datasets of referrals from the same export: a raw one is cleaned and written once, and every dataset takes its rows from that."""
+    found = _exported(export)
+    if found is not None and not R.is_cleaned(found):
+        found = cut_lineage(R.process_referrals(found))
+    return {name: load_dataset(spark, name, None if found is None else lambda: found, cleaned) for name in names}

@@ -111,3 +111,18 @@ def test_orders_and_date_choice(spark):
     assert rollup.date_column(both.drop("referral_date")) == "date_of_intake" and rollup.date_column(df) is None
     phones = spark.createDataFrame([("(301) 555-1234",), ("1 301-555-1234",), ("x-1",), (None,)], "p string").select(text.strip_phone("p").alias("p"))
     assert [r.p for r in phones.collect()] == ["(301) 555-1234", "13015551234", "x1", None]
+
+
+def _cleanings(monkeypatch):
+    from provena.operators import referrals
+    calls, clean = [], referrals.process_referrals
+    monkeypatch.setattr(referrals, "process_referrals", lambda *a, **k: calls.append(k) or clean(*a, **k))
+    return calls
+
+
+def test_datasets_share_one_cleaning(spark, monkeypatch):
+    from provena.plans import queries as Q
+    calls = _cleanings(monkeypatch)
+    rows = {(r.dataset, r.way): (r.row_count, r.names) for r in Q.dataset_dispatch(spark, "/root/testdata/sf0.001").collect()}
+    assert len(calls) == 1 and len(rows) == 15
+    assert all(rows[d, "export"] == rows[d, "clean"] == rows[d, "fallback"] and rows[d, "export"][0] > 0 for d, _ in rows)
