@@ -126,3 +126,10 @@ def test_datasets_share_one_cleaning(spark, monkeypatch):
     rows = {(r.dataset, r.way): (r.row_count, r.names) for r in Q.dataset_dispatch(spark, "/root/testdata/sf0.001").collect()}
     assert len(calls) == 1 and len(rows) == 15
     assert all(rows[d, "export"] == rows[d, "clean"] == rows[d, "fallback"] and rows[d, "export"][0] > 0 for d, _ in rows)
+
+
+def test_integrity_report_cleans_the_export_once(spark, monkeypatch):
+    from provena.plans import queries as Q
+    calls = _cleanings(monkeypatch)
+    assert Q.integrity_report(spark, "/root/testdata/sf0.001").count() == 5
+    assert len(calls) == 1
