@@ -5,19 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.common import settled
+from provena.llm.common import bounded_broadcast, settled
 from provena.session import cut_lineage
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _least(edges: DataFrame, rows: int) -> DataFrame:
+    """Each node's smallest neighbour, written, and broadcast only if the rows are few: Spark takes edges for less than they are."""
+    return bounded_broadcast(settled(edges.groupBy("a").agg(F.min("b").alias("m")), rows))
+
+
+def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = _least(both, 2 * rows)
+    return both.join(least.select("a", F.least("a", "m").alias("m")), "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    out = edges.join(least, "a").select(
+def _small_star(edges: DataFrame, rows: int) -> DataFrame:
+    out = edges.join(_least(edges, rows), "a").select(
         F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
     return out.select("e.*").filter(F.col("a") != F.col("b")).distinct()
 
@@ -41,7 +45,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, rows: int | Non
         if mark == seen or mark[0] == 0:
             break
         seen = mark
-        e = settled(_small_star(_large_star(e)), 2 * mark[0])
+        e = settled(_small_star(_large_star(e, mark[0]), 2 * mark[0]), 2 * mark[0])
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.select("b").distinct()

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provena.llm.common import columns_of, settled, tasks_for, text_batches, valid_text
+from provena.llm.common import bounded_broadcast, columns_of, settled, tasks_for, text_batches, valid_text
 from provena.llm.components import connected_components
 from provena.session import cut_lineage
 
@@ -109,7 +109,7 @@ def _crowded_links(fps: DataFrame, max_distance: int) -> DataFrame:
     """Links with the components of "within max_distance bits" over ``fps``, without pairing members up."""
     near, far = max_distance // 2, max_distance - max_distance // 2
     hub = _around(fps, near).groupBy("point").agg(F.min("fp").alias("hub"))
-    return _around(fps, far).join(hub, "point").filter(F.col("fp") != F.col("hub")).select(
+    return _around(fps, far).hint("merge").join(hub, "point").filter(F.col("fp") != F.col("hub")).select(
         F.col("fp").alias("x"), F.col("hub").alias("y"))
 
 
@@ -124,10 +124,12 @@ def links(fps: DataFrame, rows: int, max_distance: int = 2, bucket_cap: int = 8)
     cap = crowd_size(rows, masks, bucket_cap)
     keys = fps.repartition(tasks_for(signatures, 1_000_000)).select("fp", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("slot")).select(
         "fp", "slot", F.col("fp").bitwiseAND(F.element_at(_longs(masks), F.col("slot") + 1)).alias("sig"))
-    sizes = keys.groupBy("slot", "sig").agg(F.count("*").alias("size")).filter(F.col("size") > 1)
+    # Spark takes exploded keys for as few bytes as the fingerprints: without a hint it broadcasts them.  The sizes are written, so
+    # that a hot signature's join can be split.
+    sizes = bounded_broadcast(settled(keys.groupBy("slot", "sig").agg(F.count("*").alias("size")).filter(F.col("size") > 1), signatures, 500_000))
     shared = settled(keys.join(sizes, ["slot", "sig"]), signatures, 500_000)
     a = shared.filter(F.col("size") <= cap)
-    pairs = (a.select("slot", "sig", F.col("fp").alias("x")).join(a.select("slot", "sig", F.col("fp").alias("y")), ["slot", "sig"])
+    pairs = (a.select("slot", "sig", F.col("fp").alias("x")).hint("merge").join(a.select("slot", "sig", F.col("fp").alias("y")), ["slot", "sig"])
              .filter((F.col("x") < F.col("y")) & (_distance("x", "y") <= max_distance)).select("x", "y"))
     crowded = shared.filter(F.col("size") > cap).select("fp").distinct()
     return pairs.unionByName(_crowded_links(crowded, max_distance)).distinct()
@@ -139,8 +141,8 @@ def groups(ids: DataFrame, max_distance: int = 2, bucket_cap: int = 8) -> DataFr
     one = settled(ids.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")), ids.count())
     rows = one.count()
     comp = connected_components(links(one.select("fp"), rows, max_distance, bucket_cap), rows=rows)
-    rooted = settled(one.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), rows)
-    best = rooted.groupBy("root").agg(F.min(F.struct("first.none", "first.doc_id", "fp")).alias("best"))
+    rooted = settled(one.hint("merge").join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), rows)
+    best = bounded_broadcast(settled(rooted.groupBy("root").agg(F.min(F.struct("first.none", "first.doc_id", "fp")).alias("best")), rows))
     return settled(rooted.join(best, "root").select(
         "fp", F.col("best.doc_id").alias("component_id"), F.col("best.doc_id").alias("keep_id"), F.col("best.fp").alias("keep_fp")), rows)
 
@@ -156,7 +158,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, max_distance: int = 2,
     text_batches(docs.sparkSession)
     ids = cut_lineage(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col), shingle, seed).alias("fp")))
     named = groups(ids, max_distance, bucket_cap)
-    return ids.join(named, "fp").select("doc_id", hex_column(F.col("fp")).alias("fingerprint"), "component_id")
+    return ids.join(bounded_broadcast(named), "fp").select("doc_id", hex_column(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, *, shingle: int = 3, max_distance: int = 2, seed: int = 42, bucket_cap: int = 8,
@@ -175,4 +177,4 @@ def keep_one(docs: DataFrame, *, shingle: int = 3, max_distance: int = 2, seed:
     # Fingerprints are made again next to the rows: that costs less than a table of all texts with them.
     row = docs.select(F.struct(*columns_of(docs)).alias("row"), *key(F.col(id_col)), fp)
     repeats = Window.partitionBy("key", "none", "fp").orderBy(F.xxhash64("row"))
-    return row.join(stays, ["key", "none", "fp"]).withColumn("nth", F.row_number().over(repeats)).filter("nth = 1").select(*columns_of(docs, "row"))
+    return row.join(bounded_broadcast(stays), ["key", "none", "fp"]).withColumn("nth", F.row_number().over(repeats)).filter("nth = 1").select(*columns_of(docs, "row"))

@@ -109,3 +109,18 @@ def test_crowds_grow_with_chance_only():
     masks = simhash.signature_masks(2)
     assert [simhash.crowd_size(n, masks, 8) for n in (0, 1500, 2**31, 10 * 2**31)] == [8, 8, 8, 40]
     assert simhash.crowd_size(2**30, simhash.signature_masks(4), 8) == 4 * 2**10
+
+
+def test_no_exploded_side_is_broadcast(spark, monkeypatch):
+    """Beyond the counted bound every join is a merge join: signatures and edges are taken for less than they are."""
+    from provena.llm import common as C
+    plans, keep = [], C.cut_lineage
+    monkeypatch.setattr(C, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    for module in (simhash, components):
+        monkeypatch.setattr(module, "bounded_broadcast", lambda df: C.bounded_broadcast(df, 0), raising=False)
+    rng = random.Random(5)
+    points = [rng.getrandbits(63) for _ in range(200)]
+    ids = spark.createDataFrame([(i, p ^ (1 << i % 64 if i % 2 and i % 64 < 63 else 0)) for i, p in enumerate(points * 2)], "doc_id long, fp long")
+    named = simhash.groups(ids, 2)
+    assert named.count() > 200 and sum("SortMergeJoin" in p for p in plans) >= 4
+    assert not [p for p in plans if "BroadcastHashJoin" in p]
