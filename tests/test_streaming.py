@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from provena.operators import referrals as R, rollup
+from provena.session import settings
 from provena.sources.keyed import upsert
 from provena.streaming import intake as S
 from tests.test_fixtures import DOC
@@ -125,3 +126,13 @@ def test_intake_matches_batch_split(spark):
 def test_nothing_drained(spark):
     d = _dir()
     assert S.read_first_seen(spark, f"{d}/none").count() == 0 and S.read_running_counts(spark, f"{d}/none").count() == 0
+
+
+def test_bounded_state_holds_ids_only(spark):
+    """Rows without an ID pass by the state store, those behind the watermark too."""
+    batches = [_batch(spark, [_row(1, "2024-06-01", "A", "P1"), _row(2, "2024-06-01", "no id", None)]), _batch(spark, [_row(3, "2024-06-02", "B", "P2")]),
+               _batch(spark, [_row(4, "2020-01-01", "late", None), _row(5, "2024-06-03", "A again", "P1")])]
+    d = _drain(spark, batches, S.run_first_seen_bounded, watermark="90 days", files_per_trigger=1)
+    assert sorted(r.full_name for r in spark.read.parquet(d).collect()) == ["A", "B", "late", "no id"]
+    with settings(spark, S.ROCKSDB_STATE):
+        assert spark.read.format("statestore").load(d.replace("/target", "/ck")).count() == 2
