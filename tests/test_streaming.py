@@ -128,11 +128,13 @@ def test_nothing_drained(spark):
     assert S.read_first_seen(spark, f"{d}/none").count() == 0 and S.read_running_counts(spark, f"{d}/none").count() == 0
 
 
-def test_bounded_state_holds_ids_only(spark):
-    """Rows without an ID pass by the state store, those behind the watermark too."""
+def test_bounded_state_keys_are_no_texts_of_places(spark):
+    """Rows without an ID pass once for each place, a repeat of one doesn't; their keys in the state are the places as they are."""
     batches = [_batch(spark, [_row(1, "2024-06-01", "A", "P1"), _row(2, "2024-06-01", "no id", None)]), _batch(spark, [_row(3, "2024-06-02", "B", "P2")]),
-               _batch(spark, [_row(4, "2020-01-01", "late", None), _row(5, "2024-06-03", "A again", "P1")])]
+               _batch(spark, [_row(4, "2024-06-02", "no id", None), _row(5, "2024-06-03", "A again", "P1"), _row(2, "2024-06-01", "no id", None)])]
     d = _drain(spark, batches, S.run_first_seen_bounded, watermark="90 days", files_per_trigger=1)
-    assert sorted(r.full_name for r in spark.read.parquet(d).collect()) == ["A", "B", "late", "no id"]
+    assert sorted(r.full_name for r in spark.read.parquet(d).collect()) == ["A", "B", "no id", "no id"]
     with settings(spark, S.ROCKSDB_STATE):
-        assert spark.read.format("statestore").load(d.replace("/target", "/ck")).count() == 2
+        keys = spark.read.format("statestore").load(d.replace("/target", "/ck")).select("key.*")
+        assert keys.count() == 4 and sorted(t for _, t in keys.dtypes) == ["bigint", "int", "string"]
+        assert {r.person_id for r in keys.collect()} == {"P1", "P2", None}
